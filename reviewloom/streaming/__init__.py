@@ -1,0 +1 @@
+"""Empty on purpose: no table has a time column and every flow is a batch."""
