@@ -139,12 +139,15 @@ def rule_tagger(words: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of ``n`` neighbouring words joined by a space."""
-    if n == 1:
-        return words
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    """Runs of ``n`` neighbouring words joined by a space.
+
+    Pass a plain column: it is read once per place in the run.
+    """
+    runs = words
+    for shift in range(1, n):
+        following = F.slice(words, F.lit(shift + 1), F.greatest(F.size(words), F.lit(1)))
+        runs = F.zip_with(runs, following, lambda run, word: F.concat(run, F.lit(" "), word))
+    return runs if n == 1 else F.filter(runs, lambda run: run.isNotNull())
 
 
 def safe_name(parts: Iterable[str | Column]) -> Column:

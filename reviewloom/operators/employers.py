@@ -25,8 +25,9 @@ def _clean_rating(df: DataFrame) -> DataFrame:
 
 def cutoffs(df: DataFrame, tail: float = TAIL) -> DataFrame:
     """One row (low, high): the tail quantiles of the rating, rounded to one decimal."""
-    cut = exact_quantiles(_clean_rating(df), "overall_rating", [tail, 1 - tail])
-    return cut.select(F.round("q0", 1).alias("low"), F.round("q1", 1).alias("high"))
+    low, high = exact_quantiles(_clean_rating(df), "overall_rating", [tail, 1 - tail])
+    exact = df.sparkSession.createDataFrame([(low, high)], "low double, high double")
+    return exact.select(F.round("low", 1).alias("low"), F.round("high", 1).alias("high"))
 
 
 @dataclass(frozen=True)
@@ -48,11 +49,14 @@ class Segments:
 
 
 def segment(df: DataFrame, min_ratings: int = MIN_RATINGS, tail: float = TAIL) -> Segments:
-    """Split at the rounded cut-offs; both tails include their cut-off."""
+    """Split at the rounded cut-offs; both tails include their cut-off.
+
+    The cut-offs are computed here, so that the masks compare with plain numbers.
+    """
     employers = _clean_rating(min_count(df, min_ratings))
-    cut = cutoffs(employers, tail).select(F.struct("low", "high").alias("cut")).scalar()
+    low, high = cutoffs(employers, tail).first()
     rating = F.col("overall_rating")
-    return Segments(employers, rating <= cut["low"], rating >= cut["high"])
+    return Segments(employers, rating <= F.lit(low), rating >= F.lit(high))
 
 
 def select_tails(df: DataFrame, min_ratings: int = MIN_RATINGS, tail: float = TAIL) -> DataFrame:
@@ -66,7 +70,7 @@ def select_middle(df: DataFrame, min_ratings: int = MIN_RATINGS, tail: float = T
 def split_by_mean(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad): ratings from the mean up and from the mean down; the mean is in both."""
     df = _clean_rating(df)
-    mean = df.agg(F.avg("overall_rating")).scalar()
+    mean = F.lit(df.agg(F.avg("overall_rating")).first()[0])
     return df.filter(F.col("overall_rating") >= mean), df.filter(F.col("overall_rating") <= mean)
 
 

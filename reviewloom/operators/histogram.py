@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_BIN = 180
 SEGMENT_BINS = 34
-_BLOCK = 4096
 
 
 def histogram(df: DataFrame, column: str, bins: int | None = None, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
@@ -15,52 +16,34 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, rows_per_bin:
 
     Without ``bins`` there is one bin for every ``rows_per_bin`` rows, at least
     one. NULL values count as rows but fall in no bin. If all values are equal the
-    range is widened by one half on both sides.
+    range is widened by one half on both sides. The range is found by a first job.
     """
     value = F.col(column).cast("double")
-    value = F.when(~F.isnan(value), value)
-    data = df.select(value.alias("v"))
-    number = F.lit(bins) if bins is not None else F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / rows_per_bin))
-    pad = F.when(F.max("v") > F.min("v"), F.lit(0.0)).otherwise(F.lit(0.5))
-    frame = data.agg(
-        number.cast("long").alias("bins"), (F.min("v") - pad).alias("lo"), (F.max("v") + pad).alias("hi")
-    )
-    scale = frame.select(F.struct("bins", "lo", "hi").alias("s")).scalar()
-    width = (scale["hi"] - scale["lo"]) / scale["bins"]
-    index = F.least(F.floor((F.col("v") - scale["lo"]) / width), scale["bins"] - 1)
-    counts = data.filter(F.col("v").isNotNull()).groupBy(index.cast("long").alias("bin")).agg(F.count("v").alias("n"))
-    return (
-        _bin_numbers(frame)
-        .join(counts, "bin", "left")
-        .select(
-            "bin",
-            _edge(F.col("bin")).alias("bin_low"),
-            _edge(F.col("bin") + 1).alias("bin_high"),
-            F.coalesce("n", F.lit(0)).alias("n"),
-        )
-    )
-
-
-def _edge(index: Column) -> Column:
-    return F.col("lo") + (F.col("hi") - F.col("lo")) * index / F.col("bins")
-
-
-def _bin_numbers(frame: DataFrame) -> DataFrame:
-    """Every bin of the frame; laid out in blocks, so no array grows with the data."""
-    last = F.floor((F.col("bins") - 1) / _BLOCK)
-    return (
-        frame.filter(F.col("lo").isNotNull())
-        .select("*", F.explode(F.sequence(F.lit(0), last)).alias("block"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(_BLOCK - 1))).alias("i"))
-        .select("bins", "lo", "hi", (F.col("block") * _BLOCK + F.col("i")).cast("long").alias("bin"))
-        .filter(F.col("bin") < F.col("bins"))
+    data = df.select(F.when(~F.isnan(value), value).alias("v"))
+    rows, low, high = data.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if bins is None:
+        bins = max(1, rows // rows_per_bin)
+    if low is None:
+        bins, low, high = 0, 0.0, 0.0
+    elif low == high:
+        low, high = low - 0.5, high + 0.5
+    width = (high - low) / max(1, bins)
+    index = F.least(F.floor((F.col("v") - low) / F.lit(width)), F.lit(bins - 1)).cast("long")
+    counts = data.filter(F.col("v").isNotNull()).groupBy(index.alias("bin")).agg(F.count("v").alias("n"))
+
+    def edge(number: Column) -> Column:
+        return F.lit(low) + F.lit(high - low) * number / F.lit(bins)
+
+    numbers = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    return numbers.join(counts, "bin", "left").select(
+        "bin",
+        edge(F.col("bin")).alias("bin_low"),
+        edge(F.col("bin") + 1).alias("bin_high"),
+        F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
 def segmented_histogram(series: dict[str, DataFrame], column: str, bins: int = SEGMENT_BINS) -> DataFrame:
     """Histograms of several series, each over its own range, told apart by ``series``."""
-    result = None
-    for name, df in series.items():
-        one = histogram(df, column, bins).select(F.lit(name).alias("series"), "*")
-        result = one if result is None else result.unionByName(one)
-    return result
+    parts = [histogram(df, column, bins).select(F.lit(name).alias("series"), "*") for name, df in series.items()]
+    return reduce(DataFrame.unionByName, parts)

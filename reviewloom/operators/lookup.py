@@ -42,7 +42,7 @@ def lookup_join(
         return facts.join(F.broadcast(table), key, how)
 
     counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if key_rows is None else key_rows
-    total = counts.agg(F.sum("n")).scalar()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot_keys = counts.filter((F.col("n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key)
     hot_table = F.broadcast(table.join(F.broadcast(hot_keys), key, "left_semi"))
     marked = facts.join(F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), key, "left")

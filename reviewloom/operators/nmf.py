@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.vectors import moment_matrix, nonnegative_solver
 from reviewloom.operators.lookup import BROADCAST_BYTES, lookup_join
-from reviewloom.session import ensure_checkpoint_dir, shuffle_partitions
+from reviewloom.session import ensure_checkpoint_dir, placed_partitions
 
 
 @dataclass(frozen=True)
@@ -64,28 +64,50 @@ class NMFModel:
     id_col: str
     objectives: list[float] = field(default_factory=list)
     errors: list[float] = field(default_factory=list)
-    held: list[DataFrame] = field(default_factory=list)
+    held: list = field(default_factory=list)
 
     @property
     def topics(self) -> int:
         return self.settings.topics
 
     def unpersist(self) -> None:
-        for df in self.held:
-            df.unpersist()
+        for kept in self.held:
+            kept.unpersist()
         self.held.clear()
 
 
-def place_by_document(matrix: DataFrame, id_col: str) -> DataFrame:
-    """(id, term_idx, x) of a weight table, kept by document and in document order.
+@dataclass(frozen=True)
+class Placed:
+    """(id, x, term_idx) kept by document and in document order, in so many partitions."""
+
+    weights: DataFrame
+    id_col: str
+    partitions: int
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Lay a table out like the weights, so that joining the two by document moves neither."""
+        return (
+            df.repartition(self.partitions, self.id_col)
+            .sortWithinPartitions(self.id_col)
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
+
+    def unpersist(self) -> None:
+        self.weights.unpersist()
 
-    The weights are written once to the checkpoint folder, so that rounds do not
-    plan or repeat the weighting. They are placed after that: a checkpoint does
-    not remember where its rows lie.
+
+def place_by_document(matrix: DataFrame, id_col: str) -> Placed:
+    """Keep the weights of a fit.
+
+    They are written once to the checkpoint folder, so that rounds do not plan or
+    repeat the weighting. They are placed after that: a checkpoint does not
+    remember where its rows lie.
     """
-    ensure_checkpoint_dir(matrix.sparkSession)
+    spark = matrix.sparkSession
+    ensure_checkpoint_dir(spark)
     weights = matrix.select(id_col, "term_idx", F.col("tfidf").alias("x")).checkpoint()
-    return _keep_by_document(weights, id_col)
+    layout = Placed(weights, id_col, placed_partitions(spark, weights.count()))
+    return Placed(layout.keep(weights), id_col, layout.partitions)
 
 
 def initial_h(vocabulary: DataFrame, topics: int, seed: int) -> DataFrame:
@@ -162,7 +184,7 @@ def nmf_fit(
     settings: NMFSettings,
     id_col: str = "doc_id",
     max_bytes: int = BROADCAST_BYTES,
-    placed: DataFrame | None = None,
+    placed: Placed | None = None,
 ) -> NMFModel:
     """Fit W and H; stops when a round lowers the objective by less than ``tol`` of it.
 
@@ -171,16 +193,17 @@ def nmf_fit(
     spark = matrix.sparkSession
     ensure_checkpoint_dir(spark)
     k = settings.topics
-    x = place_by_document(matrix, id_col) if placed is None else placed
+    layout = place_by_document(matrix, id_col) if placed is None else placed
+    x = layout.weights
     x_square = x.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0]
     h = initial_h(vocabulary, k, settings.seed).checkpoint()
     h_bytes = factor_bytes(h, k)
     gram = _gram(h, k)
-    model = NMFModel(settings, h, h, id_col, held=[x] if placed is None else [])
+    model = NMFModel(settings, h, h, id_col, held=[layout] if placed is None else [])
     done = model.objectives
     for _ in range(settings.max_rounds):
         # the moments pass also fills the kept table of document factors
-        w = _keep_by_document(solve_documents(x, h, gram, settings, id_col, h_bytes, max_bytes), id_col)
+        w = layout.keep(solve_documents(x, h, gram, settings, id_col, h_bytes, max_bytes))
         w_gram, cross, w_sum = _moments(w, "w", "a", k)
         model.errors.append(_error(x_square, cross, w_gram, gram))
 
@@ -192,7 +215,7 @@ def nmf_fit(
         done.append(fit + penalty)
         if len(done) > 1 and done[-2] - done[-1] <= settings.tol * done[-2]:
             break
-    w = _keep_by_document(solve_documents(x, h, gram, settings, id_col, h_bytes, max_bytes), id_col)
+    w = layout.keep(solve_documents(x, h, gram, settings, id_col, h_bytes, max_bytes))
     w_gram, cross, _ = _moments(w, "w", "a", k)
     model.errors.append(_error(x_square, cross, w_gram, gram))
     model.h = vocabulary.select("term", "term_idx").join(h.select("term_idx", "h"), "term_idx")
@@ -201,14 +224,6 @@ def nmf_fit(
     return model
 
 
-def _keep_by_document(df: DataFrame, id_col: str) -> DataFrame:
-    return (
-        df.repartition(shuffle_partitions(df.sparkSession), id_col)
-        .sortWithinPartitions(id_col)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-
-
 def _error(x_square: float, cross: float, w_gram: np.ndarray, h_gram: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, x_square - 2.0 * cross + np.sum(w_gram * h_gram))))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.markup import blocks, clean_markup, first_element_text, nth_paragraph
 from reviewloom.functions.text import leading_count, url_slug
+from reviewloom.operators.rows import explode_rows
 
 # Fixed values of the page layout
 BLOCKED_TITLE = "Pardon Our Interruption..."
@@ -69,12 +70,8 @@ def extract_reviews(
     with too few paragraphs gives a NULL text. Nothing is shuffled.
     """
     index = F.when(F.col("pro_or_con") == "pro", pro_paragraph).otherwise(con_paragraph)
-    found = pages.select(
-        "company_id",
-        "company_name",
-        "pro_or_con",
-        F.explode(blocks(clean_markup(F.col("html")), tag, css_class)).alias("block"),
-    )
+    found_blocks = blocks(clean_markup(F.col("html")), tag, css_class)
+    found = explode_rows(pages, found_blocks, "block", "company_id", "company_name", "pro_or_con")
     return found.select(
         "company_id", "company_name", "pro_or_con", nth_paragraph(F.col("block"), index).alias("review_text")
     )

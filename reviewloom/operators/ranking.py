@@ -1,58 +1,77 @@
 """Global order without a global sort task.
 
 Rows are cut into ranges at approximate quantiles of a numeric code, numbered
-inside their range, and shifted by the sizes of the ranges before. Only the
-table of range sizes, at most ``buckets + 1`` rows, is ever in one place.
+inside their range, and shifted by the sizes of the ranges before. The driver
+sees the cut points and the range sizes only, a fixed small number of each; with
+them as literals the plan of the result is one shuffle.
+
+The functions run small jobs over their input, so an input that is costly to
+compute should be kept by the caller.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 128
+SMALL_ROWS = 100_000
 _ACCURACY = 10_000
 
 
-def _tag_ranges(df: DataFrame, code: Column, buckets: int) -> DataFrame:
-    cuts = (
-        df.select(code.cast("double").alias("c"))
-        .agg(F.percentile_approx("c", [i / buckets for i in range(1, buckets)], _ACCURACY).alias("cuts"))
-        .scalar()
-    )
-    below = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_code")))
-    return (
-        df.withColumns({"_code": code.cast("double"), "_cuts": cuts})
-        .withColumn("_range", F.when(F.col("_code").isNull(), F.lit(-1)).otherwise(below))
-        .drop("_code", "_cuts")
-    )
+def cut_points(df: DataFrame, code: Column, buckets: int = BUCKETS) -> list[float]:
+    """At most ``buckets - 1`` increasing values cutting the rows into ranges of similar size."""
+    shares = [i / buckets for i in range(1, buckets)]
+    found = df.select(code.cast("double").alias("c")).agg(F.percentile_approx("c", shares, _ACCURACY)).first()[0]
+    return sorted(set(found or []))
+
+
+def _range_of(code: Column, cuts: Sequence[float]) -> Column:
+    """Number of cut points not above the code; -1 for NULL."""
+    if not cuts:
+        return F.when(code.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    below = F.size(F.filter(F.lit(list(cuts)), lambda cut: cut <= F.col("_code")))
+    return F.when(code.isNull(), F.lit(-1)).otherwise(below)
+
 
+def _tag_ranges(df: DataFrame, code: Column, cuts: Sequence[float]) -> DataFrame:
+    coded = df.withColumn("_code", code.cast("double"))
+    return coded.withColumn("_range", _range_of(F.col("_code"), cuts)).drop("_code")
 
-def _range_starts(tagged: DataFrame, size: Column) -> DataFrame:
-    """First position and end of every range; bounded by the number of ranges."""
-    sizes = tagged.groupBy("_range").agg(size.alias("_n"))
-    end = F.sum("_n").over(W.orderBy("_range"))
-    return sizes.select("_range", (end - F.col("_n")).alias("_start"), end.alias("_end"))
 
+def _sizes(tagged: DataFrame, size: Column, first: int, ranges: int) -> list[int]:
+    """Size of each range; there are as many as were asked for, whatever the data."""
+    found = dict(tagged.groupBy("_range").agg(size.alias("n")).collect())
+    return [found.get(i, 0) for i in range(first, first + ranges)]
 
-def global_rank(df: DataFrame, code: Column, order_by: Sequence[Column], out: str, buckets: int = BUCKETS) -> DataFrame:
+
+def _start(sizes: Sequence[int], first: int) -> Column:
+    starts = [0, *accumulate(sizes)][:-1]
+    return F.get(F.lit(starts).cast("array<bigint>"), F.col("_range") - first)
+
+
+def global_rank(
+    df: DataFrame, code: Column, order_by: Sequence[Column], out: str, buckets: int = BUCKETS, small: int = SMALL_ROWS
+) -> DataFrame:
     """Position 0..n-1 in the order ``order_by``.
 
     ``code`` is a number that never falls along that order; rows sharing a code
-    land in one range, so it should separate rows well.
+    land in one range, so it should separate rows well. A table counted to have
+    at most ``small`` rows is numbered in one step.
     """
-    tagged = _tag_ranges(df, code, buckets)
-    starts = _range_starts(tagged, F.count(F.lit(1)))
+    if df.limit(small + 1).count() <= small:
+        return df.withColumn(out, F.row_number().over(W.orderBy(*order_by)).cast("bigint") - 1)
+    cuts = cut_points(df, code, buckets)
+    tagged = _tag_ranges(df, code, cuts)
+    sizes = _sizes(tagged, F.count(F.lit(1)), -1, len(cuts) + 2)
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order_by))
-    return (
-        tagged.withColumn("_inside", inside)
-        .join(F.broadcast(starts.drop("_end")), "_range", "left")
-        .withColumn(out, F.col("_start") + F.col("_inside") - 1)
-        .drop("_range", "_inside", "_start")
-    )
+    return tagged.withColumn("_inside", inside).select(*df.columns, (_start(sizes, -1) + F.col("_inside") - 1).alias(out))
 
 
 def string_code(text: Column) -> Column:
@@ -63,9 +82,10 @@ def string_code(text: Column) -> Column:
 
 def pair_code(df: DataFrame, major: str, minor: str) -> Column:
     """Number that follows the order (major, minor) for whole numbers."""
-    span = df.agg(F.struct(F.min(minor).alias("lo"), F.max(minor).alias("hi")).alias("s")).scalar()
-    share = (F.col(minor) - span["lo"]) / (span["hi"] - span["lo"] + 1)
-    return F.col(major).cast("double") + share
+    low, high = df.agg(F.min(minor), F.max(minor)).first()
+    if low is None:
+        return F.col(major).cast("double")
+    return F.col(major).cast("double") + (F.col(minor) - low) / F.lit(float(high - low + 1))
 
 
 def with_row_id(df: DataFrame, out: str = "doc_id", buckets: int = 1024) -> DataFrame:
@@ -73,22 +93,21 @@ def with_row_id(df: DataFrame, out: str = "doc_id", buckets: int = 1024) -> Data
 
     The order is that of a hash of the row, which spreads rows evenly.
     """
-    columns = df.columns
-    tagged = df.withColumn("_hash", F.xxhash64(*columns)).withColumn("_range", F.pmod("_hash", F.lit(buckets)))
-    starts = _range_starts(tagged, F.count(F.lit(1)))
-    inside = F.row_number().over(W.partitionBy("_range").orderBy("_hash", *columns))
-    return (
-        tagged.withColumn("_inside", inside)
-        .join(F.broadcast(starts.drop("_end")), "_range", "left")
-        .select((F.col("_start") + F.col("_inside") - 1).alias(out), *columns)
-    )
+    tagged = df.withColumn("_hash", F.xxhash64(*df.columns)).withColumn("_range", F.pmod("_hash", F.lit(buckets)))
+    sizes = _sizes(tagged, F.count(F.lit(1)), 0, buckets)
+    inside = F.row_number().over(W.partitionBy("_range").orderBy("_hash", *df.columns))
+    numbered = tagged.withColumn("_inside", inside)
+    return numbered.select((_start(sizes, 0) + F.col("_inside") - 1).alias(out), *df.columns)
 
 
-def exact_quantiles(df: DataFrame, column: str, quantiles: Sequence[float], buckets: int = BUCKETS) -> DataFrame:
-    """One row with the exact quantiles ``q0, q1, ...`` (linear interpolation, NULL skipped).
+def exact_quantiles(
+    df: DataFrame, column: str, quantiles: Sequence[float], buckets: int = BUCKETS, small: int = SMALL_ROWS
+) -> list[float | None]:
+    """Exact quantiles with linear interpolation, NULL and NaN skipped; None without values.
 
-    Equal values are counted before anything is shuffled, and only the ranges
-    that hold a wanted position are sorted.
+    Equal values are counted before anything is shuffled. Up to ``small`` different
+    values are enough to read the quantiles off; ratings have a few dozen. With
+    more, only the ranges that hold a wanted position are sorted.
     """
     counts = (
         df.select(F.col(column).cast("double").alias("v"))
@@ -96,25 +115,28 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: Sequence[float], buck
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    tagged = _tag_ranges(counts, F.col("v"), buckets)
-    starts = _range_starts(tagged, F.sum("n"))
-    total = F.max("_end").over(W.partitionBy())
-    spots = [(total - 1).cast("double") * q for q in quantiles]
-    placed = starts.select("*", *[p.alias(f"_p{i}") for i, p in enumerate(spots)])
-    wanted = F.lit(False)
-    for i in range(len(quantiles)):
-        wanted = wanted | ((F.col("_start") <= F.ceil(f"_p{i}")) & (F.col("_end") > F.floor(f"_p{i}")))
-    # at most two ranges per quantile are left
-    kept = tagged.join(F.broadcast(placed.filter(wanted)), "_range")
-    last = F.col("_start") + F.sum("n").over(W.partitionBy("_range").orderBy("v"))
-    ranked = kept.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("n"))
-
-    def value_at(spot: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= spot) & (spot < F.col("_last")), F.col("v")))
-
-    result = []
-    for i in range(len(quantiles)):
-        low, high = value_at(F.floor(f"_p{i}")), value_at(F.ceil(f"_p{i}"))
-        part = F.max(F.col(f"_p{i}") - F.floor(f"_p{i}"))
-        result.append((low + (high - low) * part).alias(f"q{i}"))
-    return ranked.agg(*result)
+    few = counts.limit(small + 1).coalesce(1).collect()
+    if len(few) <= small:
+        few.sort()
+        ends = list(accumulate(n for _, n in few))
+        total = ends[-1] if ends else 0
+    else:
+        cuts = cut_points(counts, F.col("v"), buckets)
+        tagged = _tag_ranges(counts, F.col("v"), cuts)
+        sizes = _sizes(tagged, F.sum("n"), 0, len(cuts) + 1)
+        ends = list(accumulate(sizes))
+        total = ends[-1]
+    if total == 0:
+        return [None] * len(quantiles)
+
+    spots = [(total - 1) * q for q in quantiles]
+    wanted = sorted({position for spot in spots for position in (math.floor(spot), math.ceil(spot))})
+    groups = [bisect_right(ends, position) for position in wanted]
+    if len(few) <= small:
+        at = {position: few[group][0] for position, group in zip(wanted, groups)}
+    else:  # at most two ranges per quantile are left, and one value per wanted position is fetched
+        last = _start(sizes, 0) + F.sum("n").over(W.partitionBy("_range").orderBy("v"))
+        ranked = tagged.filter(F.col("_range").isin(*groups)).withColumn("_last", last)
+        holds = [(F.col("_last") - F.col("n") <= p) & (F.col("_last") > p) for p in wanted]
+        at = dict(zip(wanted, ranked.agg(*[F.max(F.when(hold, F.col("v"))) for hold in holds]).first()))
+    return [at[math.floor(s)] + (at[math.ceil(s)] - at[math.floor(s)]) * (s - math.floor(s)) for s in spots]

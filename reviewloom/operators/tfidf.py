@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from reviewloom.functions.text import ngrams, terms
 from reviewloom.operators.lookup import lookup_join, measured_bytes
 from reviewloom.operators.ranking import global_rank, string_code
-from reviewloom.session import ensure_checkpoint_dir, shuffle_partitions
+from reviewloom.operators.rows import explode_rows
+from reviewloom.session import ensure_checkpoint_dir
 
 MAX_DF = 0.9
 MIN_DF = 1000
@@ -22,9 +23,9 @@ def term_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "lemmatized_text", ngram: int = 1
 ) -> DataFrame:
     """(id, term, tf). Texts are placed by id once; counting their terms then needs no further shuffle."""
-    placed = docs.select(id_col, text_col).repartition(shuffle_partitions(docs.sparkSession), id_col)
+    words = docs.select(id_col, text_col).repartition(id_col).select(id_col, terms(F.col(text_col)).alias("words"))
     return (
-        placed.select(id_col, F.explode(ngrams(terms(F.col(text_col)), ngram)).alias("term"))
+        explode_rows(words, ngrams(F.col("words"), ngram), "term", id_col)
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -36,7 +37,7 @@ def term_stats(counts: DataFrame) -> DataFrame:
 
 
 def prune(
-    stats: DataFrame, n_docs: Column, min_df: int | float, max_df: int | float, max_features: int | None = None
+    stats: DataFrame, n_docs: int, min_df: int | float, max_df: int | float, max_features: int | None = None
 ) -> DataFrame:
     """Terms inside the document-frequency limits, both inclusive.
 
@@ -45,7 +46,7 @@ def prune(
     """
 
     def limit(value: int | float) -> Column:
-        return F.lit(value) if isinstance(value, int) else F.lit(value) * n_docs
+        return F.lit(value if isinstance(value, int) else value * n_docs)
 
     kept = stats.filter((F.col("df") >= limit(min_df)) & (F.col("df") <= limit(max_df)))
     if max_features is not None:
@@ -58,12 +59,12 @@ def with_index(stats: DataFrame) -> DataFrame:
     return global_rank(stats, string_code(F.col("term")), [F.col("term")], "term_idx", buckets=32)
 
 
-def idf(df: Column, n_docs: Column, kind: str = "smooth") -> Column:
+def idf(df: Column, n_docs: int, kind: str = "smooth") -> Column:
     """``smooth``: ln((1+n)/(1+df)) + 1; ``plain``: ln(n/df)."""
     if kind == "smooth":
-        return F.ln((n_docs + 1) / (df + 1)) + 1
+        return F.ln(F.lit(n_docs + 1) / (df + 1)) + 1
     if kind == "plain":
-        return F.ln(n_docs / df)
+        return F.ln(F.lit(n_docs) / df)
     raise ValueError(f"unknown idf: {kind}")
 
 
@@ -100,7 +101,7 @@ def tfidf(
     level = StorageLevel.MEMORY_AND_DISK
     ensure_checkpoint_dir(docs.sparkSession)
     counts = term_counts(docs, id_col, text_col, ngram).persist(level)
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    n_docs = docs.count()
     kept = prune(term_stats(counts), n_docs, min_df, max_df, max_features).persist(level)
     vocabulary = with_index(kept).withColumn("idf", idf(F.col("df"), n_docs, idf_kind)).checkpoint()
     kept.unpersist()

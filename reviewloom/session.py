@@ -44,5 +44,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+ROWS_PER_PARTITION = 1_000_000
+
+
+def placed_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions for a kept table of narrow rows.
+
+    One per ``ROWS_PER_PARTITION`` rows, at least one per core and, unless there
+    are more cores, no more than the session's shuffle partitions.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(most, max(cores, -(-rows // ROWS_PER_PARTITION)))

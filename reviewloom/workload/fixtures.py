@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import tokens
+from reviewloom.operators.rows import explode_rows
 from reviewloom.sources import read_spread
 
 MIN_RATINGS = 30
@@ -125,8 +126,7 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.col("token")
     kind = F.length("token") % 4
     return (
-        table(spark, sf_dir, "benchmark")
-        .select(F.explode(tokens(F.col("text"))).alias("token"))
+        explode_rows(table(spark, sf_dir, "benchmark"), tokens(F.col("text")), "token")
         .distinct()
         .select(
             "token",

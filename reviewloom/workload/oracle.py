@@ -141,7 +141,7 @@ def _weights(
     min_df: int = MIN_DF,
     max_df: str = "0.9e0",
     max_features: int | None = None,
-    words: str = TERMS,
+    words: str = "w",
 ) -> str:
     where = "" if polarity is None else f" WHERE pro_or_con = '{polarity}'"
     limit = "" if max_features is None else f" ORDER BY total DESC, term LIMIT {max_features}"
@@ -149,7 +149,7 @@ def _weights(
     return f"""docs{tag} AS (SELECT doc_id, review_text FROM fx{where}),
 n{tag} AS (SELECT count(*) AS n FROM docs{tag}),
 tf{tag} AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf
-       FROM (SELECT doc_id, unnest({words}) AS term FROM docs{tag}) GROUP BY ALL),
+       FROM (SELECT doc_id, unnest({words}) AS term FROM (SELECT doc_id, {TERMS} AS w FROM docs{tag})) GROUP BY ALL),
 kept{tag} AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf{tag} GROUP BY term
        HAVING count(*) >= {min_df} AND count(*) <= {max_df} * (SELECT n FROM n{tag}){limit}),
 voc{tag} AS MATERIALIZED (SELECT term, df, total, row_number() OVER (ORDER BY term) - 1 AS term_idx, {idf} AS idf
@@ -162,7 +162,7 @@ def _weight_query(**options) -> str:
     return f"WITH {REVIEWS}, {_weights(**options)} SELECT doc_id, term, term_idx, tf, round(x, 6) AS tfidf FROM mat"
 
 
-BIGRAMS = f"""list_transform(range(1, len({TERMS})), lambda i: ({TERMS})[i] || ' ' || ({TERMS})[i + 1])"""
+BIGRAMS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 
 # --- factorisation ---------------------------------------------------------
 
@@ -366,7 +366,7 @@ def oracle_sql() -> dict[str, str]:
         "stem_counts": f"""WITH {REVIEWS}, t AS (SELECT unnest({TERMS}) AS term FROM fx)
             SELECT {_stem("term")} AS stem, count(*) AS n FROM t GROUP BY 1""",
         "ngram_counts": f"""WITH {REVIEWS}, l AS (SELECT {TERMS} AS w FROM fx),
-            g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM l)
+            g AS (SELECT unnest({BIGRAMS}) AS ngram FROM l)
             SELECT ngram, count(*) AS n FROM g GROUP BY ngram""",
         "term_statistics": f"""WITH {REVIEWS}, t AS (SELECT doc_id, unnest({TERMS}) AS term FROM fx)
             SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM t GROUP BY term""",

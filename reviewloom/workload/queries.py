@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 import reviewloom as rl
 from reviewloom.functions.markup import first_element_text
 from reviewloom.functions.text import ngrams, safe_name, stem, terms, tokens, url_slug
+from reviewloom.operators.employers import cutoffs, min_count
 from reviewloom.operators.lemmas import DOMAIN_STOP_WORDS
 from reviewloom.operators.nmf import initial_h
 from reviewloom.operators.pages import page_url
+from reviewloom.operators.rows import explode_rows
 from reviewloom.operators.tfidf import prune, term_counts, term_stats, with_index
 from reviewloom.sources import explode_employers, parse_pages, project_employers
 from reviewloom.workload import fixtures as fx
@@ -58,29 +60,41 @@ def missing_pages(spark, d):
     return rl.missing_pages(landed, total)
 
 
-def employer_cutoffs(spark, d):
-    from reviewloom.operators.employers import cutoffs, min_count
+def _employers(spark, d):
+    """The employer table, kept: cut-offs, masks and counts each read it again."""
+    kept = fx.employers(spark, d).persist()
+    _hold(kept)
+    return kept
+
 
-    return cutoffs(min_count(fx.employers(spark, d), fx.MIN_RATINGS))
+def _tails(spark, d):
+    employers = fx.employers(spark, d).persist()
+    tails = rl.select_tails(employers, fx.MIN_RATINGS).persist()
+    _hold(employers, tails)
+    return tails
+
+
+def employer_cutoffs(spark, d):
+    return cutoffs(min_count(_employers(spark, d), fx.MIN_RATINGS))
 
 
 def employers_tails(spark, d):
-    return rl.select_tails(fx.employers(spark, d), fx.MIN_RATINGS)
+    return rl.select_tails(_employers(spark, d), fx.MIN_RATINGS)
 
 
 def employers_middle(spark, d):
-    return rl.select_middle(fx.employers(spark, d), fx.MIN_RATINGS)
+    return rl.select_middle(_employers(spark, d), fx.MIN_RATINGS)
 
 
 def employers_good_bad(spark, d):
-    good, bad = rl.split_by_mean(rl.select_tails(fx.employers(spark, d), fx.MIN_RATINGS))
+    good, bad = rl.split_by_mean(_tails(spark, d))
     return rl.work_list(good).select("*", F.lit("good").alias("side")).unionByName(
         rl.work_list(bad).select("*", F.lit("bad").alias("side"))
     )
 
 
 def work_batches(spark, d):
-    return rl.work_batches(rl.select_tails(fx.employers(spark, d), fx.MIN_RATINGS))
+    return rl.work_batches(_tails(spark, d))
 
 
 def _rounded_bins(bins):
@@ -88,12 +102,12 @@ def _rounded_bins(bins):
 
 
 def rating_histogram(spark, d):
-    selected = fx.employers(spark, d).filter(F.col("num_ratings") >= fx.MIN_RATINGS)
+    selected = min_count(_employers(spark, d), fx.MIN_RATINGS)
     return _rounded_bins(rl.histogram(selected, "overall_rating"))
 
 
 def segmented_histogram(spark, d):
-    parts = rl.segment(fx.employers(spark, d), fx.MIN_RATINGS)
+    parts = rl.segment(_employers(spark, d), fx.MIN_RATINGS)
     return _rounded_bins(rl.segmented_histogram({"middle": parts.employers, "tails": parts.tails}, "overall_rating"))
 
 
@@ -179,7 +193,7 @@ def polarity_split(spark, d):
 
 
 def text_tokens(spark, d):
-    found = fx.reviews(spark, d).select(F.explode(tokens(F.col("review_text"))).alias("token"))
+    found = explode_rows(fx.reviews(spark, d), tokens(F.col("review_text")), "token")
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -198,13 +212,14 @@ def lemmatized_text(spark, d):
 
 
 def stem_counts(spark, d):
-    found = fx.reviews(spark, d).select(F.explode(terms(F.col("review_text"))).alias("term"))
+    found = explode_rows(fx.reviews(spark, d), terms(F.col("review_text")), "term")
     counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(stem(F.col("term")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 def ngram_counts(spark, d):
-    found = fx.reviews(spark, d).select(F.explode(ngrams(terms(F.col("review_text")), 2)).alias("ngram"))
+    words = fx.reviews(spark, d).select(terms(F.col("review_text")).alias("words"))
+    found = explode_rows(words, ngrams(F.col("words"), 2), "ngram")
     return found.groupBy("ngram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -223,7 +238,7 @@ def term_statistics(spark, d):
 def vocabulary(spark, d):
     docs = _corpus(spark, d)
     stats = term_stats(term_counts(docs, text_col="review_text"))
-    kept = prune(stats, docs.agg(F.count(F.lit(1))).scalar(), MIN_DF, 0.9).persist()
+    kept = prune(stats, docs.count(), MIN_DF, 0.9).persist()
     _hold(kept)
     return with_index(kept)
 
