@@ -38,8 +38,8 @@ class NMFSettings:
     seed: int = 42
     max_rounds: int = 50
     tol: float = 1e-4
-    sweeps: int = 100
-    sweep_tol: float = 1e-8
+    sweeps: int = 50
+    sweep_tol: float = 1e-6
 
     @property
     def l1(self) -> float:
