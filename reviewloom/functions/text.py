@@ -133,9 +133,16 @@ def rule_pos(word: Column) -> Column:
     return pos.otherwise(F.lit("NOUN"))
 
 
-def rule_tagger(words: Column) -> Column:
+def rule_lemma(word: Column, whole: Iterable[str] = ()) -> Column:
+    """Stem of a word; words in ``whole`` stay as they are, so that a stop word is still known as one."""
+    whole = tuple(whole)
+    return F.when(word.isin(*whole), word).otherwise(stem(word)) if whole else stem(word)
+
+
+def rule_tagger(words: Column, whole: Iterable[str] = ()) -> Column:
     """Array of tokens -> array of (lemma, pos), by rules only."""
-    return F.transform(words, lambda t: F.struct(stem(t).alias("lemma"), rule_pos(t).alias("pos")))
+    whole = tuple(whole)
+    return F.transform(words, lambda t: F.struct(rule_lemma(t, whole).alias("lemma"), rule_pos(t).alias("pos")))
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -101,7 +101,8 @@ LEXICON = f"""lexicon AS (
 
 
 def _lemmas(with_lexicon: bool) -> str:
-    stem, pos = _stem("token"), _pos("token")
+    stem = f"CASE WHEN token IN {_list(DOMAIN_STOP_WORDS)} THEN token ELSE {_stem('token')} END"
+    pos = _pos("token")
     strip = f"trim(lemma, {_q(PUNCTUATION)})"
     if with_lexicon:
         tagged = f"""SELECT doc_id, position, coalesce(lemma, {stem}) AS lemma, coalesce(pos, {pos}) AS pos
