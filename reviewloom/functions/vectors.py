@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PARTIAL_BYTES = 8 * 1024 * 1024
+
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -58,12 +60,8 @@ def nonnegative_solver(gram: np.ndarray, l1: float, l2: float, sweeps: int, tol:
     return solve
 
 
-def cross_moments(df: DataFrame, left: str, right: str, rows: int, columns: int) -> DataFrame:
-    """Sum over all rows of the outer product of two vectors, as (i, j, value).
-
-    Each task adds up its own rows first, so only ``rows * columns`` numbers per
-    task are shuffled, and the result has exactly that many rows.
-    """
+def _partial_moments(df: DataFrame, left: str, right: str, rows: int, columns: int) -> DataFrame:
+    """One row per task: the sum of the outer products of its rows, flattened."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -73,9 +71,17 @@ def cross_moments(df: DataFrame, left: str, right: str, rows: int, columns: int)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], names=["m"])
 
+    return df.select(F.col(left).alias("l"), F.col(right).alias("r")).mapInArrow(partial, "m array<double>")
+
+
+def cross_moments(df: DataFrame, left: str, right: str, rows: int, columns: int) -> DataFrame:
+    """Sum over all rows of the outer product of two vectors, as (i, j, value).
+
+    Each task adds up its own rows first, so only ``rows * columns`` numbers per
+    task are shuffled, and the result has exactly that many rows.
+    """
     sums = (
-        df.select(F.col(left).alias("l"), F.col(right).alias("r"))
-        .mapInArrow(partial, "m array<double>")
+        _partial_moments(df, left, right, rows, columns)
         .select(F.posexplode("m").alias("p", "value"))
         .groupBy("p")
         .agg(F.sum("value").alias("value"))
@@ -85,8 +91,15 @@ def cross_moments(df: DataFrame, left: str, right: str, rows: int, columns: int)
     )
 
 
-def moment_matrix(df: DataFrame, left: str, right: str, rows: int, columns: int) -> np.ndarray:
-    """``cross_moments`` as a small matrix on the driver: topics by topics, never data-sized."""
+def moment_matrix(df: DataFrame, left: str, right: str, rows: int, columns: int, tasks: int) -> np.ndarray:
+    """``cross_moments`` as a small matrix on the driver: topics by topics, never data-sized.
+
+    ``tasks`` bounds the tasks of ``df``. While their partial sums fit in
+    ``PARTIAL_BYTES`` they are added here, otherwise by a shuffle.
+    """
+    if tasks * rows * columns * 8 <= PARTIAL_BYTES:
+        parts = _partial_moments(df, left, right, rows, columns).collect()
+        return sum((np.array(part.m) for part in parts), np.zeros(rows * columns)).reshape(rows, columns)
     out = np.zeros((rows, columns))
     for i, j, value in cross_moments(df, left, right, rows, columns).collect():
         out[i, j] = value

@@ -120,12 +120,9 @@ def initial_h(vocabulary: DataFrame, topics: int, seed: int) -> DataFrame:
     return vocabulary.select("term_idx", F.array(*[draw(t) for t in range(topics)]).alias("h"))
 
 
-def _weighted_sum(value: Column, vector: str, topics: int) -> list[Column]:
-    return [F.sum(value * F.col(vector)[t]).alias(f"s{t}") for t in range(topics)]
-
-
-def _gathered(topics: int) -> Column:
-    return F.array(*[F.col(f"s{t}") for t in range(topics)])
+def _weighted_sum(vector: str, topics: int) -> Column:
+    """Sum of ``x`` times a vector, as one generated aggregate of ``topics`` plain sums."""
+    return F.expr("array(" + ", ".join(f"sum(x * {vector}[{t}])" for t in range(topics)) + ")")
 
 
 def factor_bytes(h: DataFrame, topics: int) -> int:
@@ -138,15 +135,13 @@ def document_targets(
 ) -> DataFrame:
     """(id, a): the rows of X H'. H is broadcast when it is small, split by hot terms otherwise."""
     joined = lookup_join(x, h.select("term_idx", "h"), "term_idx", table_bytes=h_bytes, max_bytes=max_bytes)
-    sums = joined.groupBy(id_col).agg(*_weighted_sum(F.col("x"), "h", topics))
-    return sums.select(id_col, _gathered(topics).alias("a"))
+    return joined.groupBy(id_col).agg(_weighted_sum("h", topics).alias("a"))
 
 
 def term_targets(x: DataFrame, w: DataFrame, id_col: str, topics: int) -> DataFrame:
     """(term_idx, b): the columns of W'X. X is neither moved nor sorted; W comes to it by document."""
     joined = x.join(w.select(id_col, "w").hint("merge"), id_col)
-    sums = joined.groupBy("term_idx").agg(*_weighted_sum(F.col("x"), "w", topics))
-    return sums.select("term_idx", _gathered(topics).alias("b"))
+    return joined.groupBy("term_idx").agg(_weighted_sum("w", topics).alias("b"))
 
 
 def solve_documents(
@@ -168,13 +163,19 @@ def _solver(gram: np.ndarray, settings: NMFSettings):
 
 
 def _gram(h: DataFrame, topics: int) -> np.ndarray:
-    return moment_matrix(h, "h", "h", topics, topics)
+    return moment_matrix(h, "h", "h", topics, topics, _tasks(h))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Most tasks a kept or checkpointed factor table has."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _moments(df: DataFrame, factor: str, target: str, topics: int) -> tuple[np.ndarray, float, float]:
     """Gram matrix of a factor, its product sum with its target, and its total, in one pass."""
     wide = df.select(factor, F.concat(factor, target, F.array(F.lit(1.0))).alias("_wide"))
-    both = moment_matrix(wide, factor, "_wide", topics, 2 * topics + 1)
+    both = moment_matrix(wide, factor, "_wide", topics, 2 * topics + 1, _tasks(df))
     return both[:, :topics], float(np.trace(both[:, topics : 2 * topics])), float(both[:, -1].sum())
 
 
@@ -249,6 +250,5 @@ def reconstruction_error(matrix: DataFrame, w: DataFrame, h: DataFrame, topics:
     x = matrix.select(id_col, "term_idx", F.col("tfidf").alias("x"))
     x_square = x.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0]
     targets = document_targets(x, h, id_col, topics, factor_bytes(h, topics))
-    cross = np.trace(moment_matrix(targets.join(w.select(id_col, "w"), id_col), "w", "a", topics, topics))
-    w_gram = moment_matrix(w, "w", "w", topics, topics)
+    w_gram, cross, _ = _moments(w.select(id_col, "w").join(targets, id_col), "w", "a", topics)
     return _error(x_square, cross, w_gram, _gram(h, topics))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.vectors import cross_moments, vector_sum
 from reviewloom.operators.nmf import NMFModel, NMFSettings, nmf_fit, place_by_document
+from reviewloom.session import run_together
 
 LABEL_SHARE = 0.20
 SUMMARY_WORDS = 20
@@ -137,17 +140,23 @@ def topic_sweep(
     settings: NMFSettings,
     id_col: str = "doc_id",
     as_coded: bool = False,
+    at_once: int = 4,
 ) -> DataFrame:
-    """(topics, error, mean_cosine) for each number of topics; the weights are placed once."""
+    """(topics, error, mean_cosine) for each number of topics.
+
+    The weights are placed once and shared; ``at_once`` fits run side by side.
+    """
     spark = matrix.sparkSession
     placed = place_by_document(matrix, id_col)
     measure = mean_similarity_of_columns if as_coded else mean_similarity
-    rows = []
-    for k in topic_counts:
-        one = NMFSettings(**{**settings.__dict__, "topics": int(k)})
-        model = nmf_fit(matrix, vocabulary, one, id_col, placed=placed)
-        rows.append((int(k), model.errors[-1], measure(model.h, int(k)).first()["mean_cosine"]))
+
+    def fit(k: int) -> tuple[int, float, float]:
+        model = nmf_fit(matrix, vocabulary, replace(settings, topics=k), id_col, placed=placed)
+        row = (k, model.errors[-1], measure(model.h, k).first()["mean_cosine"])
         model.unpersist()
+        return row
+
+    rows = run_together(spark, [partial(fit, int(k)) for k in topic_counts], at_once)
     placed.unpersist()
     return spark.createDataFrame(rows, "topics int, error double, mean_cosine double")
 

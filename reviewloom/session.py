@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+Result = TypeVar("Result")
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -56,3 +62,14 @@ def placed_partitions(spark: SparkSession, rows: int) -> int:
     cores = spark.sparkContext.defaultParallelism
     most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return min(most, max(cores, -(-rows // ROWS_PER_PARTITION)))
+
+
+def run_together(spark: SparkSession, works: Iterable[Callable[[], Result]], at_once: int) -> list[Result]:
+    """Results of independent pieces of work, in order.
+
+    Each submits its own jobs; Spark fills the cores one leaves idle with the tasks
+    of another. Nothing but job submission happens in the threads.
+    """
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(work)) for work in works]
+        return [future.result() for future in running]

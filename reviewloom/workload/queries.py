@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,6 +18,7 @@ from reviewloom.operators.nmf import initial_h
 from reviewloom.operators.pages import page_url
 from reviewloom.operators.rows import explode_rows
 from reviewloom.operators.tfidf import prune, term_counts, term_stats, with_index
+from reviewloom.session import run_together
 from reviewloom.sources import explode_employers, parse_pages, project_employers
 from reviewloom.workload import fixtures as fx
 
@@ -389,8 +391,9 @@ def mean_similarity_of_columns(spark, d):
 
 
 def shared_topics(spark, d):
-    pro_weights, pro = _fit(spark, d, "pro")
-    con_weights, con = _fit(spark, d, "con")
+    (pro_weights, pro), (con_weights, con) = run_together(
+        spark, [partial(_fit, spark, d, side) for side in ("pro", "con")], 2
+    )
     _hold(pro_weights, pro, con_weights, con)
     return rl.shared_topics(pro, con, threshold=0.3).select("pro_topic", "con_topic", _r("cosine"))
 
@@ -402,9 +405,9 @@ def topic_sweep(spark, d):
 
 
 def polarity_topics(spark, d):
-    """Both corpora from review text to topic table, fitted until they settle."""
+    """Both corpora from review text to topic table, fitted until they settle or for 15 rounds."""
     lemmas = rl.lemmatize(_corpus(spark, d), stop_words=DOMAIN_STOP_WORDS)
-    runs = rl.topic_runs(lemmas, {"pro": 4, "con": 3}, min_df=10)
+    runs = rl.topic_runs(lemmas, {"pro": 4, "con": 3}, rl.NMFSettings(1, max_rounds=15), min_df=10)
     _hold(*runs.values())
     tables = [run.summary.select(F.lit(side).alias("side"), "*") for side, run in runs.items()]
     both = tables[0].unionByName(tables[1])
