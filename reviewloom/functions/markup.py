@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MAX_CODE = 0x10FFFF
+_ALL = 2**30  # longer than any array, short enough not to overflow in slice
 
 
 def clean_markup(page: Column) -> Column:
@@ -86,8 +87,7 @@ def blocks(page: Column, tag: str, css_class: str | None = None) -> Column:
         opening = rf"(?i)<{tag}(?:\s[^>]*)?>"
     else:
         opening = rf"""(?i)<{tag}\s(?:[^>]*\s)?class\s*=\s*["']{css_class}["'][^>]*>"""
-    cut = F.split(page, opening)
-    chunks = F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0)))
+    chunks = F.slice(F.split(page, opening), 2, _ALL)
 
     def close(chunk: Column) -> Column:
         parts = F.split(chunk, rf"(?i)</{tag}\s*>")

@@ -70,8 +70,11 @@ def extract_reviews(
     with too few paragraphs gives a NULL text. Nothing is shuffled.
     """
     index = F.when(F.col("pro_or_con") == "pro", pro_paragraph).otherwise(con_paragraph)
-    found_blocks = blocks(clean_markup(F.col("html")), tag, css_class)
-    found = explode_rows(pages, found_blocks, "block", "company_id", "company_name", "pro_or_con")
+    # a column of its own: the cleaned page is read more than once
+    clean = pages.withColumn("html", clean_markup(F.col("html")))
+    found = explode_rows(
+        clean, blocks(F.col("html"), tag, css_class), "block", "company_id", "company_name", "pro_or_con"
+    )
     return found.select(
         "company_id", "company_name", "pro_or_con", nth_paragraph(F.col("block"), index).alias("review_text")
     )

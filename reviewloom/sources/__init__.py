@@ -1,6 +1,7 @@
 """Scans and sinks: tables, work lists, landed result pages."""
 
 from reviewloom.sources.json_pages import (
+    announced_pages,
     explode_employers,
     load_employers,
     missing_pages,
@@ -22,6 +23,7 @@ from reviewloom.sources.tables import (
 )
 
 __all__ = [
+    "announced_pages",
     "append_rows",
     "empty_table",
     "explode_employers",

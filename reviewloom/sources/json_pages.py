@@ -51,21 +51,13 @@ def load_employers(spark: SparkSession, path: str) -> DataFrame:
     return project_employers(explode_employers(spark.read.schema(EMPLOYER_PAGE).json(path)))
 
 
-def missing_pages(landed: DataFrame, total: Column, page_col: str = "page_num", max_tries: int = MAX_TRIES) -> DataFrame:
+def missing_pages(landed: DataFrame, total: int, page_col: str = "page_num", max_tries: int = MAX_TRIES) -> DataFrame:
     """Pages 1..total without a successful response.
 
     ``tries`` counts the failed responses; ``retry`` is false once a page has used
-    up its tries. ``total`` is a literal or a scalar subquery such as
-    ``landed.agg(F.max("response.totalNumberOfPages")).scalar()``.
+    up its tries.
     """
-    spark = landed.sparkSession
-    width = 10_000  # the page numbers are laid out in two steps, so no single array grows with the total
-    blocks = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.floor((total - 1) / width))).alias("block"))
-    expected = (
-        blocks.select((F.col("block") * width).alias("base"), F.explode(F.sequence(F.lit(1), F.lit(width))).alias("i"))
-        .select((F.col("base") + F.col("i")).alias(page_col))
-        .filter(F.col(page_col) <= total)
-    )
+    expected = landed.sparkSession.range(1, total + 1).select(F.col("id").alias(page_col))
     seen = landed.groupBy(F.col(page_col).cast("long").alias(page_col)).agg(
         F.count(F.lit(1)).alias("seen"), F.max(F.coalesce("success", F.lit(False))).alias("done")
     )
@@ -75,3 +67,8 @@ def missing_pages(landed: DataFrame, total: Column, page_col: str = "page_num",
         .filter(~F.coalesce("done", F.lit(False)))
         .select(page_col, tries.alias("tries"), (tries < max_tries).alias("retry"))
     )
+
+
+def announced_pages(pages: DataFrame) -> int:
+    """Number of pages the landed responses say there are."""
+    return pages.agg(F.coalesce(F.max("response.totalNumberOfPages"), F.lit(0))).first()[0]

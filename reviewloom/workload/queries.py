@@ -58,8 +58,7 @@ def json_values(spark, d):
 
 def missing_pages(spark, d):
     landed = fx.landed_pages(spark, d)
-    total = (landed.agg(F.max("page_num")).select(F.col("max(page_num)") + 5)).scalar()
-    return rl.missing_pages(landed, total)
+    return rl.missing_pages(landed, landed.agg(F.max("page_num")).first()[0] + 5)
 
 
 def _employers(spark, d):

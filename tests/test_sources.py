@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 import reviewloom as rl
 from reviewloom import sources
 from reviewloom.schemas import EMPLOYER_PAGE, EMPLOYERS, REVIEWS
@@ -39,13 +37,14 @@ def test_bad_ids_are_reported_not_raised(spark):
 
 def test_missing_pages(spark):
     landed = spark.createDataFrame([(1, True), (2, False), (2, True), *[(3, False)] * 5, (4, False)], "page_num int, success boolean")
-    rows = {(r.page_num, r.tries, r.retry) for r in rl.missing_pages(landed, F.lit(6)).collect()}
+    rows = {(r.page_num, r.tries, r.retry) for r in rl.missing_pages(landed, 6).collect()}
     assert rows == {(3, 5, False), (4, 1, True), (5, 0, True), (6, 0, True)}
 
 
-def test_missing_pages_beyond_one_block(spark):
-    landed = spark.range(1, 25_001).select(F.col("id").alias("page_num"), (F.col("id") != 10_001).alias("success"))
-    assert [r.page_num for r in rl.missing_pages(landed, F.lit(25_000)).collect()] == [10_001]
+def test_announced_pages(spark):
+    pages = sources.parse_pages(spark.createDataFrame([(page([]),), ('{"success": false}',)], "body string"))
+    assert sources.announced_pages(pages) == 3
+    assert sources.announced_pages(pages.limit(0)) == 0
 
 
 def test_tables_shards_and_appends(spark, tmp_path):
