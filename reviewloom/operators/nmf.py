@@ -36,6 +36,7 @@ class NMFSettings:
     alpha: float = 0.1
     l1_ratio: float = 0.5
     seed: int = 42
+    seed_documents: int = 3
     max_rounds: int = 50
     tol: float = 1e-4
     sweeps: int = 50
@@ -110,14 +111,26 @@ def place_by_document(matrix: DataFrame, id_col: str) -> Placed:
     return Placed(layout.keep(weights), id_col, layout.partitions)
 
 
-def initial_h(vocabulary: DataFrame, topics: int, seed: int) -> DataFrame:
-    """Reproducible pseudo-random H in (0, 1] from a digest of term index, topic and seed."""
-
-    def draw(topic: int) -> Column:
-        text = F.concat(F.col("term_idx").cast("string"), F.lit(f"|{topic}|{seed}"))
-        return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 1.0) / 4294967296.0
+def initial_h(
+    x: DataFrame, vocabulary: DataFrame, topics: int, seed: int, seed_documents: int = 3, id_col: str = "doc_id"
+) -> DataFrame:
+    """(term_idx, h) to start from: each topic is the mean of a few documents of its own.
 
-    return vocabulary.select("term_idx", F.array(*[draw(t) for t in range(topics)]).alias("h"))
+    The documents are those with the smallest digests of id and seed, dealt out in
+    turn, so the start is reproducible. Unlike noise, which makes all topics alike
+    and lets the penalty empty all but one, documents point in different directions.
+    """
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
+    wanted = topics * seed_documents
+    ids = x.select(id_col).distinct().orderBy(digest, id_col).limit(wanted).collect()
+    schema = f"{id_col} {x.schema[id_col].dataType.simpleString()}, topic int"
+    dealt = x.sparkSession.createDataFrame([(row[0], i % topics) for i, row in enumerate(ids)], schema)
+    means = ", ".join(f"sum(if(topic = {t}, x, 0D)) / {seed_documents}D" for t in range(topics))
+    picked = x.join(F.broadcast(dealt), id_col).groupBy("term_idx").agg(F.expr(f"array({means})").alias("h"))
+    zero = F.array(*[F.lit(0.0)] * topics)
+    return vocabulary.select("term_idx").join(picked, "term_idx", "left").select(
+        "term_idx", F.coalesce("h", zero).alias("h")
+    )
 
 
 def _weighted_sum(vector: str, topics: int) -> Column:
@@ -197,7 +210,7 @@ def nmf_fit(
     layout = place_by_document(matrix, id_col) if placed is None else placed
     x = layout.weights
     x_square = x.agg(F.coalesce(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).first()[0]
-    h = initial_h(vocabulary, k, settings.seed).checkpoint()
+    h = initial_h(x, vocabulary, k, settings.seed, settings.seed_documents, id_col).checkpoint()
     h_bytes = factor_bytes(h, k)
     gram = _gram(h, k)
     model = NMFModel(settings, h, h, id_col, held=[layout] if placed is None else [])

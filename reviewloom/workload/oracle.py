@@ -170,9 +170,18 @@ BIGRAMS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 K = range(CHECKED.topics)
 
 
-def _draw(topic: int) -> str:
-    text = f"term_idx || '|{topic}|{CHECKED.seed}'"
-    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) + 1e0) / 4294967296e0 AS h{topic}"
+def _start(tag: str) -> str:
+    """The first H: means of the documents with the smallest digests, dealt out in turn."""
+    many = len(K) * CHECKED.seed_documents
+    means = ", ".join(
+        f"coalesce(sum(CASE WHEN topic = {t} THEN x END), 0) / {CHECKED.seed_documents}e0 AS h{t}" for t in K
+    )
+    return f"""dealt{tag} AS (SELECT doc_id, (place - 1) % {len(K)} AS topic FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|{CHECKED.seed}'), doc_id) AS place
+  FROM (SELECT DISTINCT doc_id FROM mat{tag})) WHERE place <= {many}),
+h{tag}_0 AS MATERIALIZED (SELECT term_idx, {means}
+  FROM voc{tag} LEFT JOIN (SELECT term_idx, x, topic FROM mat{tag} JOIN dealt{tag} USING (doc_id)) USING (term_idx)
+  GROUP BY term_idx)"""
 
 
 def _gram(name: str, source: str, v: str) -> str:
@@ -200,8 +209,7 @@ def _solve(name: str, source: str, gram: str, key: str, goal: str, v: str) -> li
 
 def _factors(tag: str = "") -> str:
     """Tables w<r> and h<r> after each round; the last document step has its own number."""
-    draws = ", ".join(_draw(t) for t in K)
-    parts = [f"h{tag}_0 AS MATERIALIZED (SELECT term_idx, {draws} FROM voc{tag})"]
+    parts = [_start(tag)]
     rounds = CHECKED.max_rounds
     for r in range(1, rounds + 2):
         h, w = f"h{tag}_{r - 1}", f"w{tag}_{r}"

@@ -305,7 +305,8 @@ def _columns(vector, k=CHECKED.topics):
 
 def nmf_start(spark, d):
     weights = _weights(spark, d, "pro")
-    start = initial_h(weights.vocabulary, CHECKED.topics, CHECKED.seed)
+    x = weights.matrix.select("doc_id", "term_idx", F.col("tfidf").alias("x"))
+    start = initial_h(x, weights.vocabulary, CHECKED.topics, CHECKED.seed, CHECKED.seed_documents)
     return start.select("term_idx", *_columns("h"))
 
 

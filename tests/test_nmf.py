@@ -105,7 +105,7 @@ def test_weights_stay_in_place_during_a_round(corpus):
     _, weights, _ = corpus
     placed = nmf.place_by_document(weights.matrix, "doc_id")
     placed.weights.count()
-    h = nmf.initial_h(weights.vocabulary, 2, 1)
+    h = nmf.initial_h(placed.weights, weights.vocabulary, 2, 1)
     targets = nmf.document_targets(placed.weights, h, "doc_id", 2, h_bytes=1)
     plan = targets._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
