@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +40,16 @@ def body(text: str | Column) -> Column:
 def ranges(spark: SparkSession, rows: int, per_range: int = ROWS_PER_RANGE) -> int:
     """Partitions for a table of narrow rows: they grow with the rows."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // per_range))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 2000, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and about ``size`` bytes of text, whole rows each."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = int(np.searchsorted(ends, before + size, side="right"))
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end

@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import exact_dedup, sharding
+from reviewloom.llm import bpe_lexicon, chat_format, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (sharding.op1_jump_sharding, exact_dedup.op5_exact_dedup)
+    found = (
+        sharding.op1_jump_sharding,
+        chat_format.op4_chat_windows,
+        exact_dedup.op5_exact_dedup,
+        bpe_lexicon.op6_bpe_lexicon,
+    )
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jump_sharding": sharding.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_jump_sharding": sharding.ORACLE,
+        "op4_chat_windows": chat_format.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+    }
