@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import bpe_lexicon, chat_format, exact_dedup, sharding
+from reviewloom.llm import bpe_lexicon, chat_format, exact_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         sharding.op1_jump_sharding,
+        packing.op3_best_fit_packing,
         chat_format.op4_chat_windows,
         exact_dedup.op5_exact_dedup,
         bpe_lexicon.op6_bpe_lexicon,
