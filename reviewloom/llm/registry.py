@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import bpe_lexicon, chat_format, exact_dedup, minhash_dedup, packing, sharding
+from reviewloom.llm import bpe_lexicon, chat_format, embedding_join, exact_dedup, minhash_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chat_format.op4_chat_windows,
         exact_dedup.op5_exact_dedup,
         bpe_lexicon.op6_bpe_lexicon,
+        embedding_join.op9_grid_order_join,
         minhash_dedup.op10_minhash_near_dedup,
     )
     return {query.__name__: query for query in found}
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_jump_sharding": sharding.ORACLE,
         "op4_chat_windows": chat_format.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op9_grid_order_join": embedding_join.ORACLE,
         "op10_minhash_near_dedup": minhash_dedup.ORACLE,
     }
