@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import bpe_lexicon, chat_format, embedding_join, exact_dedup, minhash_dedup, packing, sharding
+from reviewloom.llm import bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         sharding.op1_jump_sharding,
+        html_extract.op2_html_extraction,
         packing.op3_best_fit_packing,
         chat_format.op4_chat_windows,
         exact_dedup.op5_exact_dedup,
