@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, packing, sharding
+from reviewloom.llm import bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, packing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chat_format.op4_chat_windows,
         exact_dedup.op5_exact_dedup,
         bpe_lexicon.op6_bpe_lexicon,
+        quality.op7_quality_bayes,
+        toxicity.op8_toxicity_neighbours,
         embedding_join.op9_grid_order_join,
         minhash_dedup.op10_minhash_near_dedup,
     )
