@@ -236,6 +236,16 @@ def near_duplicates(
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest id; all columns stay.
+
+    Documents are near copies from a similarity of ``per_cent`` on; see ``near_duplicates``.
+    """
+    found = near_duplicates(docs, id_col, text_col, per_cent)
+    away = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__near_id"))
+    return docs.join(away, F.col(id_col) == F.col("__near_id"), "left_anti")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
