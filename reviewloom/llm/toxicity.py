@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and beginnings of words whose use differs between the labels. The
+Terms are words and beginnings of words that stand mostly in texts with label 1. The
 tokens of a text without any of them count together as one more term. The
 labelled examples lie in an inverted index whose postings come in blocks with the
 largest weight of each. A search adds the block maxima up to bounds and opens blocks
@@ -12,6 +12,7 @@ examples with each left out.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import body, table
+from reviewloom.llm.common import body, share, table
 
 EXAMPLES = 20_000  # labelled rows to learn from, at most
 TERMS = 4_000  # terms of the index, at most
 LEAST_DOCS = 5
+LEAST_SHARE = 0.7  # of the documents with a term, those with label 1
 LEAST_CHI2 = 30.0  # a chance difference this large is rarer than one in ten million terms
 BLOCK = 64
 NEIGHBOURS = 15
@@ -101,6 +103,7 @@ def choose_terms(sample: DataFrame, most: int = TERMS) -> tuple[list[str], list[
         chi2 = F.when(spread > 0, (n * (a - m * ones / n) ** 2) / spread)
         best = (
             counts.filter("term <> ''")
+            .filter(a >= LEAST_SHARE * m)
             .select("term", m.alias("m"), chi2.alias("chi2"))
             .filter(F.col("chi2") >= LEAST_CHI2)
             .orderBy(F.desc("chi2"), "term")
@@ -149,51 +152,57 @@ class Index:
         self.rows, terms, self.weights = rows[order], terms[order], weights[order]
         self.starts = np.searchsorted(terms, np.arange(self.other + 2))
         self.blocks = -(-len(made) // BLOCK)
-        self.tops = []  # per term: the blocks it is in, its largest weight there, where the block's postings start
+        self.tops = []  # per term: the blocks it is in, its largest weight there
+        self.spans = []  # per term: where the postings of each block lie
         for t in range(self.other + 1):
-            a, b = self.starts[t], self.starts[t + 1]
+            a, b = int(self.starts[t]), int(self.starts[t + 1])
             at, first = np.unique(self.rows[a:b] // BLOCK, return_index=True)
             tops = np.maximum.reduceat(self.weights[a:b], first) if b > a else np.zeros(0)
-            self.tops.append((at, tops, np.append(first + a, b)))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the ``k`` nearest examples that share a term, nearest first, ties by row."""
+            ends = [*(first + a).tolist(), b]
+            self.tops.append((at, tops))
+            self.spans.append(dict(zip(at.tolist(), zip(ends, ends[1:]))))
+        self.inside = self.rows % BLOCK
+
+    def nearest(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, floor: float = 0.0
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the ``k`` nearest examples above ``floor``, nearest first, ties by row."""
         bounds = np.zeros(self.blocks)
         for t, w in zip(terms.tolist(), weights.tolist()):
-            at, tops, _ = self.tops[t]
+            at, tops = self.tops[t]
             bounds[at] += w * tops
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        worst = 0.0
-        for start in range(0, len(order), 8):  # a few blocks at a time
-            some = order[start : start + 8]
-            if len(rows) >= k and bounds[some[0]] < worst - 1e-12:
+        able = np.flatnonzero(bounds > floor + 1e-12)
+        order = able[np.argsort(-bounds[able], kind="stable")]
+        wanted = [(self.spans[t], w) for t, w in zip(terms.tolist(), weights.tolist())]
+        found: list[tuple[float, int]] = []  # (-cosine, row)
+        worst = floor
+        for block in order.tolist():
+            if bounds[block] < worst - 1e-12:
                 break
-            sums = np.zeros(len(some) * BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                at, _, ends = self.tops[t]
-                for slot, block in enumerate(some.tolist()):
-                    i = int(np.searchsorted(at, block))
-                    if i < len(at) and at[i] == block:
-                        a, b = ends[i], ends[i + 1]
-                        sums[slot * BLOCK + self.rows[a:b] - block * BLOCK] += w * self.weights[a:b]
-            hit = np.nonzero(sums)[0]
-            rows = np.concatenate([rows, some[hit // BLOCK] * BLOCK + hit % BLOCK])
-            scores = np.concatenate([scores, sums[hit]])
-            if skip >= 0:
-                rows, scores = rows[rows != skip], scores[rows != skip]
-            best = np.lexsort((rows, -scores))[:k]
-            rows, scores = rows[best], scores[best]
-            worst = scores[-1] if len(scores) >= k else 0.0
-        return rows, scores
+            sums = np.zeros(BLOCK)
+            for spans, w in wanted:
+                span = spans.get(block)
+                if span:
+                    a, b = span
+                    sums[self.inside[a:b]] += w * self.weights[a:b]
+            hits = np.flatnonzero(sums > worst - 1e-12)
+            if len(hits):
+                found += [(-c, r) for c, r in zip(sums[hits].tolist(), (hits + block * BLOCK).tolist()) if r != skip and c > floor]
+                found = sorted(found)[:k]
+                if len(found) == k:
+                    worst = max(floor, -found[-1][0])
+        return np.array([r for _, r in found], dtype=np.int64), np.array([-c for c, _ in found])
+
+    def _floor(self, bare_cosine: float) -> float:
+        """Closeness that examples without terms reach anyway, if there are enough of them to fill all places."""
+        return bare_cosine if self.bare >= NEIGHBOURS else 0.0
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray, bare_cosine: float) -> float:
         """Share of label 1 among the nearest, each weighted by its closeness, with a little of the prior.
 
         Examples without terms are all at ``bare_cosine`` and take the places it earns them.
         """
-        nearer = int((cosines >= bare_cosine).sum())
+        nearer = int((cosines > bare_cosine).sum())
         bare = min(max(NEIGHBOURS - nearer, 0), self.bare)
         some = np.minimum(cosines[: NEIGHBOURS - bare], 1.0)
         weights = 1 / (1.05 - some)
@@ -215,7 +224,7 @@ class Index:
         for i in chosen:
             terms, weights = np.array(spans[i][0]), np.array(spans[i][1])
             away = float(weights[terms == self.other].sum())
-            votes.append(self.vote(*self.nearest(terms, weights, NEIGHBOURS, i), away))
+            votes.append(self.vote(*self.nearest(terms, weights, NEIGHBOURS, i, self._floor(away)), away))
         votes = np.array(votes)
         y = self.labels[list(chosen)]
         x = np.stack([votes, np.ones(len(votes))], axis=1)
@@ -233,8 +242,9 @@ class Index:
         if not self.ids or not any(t != self.other for t in counts):
             return self.bare_score, [], []
         terms, weights = self.vector(counts)
-        rows, cosines = self.nearest(terms, weights, NEIGHBOURS)
-        vote = self.vote(rows, cosines, float(weights[terms == self.other].sum()))
+        away = float(weights[terms == self.other].sum())
+        rows, cosines = self.nearest(terms, weights, NEIGHBOURS, floor=self._floor(away))
+        vote = self.vote(rows, cosines, away)
         score = 1 / (1 + math.exp(-(self.scale[0] * vote + self.scale[1])))
         return score, [self.ids[r] for r in rows.tolist()], cosines.tolist()
 
@@ -294,14 +304,14 @@ def fit(
 
 def score_column(spark: SparkSession, index: Index, text: Column) -> Column:
     """Struct ``score, neighbours, cosines`` for a text column."""
-    shared = spark.sparkContext.broadcast(index)
+    shared = share(spark, index)
 
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = None
+        found_index = pickle.loads(shared.value)
+        counter = TermCounter(found_index.number)
         for texts in batches:
-            counter = counter or TermCounter(shared.value.number)
-            found = [shared.value.score(counter.count(t)) for t in texts]
+            found = [found_index.score(counter.count(t)) for t in texts]
             yield pd.DataFrame(found, columns=["score", "neighbours", "cosines"])
 
     return scored(text)
