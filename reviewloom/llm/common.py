@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def share(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast of an object with its class as code; a task opens its value with ``pickle.loads``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
 def body(text: str | Column) -> Column:
     """The whole text, empty where it is NULL."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -9,7 +9,9 @@ from reviewloom.llm.common import keep
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id, component`` for every id in ``links`` (``a, b``): the smallest id reachable, itself included.
+    """``id, component`` for the ids in ``links`` (``a, b``): the smallest id reachable.
+
+    An id that is itself the smallest of its component has no row.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each id hands
     its smallest neighbour to the others, until every link goes to the smallest id of

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm import boosting
-from reviewloom.llm.common import body, slices, table
+from reviewloom.llm.common import body, share, slices, table
 from reviewloom.llm.html_layouts import Layout
 from reviewloom.llm.html_tree import block_text, decode, features, parse
 
@@ -56,12 +57,13 @@ def extract_pages(
     as far as it goes. Repeated rows repeat; an empty table gives no rows; other columns
     are not read. Pages are read in their scan's tasks, nothing is shuffled.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or train())
+    shared = share(pages.sparkSession, model or train())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = pickle.loads(shared.value)
         for batch in batches:
             for part in slices(batch, 2, rows=500):
-                texts = extract(shared.value, part.column(2).to_pylist())
+                texts = extract(trees, part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
                 )

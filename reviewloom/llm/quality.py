@@ -10,6 +10,7 @@ log odds.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm import boosting
-from reviewloom.llm.common import body, keep, table
+from reviewloom.llm.common import body, keep, share, table
 from reviewloom.llm.toxicity import labelled_sample
 from reviewloom.operators.lookup import lookup_join
 
@@ -75,12 +76,13 @@ def evidence(spark: SparkSession, model: boosting.Trees | None, text: Column) ->
     """Probability that a text is good, by the text alone; 1 without a model."""
     if model is None:
         return F.lit(1.0)
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trees = pickle.loads(shared.value)
         for texts in batches:
-            scores = shared.value.scores(np.array([surface(t) for t in texts]).reshape(len(texts), -1))
+            scores = trees.scores(np.array([surface(t) for t in texts]).reshape(len(texts), -1))
             yield pd.Series(1 / (1 + np.exp(-np.clip(scores, -30, 30))))
 
     return scored(text)
