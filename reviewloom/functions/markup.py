@@ -34,7 +34,7 @@ def decode_entities(text: Column) -> Column:
         F.split(text, "&"),
         lambda p, i: F.struct(
             p.alias("piece"),
-            F.when(i > 0, F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1))
+            F.when(i > 0, F.regexp_extract(p, "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1))
             .otherwise(F.lit(""))
             .alias("name"),
             i.alias("i"),
@@ -47,8 +47,11 @@ def decode_entities(text: Column) -> Column:
             s["name"].alias("name"),
             s["i"].alias("i"),
             F.when(s["name"] == "", F.lit(None).cast("long"))
-            .when(s["name"].rlike("^#[0-9]"), F.substring(s["name"], 2, 7).try_cast("long"))
-            .when(s["name"].startswith("#"), F.conv(F.substring(s["name"], 3, 6), 16, 10).try_cast("long"))
+            .when(s["name"].rlike("^#[0-9]"), F.substr(s["name"], F.lit(2)).try_cast("long"))
+            .when(
+                s["name"].rlike("^#[xX]0*[0-9a-fA-F]{1,8}$"), F.conv(F.substr(s["name"], F.lit(3)), 16, 10).try_cast("long")
+            )
+            .when(s["name"].startswith("#"), F.lit(None).cast("long"))
             .otherwise(F.try_element_at(named, s["name"]).cast("long"))
             .alias("code"),
         ),

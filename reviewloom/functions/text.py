@@ -89,18 +89,33 @@ def _cut(word: Column, n: int) -> Column:
     return F.substring(word, F.lit(1), F.length(word) - n)
 
 
+# What is left of a word without -ing or -ed: a doubled consonant was single before
+# (running), a short syllable or one of these endings had an e (making, loved)
+DOUBLED = "(bb|dd|gg|mm|nn|pp|rr|tt)$"
+HAD_E = "(v|c|u|[eio]s|[aeiou]g|[^aeiou]at|eat|^[^aeiouy]*[aeiou][^aeiouwxy])$"
+VOWEL = "[aeiouy]"
+
+
+def _base(rest: Column) -> Column:
+    return (
+        F.when(rest.rlike(DOUBLED), _cut(rest, 1)).when(rest.rlike(HAD_E), F.concat(rest, F.lit("e"))).otherwise(rest)
+    )
+
+
 def stem(word: Column) -> Column:
     """Suffix rules for words a lexicon does not know: plural s, -ing and -ed."""
+    without_ing, without_ed = _cut(word, 3), _cut(word, 2)
     return (
-        F.when(word.endswith("ss") | word.endswith("us") | word.endswith("is"), word)
+        F.when(word.endswith("ss") | word.endswith("us") | word.endswith("is") | word.endswith("eed"), word)
+        .when(_ends(word, "sses", 6), _cut(word, 2))
         .when(_ends(word, "ies", 5), F.concat(_cut(word, 3), F.lit("y")))
         .when(
             _ends(word, "ches", 6) | _ends(word, "shes", 6) | _ends(word, "xes", 5) | _ends(word, "zes", 5),
             _cut(word, 2),
         )
         .when(_ends(word, "s", 4), _cut(word, 1))
-        .when(_ends(word, "ing", 6), _cut(word, 3))
-        .when(_ends(word, "ed", 5), _cut(word, 2))
+        .when(_ends(word, "ing", 6) & without_ing.rlike(VOWEL), _base(without_ing))
+        .when(_ends(word, "ed", 4) & without_ed.rlike(VOWEL), _base(without_ed))
         .otherwise(word)
     )
 

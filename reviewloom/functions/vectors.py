@@ -27,13 +27,14 @@ def vector_sum(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def nonnegative_solver(gram: np.ndarray, l1: float, l2: float, sweeps: int, tol: float):
+def nonnegative_solver(gram: np.ndarray, l1: float, l2: float, sweeps: int | None, tol: float):
     """Column function solving one small non-negative least-squares problem per row.
 
     For a target ``t`` it returns the ``w >= 0`` that minimises
     ``w'Gw/2 - t'w + l1*sum(w) + l2*w'w/2`` by cyclic coordinate descent from zero.
-    Rows are independent, so the result does not depend on the partitioning. Work
-    is ``sweeps * k * k`` per row, done on whole Arrow batches.
+    A row stops when its own largest move is at most ``tol`` of its largest entry (or
+    of 1e-12), after ``sweeps`` at most where that is given. Each row is computed
+    apart, so batches and partitions do not change it.
     """
     width = gram.shape[0]
     scale = np.diag(gram) + l2
@@ -42,18 +43,23 @@ def nonnegative_solver(gram: np.ndarray, l1: float, l2: float, sweeps: int, tol:
     @F.arrow_udf("array<double>")
     def solve(target: pa.Array) -> pa.Array:
         goal = _matrix(target, width)
-        w = np.zeros_like(goal)
-        for _ in range(sweeps):
-            moved = 0.0
+        solved = np.zeros_like(goal)
+        rows = np.arange(len(goal))
+        done = 0
+        while len(rows) and (sweeps is None or done < sweeps):
+            done += 1
+            w, wanted = solved[rows], goal[rows]
+            moved = np.zeros(len(rows))
             for j in range(width):
                 if scale[j] <= 0.0:
                     continue
-                new = np.maximum(0.0, (goal[:, j] - l1 - w @ off[:, j]) / scale[j])
-                if len(new):
-                    moved = max(moved, float(np.abs(new - w[:, j]).max()))
+                # summed row by row: a matrix product would round by the size of the batch
+                new = np.maximum(0.0, (wanted[:, j] - l1 - (w * off[:, j]).sum(axis=1)) / scale[j])
+                moved = np.maximum(moved, np.abs(new - w[:, j]))
                 w[:, j] = new
-            if moved <= tol:
-                break
+            solved[rows] = w
+            rows = rows[moved > tol * np.maximum(w.max(axis=1, initial=0.0), 1e-12)]
+        w = solved
         offsets = np.arange(0, len(w) * width + 1, width, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(w.ravel()))
 

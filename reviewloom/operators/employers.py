@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.operators.ranking import exact_quantiles, global_rank, pair_code
+from reviewloom.operators.ranking import exact_quantiles, global_rank
 
 MIN_RATINGS = 100
 TAIL = 0.05
@@ -85,8 +85,7 @@ def work_order(df: DataFrame) -> DataFrame:
 
 def work_batches(df: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """Pairs of the work order with their position and their batch of ``size``."""
-    code = pair_code(df, "num_ratings", "company_id")
-    ranked = global_rank(df, code, [F.col("num_ratings"), F.col("company_id")], "position")
+    ranked = global_rank(df, [F.col("num_ratings"), F.col("company_id")], "position")
     return ranked.select(
         "company_name", "company_id", "position", F.floor(F.col("position") / size).cast("long").alias("batch")
     )

@@ -16,6 +16,7 @@ matrices only.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,16 +31,20 @@ from reviewloom.session import ensure_checkpoint_dir, placed_partitions
 
 @dataclass(frozen=True)
 class NMFSettings:
-    """``alpha`` and ``l1_ratio`` penalise both factors: the sum of entries and half the sum of squares."""
+    """``alpha`` and ``l1_ratio`` penalise both factors: the sum of entries and half the sum of squares.
+
+    ``sweeps`` bounds the steps of one small problem, which without it go on until
+    it settles. ``max_rounds`` bounds the fit; a fit it cuts short warns and is marked.
+    """
 
     topics: int
     alpha: float = 0.1
     l1_ratio: float = 0.5
     seed: int = 42
     seed_documents: int = 3
-    max_rounds: int = 50
+    max_rounds: int = 200
     tol: float = 1e-4
-    sweeps: int = 50
+    sweeps: int | None = None
     sweep_tol: float = 1e-6
 
     @property
@@ -56,7 +61,8 @@ class NMFModel:
     """Fitted factors: ``h`` (term, term_idx, h), ``w`` (id, w) of documents holding a term.
 
     ``objectives`` has the penalised objective after each round, ``errors`` the
-    Frobenius norm of X - WH after each document step.
+    Frobenius norm of X - WH after each document step, ``converged`` tells whether the
+    fit settled before its rounds were used up.
     """
 
     settings: NMFSettings
@@ -66,6 +72,7 @@ class NMFModel:
     objectives: list[float] = field(default_factory=list)
     errors: list[float] = field(default_factory=list)
     held: list = field(default_factory=list)
+    converged: bool = False
 
     @property
     def topics(self) -> int:
@@ -228,7 +235,11 @@ def nmf_fit(
         penalty = settings.l1 * (w_sum + h_sum) + 0.5 * settings.l2 * float(np.trace(w_gram) + np.trace(gram))
         done.append(fit + penalty)
         if len(done) > 1 and done[-2] - done[-1] <= settings.tol * done[-2]:
+            model.converged = True
             break
+    else:
+        if settings.tol >= 0:  # below it, a fixed number of rounds is asked for
+            warnings.warn(f"{k} topics have not settled in {settings.max_rounds} rounds", stacklevel=2)
     w = layout.keep(solve_documents(x, h, gram, settings, id_col, h_bytes, max_bytes))
     w_gram, cross, _ = _moments(w, "w", "a", k)
     model.errors.append(_error(x_square, cross, w_gram, gram))

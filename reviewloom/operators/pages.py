@@ -43,18 +43,23 @@ def page_plan(employers: DataFrame, template: str = URL_TEMPLATE) -> DataFrame:
 
 
 def page_facts(pages: DataFrame, tag: str = BLOCK_TAG, css_class: str | None = BLOCK_CLASS) -> DataFrame:
-    """Per first page: the review total of its heading and the number of reviews on it."""
-    return pages.withColumns(
+    """Per first page: the review total of its heading and the number of reviews on it.
+
+    A heading inside a comment, script or style sheet does not count.
+    """
+    clean = pages.withColumn("_clean", clean_markup(F.col("html")))
+    return clean.withColumns(
         {
-            "num_ratings": leading_count(first_element_text(F.col("html"), "h2")),
-            "page_size": F.size(blocks(clean_markup(F.col("html")), tag, css_class)),
+            "num_ratings": leading_count(first_element_text(F.col("_clean"), "h2")),
+            "page_size": F.size(blocks(F.col("_clean"), tag, css_class)),
         }
-    )
+    ).drop("_clean")
 
 
 def flag_blocked(pages: DataFrame, title: str = BLOCKED_TITLE) -> DataFrame:
-    """Adds ``blocked``: the first heading is that of the interstitial page."""
-    return pages.withColumn("blocked", F.coalesce(first_element_text(F.col("html"), "h1") == title, F.lit(False)))
+    """Adds ``blocked``: the first heading that shows is that of the interstitial page."""
+    heading = first_element_text(clean_markup(F.col("html")), "h1")
+    return pages.withColumn("blocked", F.coalesce(heading == title, F.lit(False)))
 
 
 def extract_reviews(

@@ -1,12 +1,8 @@
-"""Global order without a global sort task.
+"""Global order and exact quantiles without a global sort task.
 
-Rows are cut into ranges at approximate quantiles of a numeric code, numbered
-inside their range, and shifted by the sizes of the ranges before. The driver
-sees the cut points and the range sizes only, a fixed small number of each; with
-them as literals the plan of the result is one shuffle.
-
-The functions run small jobs over their input, so an input that is costly to
-compute should be kept by the caller.
+Rows are cut into ranges, numbered inside their range, and shifted by the sizes of
+the ranges before. The functions run small jobs over their input, and keep what they
+read more than once.
 """
 
 from __future__ import annotations
@@ -20,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reviewloom.session import ensure_checkpoint_dir
+
 BUCKETS = 128
+ROWS_PER_RANGE = 1_000_000
 SMALL_ROWS = 100_000
 _ACCURACY = 10_000
 
@@ -56,48 +55,37 @@ def _start(sizes: Sequence[int], first: int) -> Column:
     return F.get(F.lit(starts).cast("array<bigint>"), F.col("_range") - first)
 
 
-def global_rank(
-    df: DataFrame, code: Column, order_by: Sequence[Column], out: str, buckets: int = BUCKETS, small: int = SMALL_ROWS
-) -> DataFrame:
-    """Position 0..n-1 in the order ``order_by``.
+def global_rank(df: DataFrame, order_by: Sequence[Column], out: str, per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Position 0..n-1 in the order ``order_by``, NULLs where that order puts them.
 
-    ``code`` is a number that never falls along that order; rows sharing a code
-    land in one range, so it should separate rows well. A table counted to have
-    at most ``small`` rows is numbered in one step.
+    Rows are kept once, cut into ranges over all of the order (Spark samples the cut
+    points), numbered inside their range, and shifted by the sizes of the ranges before.
+    Ranges grow in number with the rows. Equal rows may share a range however many they
+    are; add a column to the order that tells them apart.
     """
-    if df.limit(small + 1).count() <= small:
-        return df.withColumn(out, F.row_number().over(W.orderBy(*order_by)).cast("bigint") - 1)
-    cuts = cut_points(df, code, buckets)
-    tagged = _tag_ranges(df, code, cuts)
-    sizes = _sizes(tagged, F.count(F.lit(1)), -1, len(cuts) + 2)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint()
+    ranges = max(1, -(-kept.count() // per_range))
+    placed = kept.repartitionByRange(ranges, *order_by).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order_by))
-    return tagged.withColumn("_inside", inside).select(*df.columns, (_start(sizes, -1) + F.col("_inside") - 1).alias(out))
-
-
-def string_code(text: Column) -> Column:
-    """Number that follows the byte order of strings: their first six UTF-8 bytes."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
-
+    ranked = placed.join(starts, "_range").withColumn("_inside", inside)
+    return ranked.select(*df.columns, (F.col("_start") + F.col("_inside") - 1).alias(out))
 
-def pair_code(df: DataFrame, major: str, minor: str) -> Column:
-    """Number that follows the order (major, minor) for whole numbers."""
-    low, high = df.agg(F.min(minor), F.max(minor)).first()
-    if low is None:
-        return F.col(major).cast("double")
-    return F.col(major).cast("double") + (F.col(minor) - low) / F.lit(float(high - low + 1))
 
-
-def with_row_id(df: DataFrame, out: str = "doc_id", buckets: int = 1024) -> DataFrame:
+def with_row_id(df: DataFrame, out: str = "doc_id", per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Row number 0..n-1 of distinct rows, stable for the same set of rows.
 
-    The order is that of a hash of the row, which spreads rows evenly.
+    The order is that of a 128-bit hash of the row. Only the hash is ranked; the rows
+    then find their number by it, so no text goes through a window.
     """
-    tagged = df.withColumn("_hash", F.xxhash64(*df.columns)).withColumn("_range", F.pmod("_hash", F.lit(buckets)))
-    sizes = _sizes(tagged, F.count(F.lit(1)), 0, buckets)
-    inside = F.row_number().over(W.partitionBy("_range").orderBy("_hash", *df.columns))
-    numbered = tagged.withColumn("_inside", inside)
-    return numbered.select((_start(sizes, 0) + F.col("_inside") - 1).alias(out), *df.columns)
+    keys = {"_key": F.xxhash64(*df.columns), "_key2": F.xxhash64(F.lit(1), *df.columns)}
+    hashed = df.withColumns(keys)
+    ranked = global_rank(hashed.select(*keys), [F.col(key) for key in keys], out, per_range)
+    return hashed.join(ranked, list(keys)).select(out, *df.columns)
 
 
 def exact_quantiles(
@@ -114,7 +102,17 @@ def exact_quantiles(
         .filter(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("n"))
+        .persist()
     )
+    try:
+        return _quantiles_of_counts(counts, quantiles, buckets, small)
+    finally:
+        counts.unpersist()
+
+
+def _quantiles_of_counts(
+    counts: DataFrame, quantiles: Sequence[float], buckets: int, small: int
+) -> list[float | None]:
     few = counts.limit(small + 1).coalesce(1).collect()
     if len(few) <= small:
         few.sort()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.text import ngrams, terms
 from reviewloom.operators.lookup import lookup_join, measured_bytes
-from reviewloom.operators.ranking import global_rank, string_code
+from reviewloom.operators.ranking import global_rank
 from reviewloom.operators.rows import explode_rows
 from reviewloom.session import ensure_checkpoint_dir
 
@@ -56,7 +56,7 @@ def prune(
 
 def with_index(stats: DataFrame) -> DataFrame:
     """Adds ``term_idx``, the position of the term in alphabetical order."""
-    return global_rank(stats, string_code(F.col("term")), [F.col("term")], "term_idx", buckets=32)
+    return global_rank(stats, [F.col("term")], "term_idx")
 
 
 def idf(df: Column, n_docs: int, kind: str = "smooth") -> Column:

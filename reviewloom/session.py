@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
@@ -15,8 +14,13 @@ Result = TypeVar("Result")
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and benchmarks on one machine; a cluster brings its own."""
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None
+) -> SparkSession:
+    """Session for tests and benchmarks on one machine; a cluster brings its own.
+
+    ``checkpoint_dir`` is the folder for kept results; operators that keep any need one.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("reviewloom")
@@ -29,40 +33,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if checkpoint_dir:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable without overriding the cluster's folder.
-
-    A folder named by ``spark.checkpoint.dir`` or set on the context wins. Only a
-    local session may fall back to a temporary folder; on a cluster such a folder
-    would be invisible to the other machines, so a missing setting is an error.
-    """
+    """Make ``DataFrame.checkpoint`` usable with the folder the session names; none is made up."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get(CHECKPOINT_CONF, None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewloom-checkpoint-"))
-    else:
+    if not shared:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    context.setCheckpointDir(shared)
 
 
 ROWS_PER_PARTITION = 1_000_000
 
 
 def placed_partitions(spark: SparkSession, rows: int) -> int:
-    """Partitions for a kept table of narrow rows.
-
-    One per ``ROWS_PER_PARTITION`` rows, at least one per core and, unless there
-    are more cores, no more than the session's shuffle partitions.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    most = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return min(most, max(cores, -(-rows // ROWS_PER_PARTITION)))
+    """Partitions for a kept table of narrow rows: one per ``ROWS_PER_PARTITION``, at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PARTITION))
 
 
 def run_together(spark: SparkSession, works: Iterable[Callable[[], Result]], at_once: int) -> list[Result]:

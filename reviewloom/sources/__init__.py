@@ -2,10 +2,15 @@
 
 from reviewloom.sources.json_pages import (
     announced_pages,
+    broken_page,
     explode_employers,
+    landed_bodies,
+    landed_status,
     load_employers,
     missing_pages,
     parse_pages,
+    rejected_pages,
+    usable_pages,
     project_employers,
     rejected_employers,
 )
@@ -26,10 +31,15 @@ __all__ = [
     "announced_pages",
     "append_rows",
     "empty_table",
+    "broken_page",
     "explode_employers",
+    "landed_bodies",
+    "landed_status",
     "load_employers",
     "missing_pages",
     "parse_pages",
+    "rejected_pages",
+    "usable_pages",
     "project_employers",
     "project_reviews",
     "read_documents",

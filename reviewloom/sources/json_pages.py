@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.schemas import EMPLOYER_KEYS, EMPLOYER_PAGE, EMPLOYERS, RATING_COLUMNS
 
@@ -46,9 +47,42 @@ def rejected_employers(documents: DataFrame) -> DataFrame:
     return documents.filter(bad[0] | bad[1])
 
 
+def landed_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """(file, body): each landed file whole, so a page may span lines; a file landed twice with the same content once.
+
+    An empty file has no row; ``missing_pages`` lists its page as it does one that never landed.
+    """
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.input_file_name().alias("file"), F.col("value").alias("body")).dropDuplicates(["body"])
+
+
+def broken_page(json_col: str = "body") -> Column:
+    """Whether a text is no page: it does not parse as a whole, or holds no response."""
+    schema = T.StructType([*EMPLOYER_PAGE.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(json_col, schema, {"columnNameOfCorruptRecord": "_broken"})
+    return F.coalesce(parsed["_broken"].isNotNull() | parsed["response"].isNull(), F.lit(True))
+
+
+def rejected_pages(bodies: DataFrame, json_col: str = "body") -> DataFrame:
+    """Landed texts that are no page; all columns stay."""
+    return bodies.filter(broken_page(json_col))
+
+
+def usable_pages(bodies: DataFrame, json_col: str = "body", page_col: str | None = None) -> DataFrame:
+    """Parsed pages of the landed texts: broken and failed ones left out, one response for each page number."""
+    parsed = parse_pages(bodies.filter(~broken_page(json_col)), json_col).filter(F.coalesce("success", F.lit(True)))
+    return parsed if page_col is None else parsed.dropDuplicates([page_col])
+
+
+def landed_status(bodies: DataFrame, page_col: str, json_col: str = "body") -> DataFrame:
+    """(page number, success) of every landed text, as ``missing_pages`` reads it; a broken one has failed."""
+    page = F.from_json(json_col, EMPLOYER_PAGE)
+    return bodies.select(page_col, (~broken_page(json_col) & F.coalesce(page["success"], F.lit(True))).alias("success"))
+
+
 def load_employers(spark: SparkSession, path: str) -> DataFrame:
-    """Employer table from a folder of landed JSON pages."""
-    return project_employers(explode_employers(spark.read.schema(EMPLOYER_PAGE).json(path)))
+    """Employer table from a folder of landed JSON pages; see ``rejected_pages`` for the files left out."""
+    return project_employers(explode_employers(usable_pages(landed_bodies(spark, path))))
 
 
 def missing_pages(landed: DataFrame, total: int, page_col: str = "page_num", max_tries: int = MAX_TRIES) -> DataFrame:

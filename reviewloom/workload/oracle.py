@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reviewloom.functions.text import CLOSED_CLASSES, ENDINGS, PUNCTUATION
+from reviewloom.functions.text import CLOSED_CLASSES, DOUBLED, ENDINGS, HAD_E, PUNCTUATION, VOWEL
 from reviewloom.operators.lemmas import DOMAIN_STOP_WORDS, KEEP_POS
 from reviewloom.workload.queries import BLOCKED, CHECKED, MIN_DF, PAGE_SIZE
 
@@ -79,10 +79,20 @@ def _stem(word: str) -> str:
     def cut(n: int) -> str:
         return f"substr({word}, 1, length({word}) - {n})"
 
-    return f"""CASE WHEN ends_with({word}, 'ss') OR ends_with({word}, 'us') OR ends_with({word}, 'is') THEN {word}
+    def base(n: int) -> str:
+        return f"""CASE WHEN regexp_matches({cut(n)}, '{DOUBLED}') THEN {cut(n + 1)}
+    WHEN regexp_matches({cut(n)}, '{HAD_E}') THEN {cut(n)} || 'e' ELSE {cut(n)} END"""
+
+    def voiced(n: int) -> str:
+        return f"regexp_matches({cut(n)}, '{VOWEL}')"
+
+    return f"""CASE WHEN ends_with({word}, 'ss') OR ends_with({word}, 'us') OR ends_with({word}, 'is')
+    OR ends_with({word}, 'eed') THEN {word}
+  WHEN {ends("sses", 6)} THEN {cut(2)}
   WHEN {ends("ies", 5)} THEN {cut(3)} || 'y'
   WHEN {ends("ches", 6)} OR {ends("shes", 6)} OR {ends("xes", 5)} OR {ends("zes", 5)} THEN {cut(2)}
-  WHEN {ends("s", 4)} THEN {cut(1)} WHEN {ends("ing", 6)} THEN {cut(3)} WHEN {ends("ed", 5)} THEN {cut(2)}
+  WHEN {ends("s", 4)} THEN {cut(1)} WHEN {ends("ing", 6)} AND {voiced(3)} THEN {base(3)}
+  WHEN {ends("ed", 4)} AND {voiced(2)} THEN {base(2)}
   ELSE {word} END"""
 
 

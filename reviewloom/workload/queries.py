@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import reviewloom as rl
-from reviewloom.functions.markup import first_element_text
+from reviewloom.functions.markup import clean_markup, first_element_text
 from reviewloom.functions.text import ngrams, safe_name, stem, terms, tokens, url_slug
 from reviewloom.operators.employers import cutoffs, min_count
 from reviewloom.operators.lemmas import DOMAIN_STOP_WORDS
@@ -130,7 +130,7 @@ def page_facts(spark, d):
 
 
 def page_slugs(spark, d):
-    title = first_element_text(F.col("html"), "h1")
+    title = first_element_text(clean_markup(F.col("html")), "h1")
     return fx.review_pages(spark, d).select(
         "company_id", url_slug(title).alias("slug"), page_url(title, F.col("company_id"), F.lit(2), URL).alias("url")
     )
@@ -138,7 +138,7 @@ def page_slugs(spark, d):
 
 def blocked_pages(spark, d):
     flagged = rl.flag_blocked(fx.review_pages(spark, d), BLOCKED)
-    return flagged.select("company_id", first_element_text(F.col("html"), "h1").alias("title"), "blocked")
+    return flagged.select("company_id", first_element_text(clean_markup(F.col("html")), "h1").alias("title"), "blocked")
 
 
 def reviews_from_html(spark, d):
@@ -155,7 +155,7 @@ def reviews_clean(spark, d):
 
 def reviews_numbered(spark, d):
     clean = rl.drop_junk(fx.reviews(spark, d, spread=False), fx.JUNK, id_col="doc_id")
-    ranked = rl.global_rank(clean.select("doc_id", "company_name"), F.col("doc_id"), [F.col("doc_id")], "row_id")
+    ranked = rl.global_rank(clean.select("doc_id", "company_name"), [F.col("doc_id")], "row_id")
     return ranked.select("row_id", "doc_id", "company_name")
 
 

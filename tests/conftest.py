@@ -9,7 +9,8 @@ from reviewloom.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoint"))
+    session = local_session(4, shuffle_partitions=4, memory="4g", checkpoint_dir=folder)
     yield session
     session.stop()

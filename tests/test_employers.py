@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import reviewloom as rl
 from reviewloom.operators.employers import cutoffs
-from reviewloom.operators.ranking import pair_code, string_code, with_row_id
+from reviewloom.operators.ranking import with_row_id
 
 SCHEMA = "company_id long, company_name string, num_ratings int, overall_rating double"
 
@@ -56,29 +56,29 @@ def test_quantiles_of_nothing(spark):
     assert rl.exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_global_rank_numbers_in_order(spark, small):
+@pytest.mark.parametrize("per_range", [50, 1_000_000])
+def test_global_rank_numbers_in_order(spark, per_range):
     rng = random.Random(5)
     words = sorted({"".join(rng.choices("abcéz中", k=rng.randint(1, 9))) for _ in range(800)}, key=str.encode)
     shuffled = rng.sample(words, len(words))
     df = spark.createDataFrame([(w,) for w in shuffled], "w string")
-    ranked = rl.global_rank(df, string_code(F.col("w")), [F.col("w")], "i", buckets=8, small=small)
+    ranked = rl.global_rank(df, [F.col("w")], "i", per_range)
     assert {r.w: r.i for r in ranked.collect()} == {w: i for i, w in enumerate(words)}
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_global_rank_with_a_hot_major_value(spark, small):
-    rows = [(100 if i % 3 else i, i) for i in range(1, 600)]
+@pytest.mark.parametrize("per_range", [50, 1_000_000])
+def test_global_rank_with_a_hot_major_value_and_nulls(spark, per_range):
+    rows = [(100 if i % 3 else i, i) for i in range(1, 600)] + [(100, None), (None, 7), (None, None), (5, None)]
     df = spark.createDataFrame(rows, "n int, id long")
-    ranked = rl.global_rank(df, pair_code(df, "n", "id"), [F.col("n"), F.col("id")], "i", buckets=8, small=small)
-    expected = {row: i for i, row in enumerate(sorted(rows))}
+    ranked = rl.global_rank(df, [F.col("n"), F.col("id")], "i", per_range)
+    expected = {row: i for i, row in enumerate(sorted(rows, key=lambda r: [(x is not None, x or 0) for x in r]))}
     assert {(r.n, r.id): r.i for r in ranked.collect()} == expected
 
 
 def test_row_ids_are_dense_and_stable(spark):
     df = spark.createDataFrame([(i % 50, f"t{i}") for i in range(500)], "a int, b string")
-    first = {(r.a, r.b): r.doc_id for r in with_row_id(df, buckets=16).collect()}
-    second = {(r.a, r.b): r.doc_id for r in with_row_id(df.repartition(7), buckets=16).collect()}
+    first = {(r.a, r.b): r.doc_id for r in with_row_id(df, per_range=40).collect()}
+    second = {(r.a, r.b): r.doc_id for r in with_row_id(df.repartition(7), per_range=90).collect()}
     assert sorted(first.values()) == list(range(500)) and first == second
 
 

@@ -207,3 +207,27 @@ def test_sweep_and_runs_by_polarity(corpus):
     assert runs["pro"].summary.count() == 3 and runs["con"].summary.count() == 2
     for run in runs.values():
         run.unpersist()
+
+
+def test_solver_does_not_see_its_batch(spark):
+    rng = np.random.default_rng(4)
+    base = rng.random((6, 3))
+    gram = base.T @ base + 0.01 * np.eye(3)
+    rows = [(i, (gram @ (rng.random(3) * 10.0 ** rng.integers(-3, 3))).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, t array<double>")
+    solve = nonnegative_solver(gram, 0.01, 0.001, None, 1e-6)
+    found = []
+    for batch, parts in ((1, 3), (100, 1), (10_000, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found.append(sorted((r.i, tuple(r.w)) for r in df.repartition(parts).select("i", solve("t").alias("w")).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_fit_that_is_cut_short_says_so(spark):
+    rows = [(i, j, 1.0 + (i * j) % 5) for i in range(20) for j in range(6) if (i + j) % 3]
+    matrix = spark.createDataFrame(rows, "doc_id long, term_idx long, tfidf double")
+    vocabulary = spark.createDataFrame([(j, f"t{j}", 9) for j in range(6)], "term_idx long, term string, df long")
+    with pytest.warns(UserWarning, match="not settled"):
+        assert not rl.nmf_fit(matrix, vocabulary, rl.NMFSettings(2, max_rounds=2, tol=0.0)).converged
+    assert rl.nmf_fit(matrix, vocabulary, rl.NMFSettings(2, tol=1e-3)).converged

@@ -89,3 +89,16 @@ def test_page_plan(spark):
     plan = rl.page_plan(df, "u/%s/%s%s").orderBy("company_id", "page").collect()
     # a multiple of the page size plans one page more; page size 0 plans none
     assert [(r.company_id, r.url) for r in plan] == [(1, "u/A-B/1"), (1, "u/A-B/1_P2"), (1, "u/A-B/1_P3"), (2, "u/C/2")]
+
+
+def test_headings_that_do_not_show(spark):
+    hidden = "<!-- <h1>Pardon Our Interruption...</h1><h2>9 Reviews</h2> --><script>var a='<h2>8 x</h2>'</script>"
+    df = spark.createDataFrame([(1, hidden + "<h1>Real</h1><h2>1,234 Reviews</h2>")], "company_id long, html string")
+    row = rl.page_facts(rl.flag_blocked(df)).first()
+    assert not row.blocked and row.num_ratings == 1234
+
+
+def test_references_of_any_length(spark):
+    text = "&#0000000065;&#x00000042;&#99999999999;&#x110000;&#xFFFFFFFFFFFFFFFFFF;"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(decode_entities(F.col("t")).alias("t")).first().t == "AB" + text[text.index("&#999") :]

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 import reviewloom as rl
 from reviewloom import sources
 from reviewloom.schemas import EMPLOYER_PAGE, EMPLOYERS, REVIEWS
@@ -28,6 +30,25 @@ def test_employers_from_landed_pages(spark, tmp_path):
     assert rows[2].overall_rating is None and rows[2].industry == "x"
 
 
+def test_spread_out_broken_and_repeated_pages(spark, tmp_path):
+    one = page([{"id": 1, "name": "A", "numberOfRatings": 5}])
+    for name, body in {
+        "1.json": json.dumps(json.loads(one), indent=2), "2.json": one, "2b.json": one, "3.json": one[:-9], "4.json": "",
+        "5.json": page([{"id": 9, "name": "Z", "numberOfRatings": 1}], success=False), "6.json": "[]",
+    }.items():
+        (tmp_path / name).write_text(body)
+    assert sorted(r.company_id for r in rl.load_employers(spark, str(tmp_path)).collect()) == [1, 1]
+    bodies = sources.landed_bodies(spark, str(tmp_path))
+    rejected = sorted(r.file.rsplit("/", 1)[1] for r in sources.rejected_pages(bodies).collect())
+    assert rejected == ["3.json", "6.json"]
+    numbered = bodies.withColumn("page_num", F.regexp_extract("file", r"(\d)b?\.json", 1).cast("int"))
+    assert sources.usable_pages(numbered, page_col="page_num").count() == 2
+    again = numbered.unionByName(numbered)
+    assert sources.explode_employers(sources.usable_pages(again, page_col="page_num")).count() == 2
+    missing = rl.missing_pages(sources.landed_status(numbered, "page_num"), 7).collect()
+    assert sorted(r.page_num for r in missing) == [3, 4, 5, 6, 7]
+
+
 def test_bad_ids_are_reported_not_raised(spark):
     body = page([{"id": "x", "numberOfRatings": 1}, {"id": 3, "numberOfRatings": 4}])
     documents = sources.explode_employers(sources.parse_pages(spark.createDataFrame([(body,)], "body string")))
