@@ -400,14 +400,14 @@ def shared_topics(spark, d):
 
 def topic_sweep(spark, d):
     weights = _weights(spark, d, "pro")
-    settings = rl.NMFSettings(topics=1, max_rounds=5)
+    settings = rl.NMFSettings(topics=1)
     return rl.topic_sweep(weights.matrix, weights.vocabulary, range(1, 5), settings)
 
 
 def polarity_topics(spark, d):
-    """Both corpora from review text to topic table, fitted until they settle or for 15 rounds."""
+    """Both corpora from review text to topic table, 21 and 15 topics, fitted until they settle."""
     lemmas = rl.lemmatize(_corpus(spark, d), stop_words=DOMAIN_STOP_WORDS)
-    runs = rl.topic_runs(lemmas, {"pro": 4, "con": 3}, rl.NMFSettings(1, max_rounds=15), min_df=10)
+    runs = rl.topic_runs(lemmas, {"pro": 21, "con": 15}, rl.NMFSettings(1), min_df=10)
     _hold(*runs.values())
     tables = [run.summary.select(F.lit(side).alias("side"), "*") for side, run in runs.items()]
     both = tables[0].unionByName(tables[1])
