@@ -159,6 +159,39 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     return both.groupBy("r", "lot").applyInPandas(compare, "x long, r long, inside long, n_x long, n_r long")
 
 
+def coverage(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``x, n, shared`` per document: its shingles and how many of them another document here has too.
+
+    Shingles are compared by 64-bit hashes; where two meet by chance, ``shared`` is only
+    larger. No two documents share more than the smaller ``shared`` of both.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for part in slices(batch, 1, rows=500):
+                sets = [_hashes(found, words, known) for found in map(text_words, part.column(1).to_pylist())]
+                rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+                if len(known) > 500_000:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(flat)], ["x", "shingle"])
+
+    each = texts.select("doc_id", "text").mapInArrow(hashed, "x long, shingle long")
+    per_shingle = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x"))
+    alone = per_shingle.filter("k = 1").groupBy("x").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(alone, "x", "left").select("x", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members (``band, key, x``) with their component ``c``, of buckets that hold more than one."""
+    placed = members.join(joined.withColumnRenamed("id", "x"), "x", "left")
+    placed = placed.withColumn("c", F.coalesce("component", "x")).drop("component")
+    several = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    return placed.join(several.select("band", "key"), ["band", "key"])
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -178,9 +211,10 @@ def near_duplicates(
 
     Documents with the same words in the same order form a class, of which one member
     goes on. In each band bucket the members are compared with the smallest one. That
-    joins most buckets; where members of different components remain, they are compared
-    with each other, except where the distances to the smallest member rule a link out
-    (the Jaccard distance obeys the triangle inequality).
+    joins most buckets. Where members of different components remain, those that share
+    too few shingles with all others there are done; the others are compared with the
+    best covered one, and then with each other, except where the counts of shingles they
+    share with anyone rule a link out. No comparison that could give a link is left out.
     """
     sketches = keep(sketch_documents(docs, id_col, text_col, bands, rows, words))
     known = sketches.filter("same IS NOT NULL AND doc_id IS NOT NULL")
@@ -199,17 +233,24 @@ def near_duplicates(
     links = near.filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b"))
     joined = keep(components(links))
 
-    # members of a bucket that are not yet in one component
-    distance = near.select("x", "r", (1 - F.col("inside") / (F.col("n_x") + F.col("n_r") - F.col("inside"))).alias("d"))
-    placed = (
-        members.join(distance, ["x", "r"], "left")
-        .join(joined.withColumnRenamed("id", "x"), "x", "left")
-        .select("band", "key", "x", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "x").alias("c"))
-    )
-    mixed = placed.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    open_members = keep(placed.join(mixed.select("band", "key"), ["band", "key"]))
-    most = 1 - per_cent / 100 + 1e-9
-    left, right = open_members.alias("p"), open_members.alias("q")
+    # Buckets whose members are not yet in one component: a document can link there only
+    # if others there have most of its shingles. The one best covered is tried next
+    # with all members, such as the original of edited copies; then the rest pair by pair.
+    placed = members.select("band", "key", "x", F.col("r").alias("tried"))
+    mixed = keep(_mixed(placed, joined))
+    covered = keep(coverage(texts.join(mixed.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi"), words))
+    able = covered.filter(100 * F.col("shared") >= per_cent * F.col("n"))
+    open_members = keep(_mixed(mixed.drop("c").join(able, "x"), joined))
+    hubs = open_members.groupBy("band", "key").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("x"), "c")).alias("h"))
+    hubs = hubs.select("band", "key", (-F.col("h.col2")).alias("hub"), F.col("h.c").alias("hub_c"))
+    with_hubs = keep(open_members.join(hubs, ["band", "key"]))
+    around = with_hubs.filter("c <> hub_c AND tried <> hub AND tried <> x").select("x", F.col("hub").alias("r")).distinct()
+    near_hubs = keep(verify(around, texts, words).filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b")))
+    links = links.unionByName(near_hubs)
+    joined = keep(components(links))
+    last = _mixed(with_hubs.drop("c", "hub_c"), joined)
+    left, right = last.alias("p"), last.alias("q")
+    least = F.least(F.col("p.shared"), F.col("q.shared"))
     rest = (
         left.join(
             right,
@@ -217,9 +258,10 @@ def near_duplicates(
             & (F.col("p.key") == F.col("q.key"))
             & (F.col("p.x") > F.col("q.x"))
             & (F.col("p.c") != F.col("q.c"))
-            & (F.abs(F.col("p.d") - F.col("q.d")) <= most),
+            & (100 * least >= per_cent * (F.col("p.n") + F.col("q.n") - least))
+            & ~F.col("p.x").isin(F.col("p.tried"), F.col("p.hub"))
+            & ~F.col("q.x").isin(F.col("q.tried"), F.col("q.hub")),
         )
-        .filter("p.d > 0 AND q.d > 0")
         .select(F.col("p.x").alias("x"), F.col("q.x").alias("r"))
         .distinct()
     )
