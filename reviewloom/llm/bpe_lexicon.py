@@ -52,6 +52,8 @@ class Vocabulary:
         ids = model["model"]["vocab"]
         self.bytes_of = {i: bytes(back[c] for c in word) for word, i in ids.items()}
         self.byte_ids = [ids[letter] for letter in letters]
+        end = model["model"].get("end_of_word_suffix") or ""
+        self.end_ids = [ids[letter + end] for letter in letters]  # of a word's last byte
         self.ranks: dict[int, int] = {}
         self.merged: list[int] = []
         for rank, pair in enumerate(model["model"]["merges"]):
@@ -68,7 +70,7 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair with the lowest rank is merged first, from the left."""
-        ids = [self.byte_ids[b] for b in word]
+        ids = [self.byte_ids[b] for b in word[:-1]] + [self.end_ids[b] for b in word[-1:]]
         none = len(self.merged)
         get = self.ranks.get
         while len(ids) > 1:
@@ -89,26 +91,31 @@ class Vocabulary:
             ids = out
         return ids
 
-    def _pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted pairs, their ranks, merged ids by rank, and the rank of each pair of bytes."""
+    def _pair_table(self) -> tuple[np.ndarray, ...]:
+        """Sorted pairs, their ranks, merged ids by rank, and the rank of each pair of bytes, inside and at the end."""
         if self._pairs is None:
             pairs = np.fromiter(self.ranks, dtype=np.int64, count=len(self.ranks))
             ranks = np.fromiter(self.ranks.values(), dtype=np.int64, count=len(self.ranks))
             order = np.argsort(pairs)
             none = len(self.merged)
-            table = np.array([[self.ranks.get(a << 32 | b, none) for b in self.byte_ids] for a in self.byte_ids])
-            self._pairs = (pairs[order], ranks[order], np.array([*self.merged, 0], dtype=np.int64), table)
+            inner, last = (
+                np.array([[self.ranks.get(a << 32 | b, none) for b in right] for a in self.byte_ids])
+                for right in (self.byte_ids, self.end_ids)
+            )
+            self._pairs = (pairs[order], ranks[order], np.array([*self.merged, 0], dtype=np.int64), inner, last)
         return self._pairs
 
     def _merge_alike(self, words: list[bytes]) -> list[list[int]]:
         """``merge`` for words of the same length side by side: each step merges one pair in every word."""
-        pairs, ranks, merged, table = self._pair_table()
+        pairs, ranks, merged, inner, last = self._pair_table()
         none = len(self.merged)
         raw = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), -1)
         ids = np.array(self.byte_ids, dtype=np.int64)[raw]
+        ids[:, -1] = np.array(self.end_ids, dtype=np.int64)[raw[:, -1]]
         count = np.full(len(words), ids.shape[1])
         found = np.full(ids.shape, none, dtype=np.int64)  # rank of the pair that starts here
-        found[:, :-1] = table[raw[:, :-1], raw[:, 1:]]
+        found[:, :-1] = inner[raw[:, :-1], raw[:, 1:]]
+        found[:, -2:-1] = last[raw[:, -2:-1], raw[:, -1:]]
         rows = np.arange(len(words))
         places = np.arange(ids.shape[1])
         while len(rows):
@@ -140,7 +147,7 @@ class Vocabulary:
             by_length.setdefault(len(word), []).append(i)
         out: list[list[int]] = [[]] * len(words)
         for length, places in by_length.items():
-            few = length > WIDEST or len(places) < 8 or not self.merged
+            few = not 2 <= length <= WIDEST or len(places) < 8 or not self.merged
             some = [words[i] for i in places]
             for i, ids in zip(places, map(self.merge, some) if few else self._merge_alike(some)):
                 out[i] = ids

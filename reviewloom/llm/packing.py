@@ -22,18 +22,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.llm.bpe_lexicon import Vocabulary
 from reviewloom.llm.common import body, keep, slices, table
 
 CAPACITY = 2048
 PIECES_PER_PART = 50_000
 REMEMBERED = 300_000
+AFTER_LATIN = "ƀ"  # letters below it are single characters that normal forms leave alone
+
+
+def _plain(word: str) -> tuple[str, str]:
+    """A word in lower case and the point or comma after it, which is a word of its own after a letter or digit.
+
+    Only Latin letters are touched, and no word that may hold a special token.
+    """
+    if max(word, default=AFTER_LATIN) >= AFTER_LATIN or "<" in word:
+        return word, ""
+    word = word.lower()
+    if word[-1:] in (".", ",") and word[-2:-1].isalnum():
+        return word[:-1], word[-1]
+    return word, ""
 
 
 class WordIds:
     """Ids of texts by the tokenizers library, whose vocabulary drops white space between words.
 
     Such a text is the sum of what lies between its spaces, so each part is encoded
-    once and remembered, up to a bound.
+    once and remembered, up to a bound. Words of small Latin letters are merged side by
+    side; all others go to the library.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -43,20 +59,40 @@ class WordIds:
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_truncation()
         self.library.no_padding()
+        self.vocabulary = Vocabulary(tokenizer_json)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts = array("I"), array("q", [0])
 
+    def _add(self, word: str, ids: Sequence[int]) -> None:
+        self.known[word] = len(self.starts) - 1
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+
+    def _ids(self, word: str) -> Sequence[int]:
+        at = self.known[word]
+        return self.flat[self.starts[at] : self.starts[at + 1]]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encodes new words; those that differ in case or in one last point or comma share the work."""
+        split = {word: _plain(word) for word in words}
+        new = list({part for parts in split.values() for part in parts if part}.difference(self.known))
+        latin = [word for word in new if word.isalpha() and word.islower() and max(word) < AFTER_LATIN]
+        for word, ids in zip(latin, self.vocabulary.merge_many([word.encode() for word in latin])):
+            self._add(word, ids)
+        new = [word for word in new if word not in self.known]
+        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+            self._add(word, found.ids)
+        for word in words.difference(self.known):
+            plain, end = split[word]
+            self._add(word, self._ids(plain) + self._ids(end) if end else self._ids(plain) if plain else [])
+
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's ids start and the end)."""
         words = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = len(self.starts) - 1
-            self.flat.extend(found.ids)
-            self.starts.append(len(self.flat))
+        self._learn(set(chain.from_iterable(words)).difference(self.known))
         sizes_in = [len(part) for part in words]
         get = self.known.__getitem__
         numbers = np.fromiter(map(get, chain.from_iterable(words)), dtype=np.int64, count=sum(sizes_in))
