@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
         new = keep(small)
         # settled: every id has one link, and it goes to an id that has none upwards
         heads = new.select(F.col("b").alias("a")).distinct()
-        settled = new.join(heads, "a", "left_semi").isEmpty()
+        several = new.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        settled = new.join(heads, "a", "left_semi").isEmpty() and several.isEmpty()
         edges = new
         if settled:
             break

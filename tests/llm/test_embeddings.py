@@ -45,3 +45,32 @@ def test_components_of_paths_and_stars(spark):
     found = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {found[i] for i in range(1, 41)} == {0} and {found[100 + i] for i in range(1, 30)} == {100} and found[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def smallest_reachable(links):
+    """Union-find: the smallest id of its component for each id that is not it."""
+    head = {i: i for link in links for i in link}
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        head[max(a, b)] = min(a, b)
+    return {i: find(i) for i in head if find(i) != i}
+
+
+def test_components_of_chains_and_random_graphs(spark):
+    rng = np.random.default_rng(0)
+    graphs = [[(1, 3), (3, 4), (4, 5), (5, 2)]]  # one link to each of two heads after the first round
+    for n in (6, 6, 7, 8):
+        order = rng.permutation(n).tolist()
+        graphs.append(list(zip(order, order[1:])))
+    for n, m in ((6, 7), (20, 24)):
+        graphs.append([tuple(map(int, rng.choice(n, 2, replace=False))) for _ in range(m)])
+    for links in graphs:
+        found = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(found) == len({r.id for r in found})
+        assert {r.id: r.component for r in found} == smallest_reachable(links), links
