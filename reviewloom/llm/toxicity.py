@@ -1,10 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and beginnings of words that stand mostly in texts with label 1. The
-tokens of a text without any of them count together as one more term. The
-labelled examples lie in an inverted index whose postings come in blocks with the
-largest weight of each. A search adds the block maxima up to bounds and opens blocks
-from the highest bound down, until no closed one can hold a nearer example: the
+Terms are all words and beginnings of words of the labelled examples. The TF-IDF weight
+of a term is drawn towards zero, but never to it, where its documents have label 1 no
+more often than chance gives. Tokens with none of the terms count together as one more
+term. A search adds up the cosines with all examples, the terms that many examples have
+as one matrix product for many texts and the others from an inverted index: the
 neighbours are exact. Votes weighted by closeness give the score, calibrated on the
 examples with each left out.
 """
@@ -14,23 +14,26 @@ from __future__ import annotations
 import math
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import body, share, table
 
 EXAMPLES = 20_000  # labelled rows to learn from, at most
-TERMS = 4_000  # terms of the index, at most
-LEAST_DOCS = 5
-LEAST_SHARE = 0.7  # of the documents with a term, those with label 1
-LEAST_CHI2 = 30.0  # a chance difference this large is rarer than one in ten million terms
-BLOCK = 64
+LEAST_CHI2 = 30.0  # from a difference this large on a term has most of its weight; none is left out below it
+COMMON = 8  # terms of one in so many examples lie in a matrix, the others in the index
+RARE = 64  # postings of a term added one term at a time from here on
+TEXTS_AT_ONCE = 128
 NEIGHBOURS = 15
 REMEMBERED = 300_000
 BEGINNINGS = (4, 5, 6)
@@ -46,6 +49,11 @@ def terms_of(token: str) -> list[str]:
     return found
 
 
+def _digest(term: str) -> int:
+    """64 bits that stand for a term; among a million terms two meet once in thirty million times."""
+    return xxhash.xxh3_64_intdigest(term) - (1 << 63)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept out of learning."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
@@ -70,8 +78,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     )
 
 
-def choose_terms(sample: DataFrame, most: int = TERMS) -> tuple[list[str], list[int], int, int]:
-    """(terms, documents with each, documents, of them with label 1), by the chi-squared of term and label."""
+def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(digests of the terms in order, documents with each, chi-squared of each and the label, documents, of them with label 1).
+
+    All terms of the sample; none where one of the labels is missing.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -84,50 +95,60 @@ def choose_terms(sample: DataFrame, most: int = TERMS) -> tuple[list[str], list[
         terms = list(set(seen[0]) | set(seen[1]))
         yield pa.RecordBatch.from_pydict(
             {
-                "term": pa.array(["", *terms], pa.string()),
+                "term": pa.array([None, *map(_digest, terms)], pa.int64()),
                 "clean": pa.array([rows[0], *(seen[0][t] for t in terms)], pa.int64()),
                 "toxic": pa.array([rows[1], *(seen[1][t] for t in terms)], pa.int64()),
             }
         )
 
-    counted = sample.select("label", "text").mapInArrow(count, "term string, clean long, toxic long")
+    counted = sample.select("label", "text").mapInArrow(count, "term long, clean long, toxic long")
     counts = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.filter((F.col("term") == "") | (F.col("clean") + F.col("toxic") >= LEAST_DOCS)).persist()
-    try:
-        total = counts.filter("term = ''").first()
-        if total is None or not total.clean or not total.toxic:
-            return [], [], (total.clean + total.toxic) if total else 0, total.toxic if total else 0
-        n, ones = total.clean + total.toxic, total.toxic
-        a, m = F.col("toxic").cast("double"), (F.col("clean") + F.col("toxic")).cast("double")
-        spread = m * (n - m) * (ones / n) * (1 - ones / n)
-        chi2 = F.when(spread > 0, (n * (a - m * ones / n) ** 2) / spread)
-        best = (
-            counts.filter("term <> ''")
-            .filter(a >= LEAST_SHARE * m)
-            .select("term", m.alias("m"), chi2.alias("chi2"))
-            .filter(F.col("chi2") >= LEAST_CHI2)
-            .orderBy(F.desc("chi2"), "term")
-            .limit(most)
-            .collect()
-        )
-    finally:
-        counts.unpersist()
-    return [r.term for r in best], [int(r.m) for r in best], n, ones
+    found = counts.toArrow()
+    clean, toxic = (found.column(c).to_numpy().astype(np.float64) for c in ("clean", "toxic"))
+    whole = pc.is_null(found.column("term")).to_numpy()
+    n, ones = int(clean[whole].sum() + toxic[whole].sum()), int(toxic[whole].sum())
+    if not 0 < ones < n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), n, ones
+    terms = pc.fill_null(found.column("term"), 0).to_numpy()[~whole]
+    order = np.argsort(terms)
+    terms, clean, toxic = terms[order], clean[~whole][order], toxic[~whole][order]
+    m, a = clean + toxic, toxic
+    spread = m * (n - m) * (ones / n) * (1 - ones / n)
+    chi2 = np.divide(n * (a - m * ones / n) ** 2, spread, out=np.zeros(len(m)), where=spread > 0)
+    return terms, m, chi2, n, ones
 
 
 class Index:
-    """Terms, weights of the examples by term and block, and what a search needs to score a text."""
+    """Terms, weights of the examples by term, and what a search needs to score a text."""
 
-    def __init__(self, terms: Sequence[str], df: Sequence[int], docs: int):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.other = len(terms)  # stands for all other tokens and is in every document
+    def __init__(self, terms: Sequence, df: Sequence[int], docs: int, chi2: Sequence[float] | None = None):
+        self.terms = np.asarray(terms)
+        self.other = len(terms)  # stands for all tokens without a term
         self.idf = np.log((1 + docs) / (1 + np.array([*df, docs], dtype=np.float64))) + 1
+        if chi2 is not None:
+            more = np.array([*chi2, 0.0]) + 1  # chance alone gives 1 on average
+            self.idf *= np.sqrt(more / (more + LEAST_CHI2))
         self.ids: list[int] = []
         self.labels = np.zeros(0)
         self.bare = 0  # examples with none of the terms; they lie in one direction
         self.bare_score = 0.0  # share of label 1 among them
         self.prior = 0.0
         self.scale = (4.0, -2.0)  # calibration: slope and shift
+        self.dense = None
+        self.rows = np.zeros(0, dtype=np.uint16)
+        self.tf = np.zeros(0, dtype=np.uint16)
+        self.sizes = np.zeros(self.other + 1, dtype=np.uint16)  # postings of each term
+        self.norms = np.zeros(0)
+        self._weigh()
+
+    def __getstate__(self) -> dict:
+        # weights and matrix are made again from the counts, so that little is sent to the executors
+        state = self.__dict__ | {"dense": None, "weights": None}
+        return {"packed": zlib.compress(pickle.dumps(state, protocol=5), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state["packed"])))
+        self._weigh()
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights of length 1) of a text with these term counts."""
@@ -137,61 +158,91 @@ class Index:
         return terms, weights / np.sqrt((weights * weights).sum())
 
     def build(self, examples: list[tuple[int, int, dict[int, int]]]) -> None:
-        """Index of (id, label, term counts), neighbours in one block having the same strongest term."""
-        made = []
-        for doc_id, label, counts in examples:
-            terms, weights = self.vector(counts)
-            made.append((int(terms[weights.argmax()]), doc_id, label, terms, weights))
-        made.sort(key=lambda e: e[:2])
-        self.ids = [e[1] for e in made]
-        self.labels = np.array([e[2] for e in made], dtype=np.float64)
-        rows = np.repeat(np.arange(len(made)), [len(e[3]) for e in made])
-        terms = np.concatenate([e[3] for e in made]) if made else np.zeros(0, dtype=np.int64)
-        weights = np.concatenate([e[4] for e in made]) if made else np.zeros(0)
-        order = np.lexsort((rows, terms))
-        self.rows, terms, self.weights = rows[order], terms[order], weights[order]
-        self.starts = np.searchsorted(terms, np.arange(self.other + 2))
-        self.blocks = -(-len(made) // BLOCK)
-        self.tops = []  # per term: the blocks it is in, its largest weight there
-        self.spans = []  # per term: where the postings of each block lie
-        for t in range(self.other + 1):
-            a, b = int(self.starts[t]), int(self.starts[t + 1])
-            at, first = np.unique(self.rows[a:b] // BLOCK, return_index=True)
-            tops = np.maximum.reduceat(self.weights[a:b], first) if b > a else np.zeros(0)
-            ends = [*(first + a).tolist(), b]
-            self.tops.append((at, tops))
-            self.spans.append(dict(zip(at.tolist(), zip(ends, ends[1:]))))
-        self.inside = self.rows % BLOCK
+        """Index of (id, label, term counts)."""
+        flat = np.array([x for _, _, counts in examples for pair in counts.items() for x in pair], dtype=np.int32)
+        self.build_flat(
+            np.array([e[0] for e in examples], dtype=np.int64),
+            np.array([e[1] for e in examples], dtype=np.float64),
+            np.array([len(e[2]) for e in examples], dtype=np.int64),
+            flat[::2],
+            flat[1::2],
+        )
+
+    def build_flat(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> None:
+        """Index of examples in order of their ids; ``terms`` and ``tf`` hold ``sizes`` values for each."""
+        n = len(ids)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(n, dtype=np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.ids, self.labels = ids[order].tolist(), labels[order]
+        rows = np.repeat(place, sizes)
+        self.norms = np.zeros(n)
+        ends = np.cumsum(sizes).tolist()
+        for i, a, b in zip(place.tolist(), [0, *ends], ends):
+            own = (1 + np.log(tf[a:b])) * self.idf[terms[a:b]]
+            self.norms[i] = np.sqrt((own * own).sum())
+        places = np.argsort(terms.astype(np.int64) * n + rows)
+        self.rows = rows[places].astype(np.min_scalar_type(n))
+        self.tf = tf[places].astype(np.min_scalar_type(int(tf.max(initial=0))))
+        sizes = np.bincount(terms, minlength=self.other + 1)
+        self.sizes = sizes.astype(np.min_scalar_type(int(sizes.max(initial=0))))
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """What follows from counts and norms: weights of the postings, where terms start, which are common."""
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self.weights = np.empty(len(self.rows), dtype=np.float32)
+        for a in range(0, len(self.rows), 1 << 20):
+            b = min(a + (1 << 20), len(self.rows))
+            own = np.searchsorted(self.starts, np.arange(a, b), side="right") - 1
+            self.weights[a:b] = (1 + np.log(self.tf[a:b].astype(np.float64))) * self.idf[own] / self.norms[self.rows[a:b]]
+        self.common = np.flatnonzero(self.sizes.astype(np.int64) * COMMON > len(self.ids))
+        self.dense = None
+
+    def _matrix(self) -> np.ndarray:
+        """Weights of the common terms, one row for each term and one column for each example."""
+        if self.dense is None:
+            self.dense = np.zeros((len(self.common), len(self.ids)))
+            for i, t in enumerate(self.common.tolist()):
+                a, b = self.starts[t], self.starts[t + 1]
+                self.dense[i, self.rows[a:b]] = self.weights[a:b]
+        return self.dense
+
+    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines of texts (terms, weights) with all examples, one row for each text."""
+        some = np.zeros((len(vectors), len(self.common)))
+        left = []
+        for i, (terms, weights) in enumerate(vectors):
+            at = np.searchsorted(self.common, terms)
+            inside = at < len(self.common)
+            inside[inside] = self.common[at[inside]] == terms[inside]
+            some[i, at[inside]] = weights[inside]
+            left.append((terms[~inside], weights[~inside]))
+        out = some @ self._matrix()
+        for row, (terms, weights) in zip(out, left):
+            starts, lengths = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+            many = lengths >= RARE
+            for a, n, w in zip(starts[many].tolist(), lengths[many].tolist(), weights[many].tolist()):
+                row[self.rows[a : a + n]] += w * self.weights[a : a + n]
+            starts, lengths, weights = starts[~many], lengths[~many], weights[~many]
+            ends = np.cumsum(lengths)
+            at = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+            np.add.at(row, self.rows[at], np.repeat(weights, lengths) * self.weights[at])
+        return out
+
+    def _best(self, sums: np.ndarray, k: int, skip: int = -1, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        hits = np.flatnonzero(sums > floor)
+        hits = hits[hits != skip]
+        if len(hits) > k:
+            hits = hits[sums[hits] >= np.partition(sums[hits], -k)[-k]]
+        hits = hits[np.argsort(-sums[hits], kind="stable")][:k]
+        return hits, sums[hits]
 
     def nearest(
         self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, floor: float = 0.0
     ) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the ``k`` nearest examples above ``floor``, nearest first, ties by row."""
-        bounds = np.zeros(self.blocks)
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            at, tops = self.tops[t]
-            bounds[at] += w * tops
-        able = np.flatnonzero(bounds > floor + 1e-12)
-        order = able[np.argsort(-bounds[able], kind="stable")]
-        wanted = [(self.spans[t], w) for t, w in zip(terms.tolist(), weights.tolist())]
-        found: list[tuple[float, int]] = []  # (-cosine, row)
-        worst = floor
-        for block in order.tolist():
-            if bounds[block] < worst - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for spans, w in wanted:
-                span = spans.get(block)
-                if span:
-                    a, b = span
-                    sums[self.inside[a:b]] += w * self.weights[a:b]
-            hits = np.flatnonzero(sums > worst - 1e-12)
-            if len(hits):
-                found += [(-c, r) for c, r in zip(sums[hits].tolist(), (hits + block * BLOCK).tolist()) if r != skip and c > floor]
-                found = sorted(found)[:k]
-                if len(found) == k:
-                    worst = max(floor, -found[-1][0])
-        return np.array([r for _, r in found], dtype=np.int64), np.array([-c for c, _ in found])
+        return self._best(self.sums([(terms, weights)])[0], k, skip, floor)
 
     def _floor(self, bare_cosine: float) -> float:
         """Closeness that examples without terms reach anyway, if there are enough of them to fill all places."""
@@ -214,17 +265,20 @@ class Index:
         """Fits the logistic curve from votes to labels, each example judged without itself."""
         if len(self.ids) < 2 or len(np.unique(self.labels)) < 2:
             return
-        spans: list[tuple[list[int], list[float]]] = [([], []) for _ in self.ids]
-        for t in range(self.other + 1):
-            for i in range(self.starts[t], self.starts[t + 1]):
-                spans[self.rows[i]][0].append(t)
-                spans[self.rows[i]][1].append(self.weights[i])
         chosen = range(0, len(self.ids), max(1, len(self.ids) // 2000))
+        place = {row: i for i, row in enumerate(chosen)}
+        picked = np.flatnonzero(np.isin(self.rows, np.array(chosen)))
+        terms = np.searchsorted(self.starts, picked, side="right") - 1
+        rows = np.array([place[r] for r in self.rows[picked].tolist()])
+        order = np.argsort(rows, kind="stable")
+        cuts = np.searchsorted(rows[order], np.arange(1, len(chosen)))
+        vectors = list(zip(np.split(terms[order], cuts), np.split(self.weights[picked][order], cuts)))
         votes = []
-        for i in chosen:
-            terms, weights = np.array(spans[i][0]), np.array(spans[i][1])
-            away = float(weights[terms == self.other].sum())
-            votes.append(self.vote(*self.nearest(terms, weights, NEIGHBOURS, i, self._floor(away)), away))
+        for start in range(0, len(chosen), TEXTS_AT_ONCE):
+            part = vectors[start : start + TEXTS_AT_ONCE]
+            for i, (own, weights), sums in zip(chosen[start:], part, self.sums(part)):
+                away = float(weights[own == self.other].sum())
+                votes.append(self.vote(*self._best(sums, NEIGHBOURS, i, self._floor(away)), away))
         votes = np.array(votes)
         y = self.labels[list(chosen)]
         x = np.stack([votes, np.ones(len(votes))], axis=1)
@@ -237,34 +291,47 @@ class Index:
         if np.isfinite(b).all() and b[0] > 0:
             self.scale = (float(b[0]), float(b[1]))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        """(score, ids of the neighbours, their cosines) of a text with these term counts."""
-        if not self.ids or not any(t != self.other for t in counts):
-            return self.bare_score, [], []
-        terms, weights = self.vector(counts)
-        away = float(weights[terms == self.other].sum())
-        rows, cosines = self.nearest(terms, weights, NEIGHBOURS, floor=self._floor(away))
-        vote = self.vote(rows, cosines, away)
-        score = 1 / (1 + math.exp(-(self.scale[0] * vote + self.scale[1])))
-        return score, [self.ids[r] for r in rows.tolist()], cosines.tolist()
+    def score(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int], list[float]]]:
+        """(score, ids of the neighbours, their cosines) of texts with these term counts."""
+        out = [(self.bare_score, [], [])] * len(texts)
+        known = [i for i, counts in enumerate(texts) if self.ids and any(t != self.other for t in counts)]
+        for start in range(0, len(known), TEXTS_AT_ONCE):
+            part = known[start : start + TEXTS_AT_ONCE]
+            vectors = [self.vector(texts[i]) for i in part]
+            for i, (terms, weights), sums in zip(part, vectors, self.sums(vectors)):
+                away = float(weights[terms == self.other].sum())
+                rows, cosines = self._best(sums, NEIGHBOURS, floor=self._floor(away))
+                vote = self.vote(rows, cosines, away)
+                score = 1 / (1 + math.exp(-(self.scale[0] * vote + self.scale[1])))
+                out[i] = (score, [self.ids[r] for r in rows.tolist()], cosines.tolist())
+        return out
 
 
 class TermCounter:
-    """Counts of the chosen terms in texts; which terms a token has is remembered, up to a bound."""
+    """Counts of the terms in texts; which terms a token has is remembered, up to a bound."""
 
-    def __init__(self, number: dict[str, int]):
-        self.number = number
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms  # digests in order
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def learn(self, tokens: list[str]) -> None:
+        found = [[_digest(t) for t in terms_of(token)] for token in tokens]
+        flat = np.array([d for each in found for d in each], dtype=np.int64)
+        at = np.searchsorted(self.terms, flat)
+        inside = at < len(self.terms)
+        inside[inside] = self.terms[at[inside]] == flat[inside]
+        numbers = iter(np.where(inside, at, -1).tolist())
+        for token, each in zip(tokens, found):
+            self.known[token] = tuple(i for i in (next(numbers) for _ in each) if i >= 0)
+
     def count(self, text: str) -> dict[int, int]:
         tokens = text.split()
-        for token in set(tokens).difference(self.known):
-            self.known[token] = tuple(self.number[t] for t in terms_of(token) if t in self.number)
+        self.learn(list(set(tokens).difference(self.known)))
         get = self.known.__getitem__
         hits = [found for found in map(get, tokens) if found]
-        counts = Counter(t for found in hits for t in found)
+        counts = Counter(chain.from_iterable(hits))
         if len(tokens) > len(hits):
-            counts[len(self.number)] = len(tokens) - len(hits)
+            counts[len(self.terms)] = len(tokens) - len(hits)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         return counts
@@ -275,16 +342,19 @@ def fit(
 ) -> Index:
     """Index of at most ``most`` labelled rows that are not held out; rows without any term are counted only."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, most)
-    terms, df, n, ones = choose_terms(sample)
-    index = Index(terms, df, n)
+    terms, df, chi2, n, ones = choose_terms(sample)
+    index = Index(terms, df, n, chi2)
     index.prior = ones / n if n else 0.0
-    number = index.number
+    index.bare_score = index.prior
+    if not len(terms):
+        return index
+    shared = share(docs.sparkSession, terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(number)
+        counter = TermCounter(pickle.loads(shared.value))
         for batch in batches:
             counts = [counter.count(text) for text in batch.column(2).to_pylist()]
-            lists = [[x for pair in sorted(c.items()) for x in pair] for c in counts]
+            lists = [[x for pair in c.items() for x in pair] for c in counts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "label", "counts"]
             )
@@ -292,12 +362,24 @@ def fit(
     found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(
         vectors, "doc_id long, label int, counts array<int>"
     )
-    rows = found.collect() if terms else []
-    counted = [(r.doc_id, int(r.label == 1), dict(zip(r.counts[::2], r.counts[1::2]))) for r in rows]
-    bare = [label for _, label, counts in counted if not any(t != index.other for t in counts)]
-    index.bare = len(bare)
-    index.bare_score = (sum(bare) + 0.5 * index.prior) / (len(bare) + 0.5) if n else 0.0
-    index.build([e for e in counted if any(t != index.other for t in e[2])])
+    made = found.toArrow()
+    counts = made.column("counts")
+    sizes = pc.list_value_length(counts).to_numpy() // 2
+    ids = made.column("doc_id").to_numpy()
+    ones_of = (made.column("label").to_numpy() == 1).astype(np.float64)
+    parts = [part.flatten().to_numpy() for part in counts.chunks]
+    flat_terms = np.concatenate([part[::2] for part in parts])
+    flat_tf = np.concatenate([part[1::2] for part in parts])
+    del made, counts, parts, found
+    row_of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+    own = np.bincount(row_of[flat_terms != index.other], minlength=len(ids)) > 0
+    inside = own[row_of]
+    del row_of
+    index.bare = int((~own).sum())
+    index.bare_score = float((ones_of[~own].sum() + 0.5 * index.prior) / (index.bare + 0.5))
+    if not inside.all():
+        flat_terms, flat_tf = flat_terms[inside], flat_tf[inside]
+    index.build_flat(ids[own], ones_of[own], sizes[own], flat_terms, flat_tf)
     index.calibrate()
     return index
 
@@ -309,9 +391,11 @@ def score_column(spark: SparkSession, index: Index, text: Column) -> Column:
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found_index = pickle.loads(shared.value)
-        counter = TermCounter(found_index.number)
+        counter = TermCounter(found_index.terms)
         for texts in batches:
-            found = [found_index.score(counter.count(t)) for t in texts]
+            found = []
+            for start in range(0, len(texts), TEXTS_AT_ONCE):
+                found += found_index.score([counter.count(t) for t in texts[start : start + TEXTS_AT_ONCE]])
             yield pd.DataFrame(found, columns=["score", "neighbours", "cosines"])
 
     return scored(text)
@@ -322,8 +406,8 @@ def score_documents(
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted, neighbours, cosines`` for each row; ``predicted`` is 1 from 0.5 on.
 
-    The neighbours are the evidence: ids of the nearest labelled rows. A text without
-    terms, such as a NULL or empty one, has no neighbours and the share of label 1 among
+    The neighbours are the evidence: ids of the nearest labelled rows. Every text with a
+    word of a labelled one is searched. A text without, such as a NULL or empty one, has no neighbours and the share of label 1 among
     labelled texts of that kind. Without labels every score is 0. Only the text enters a
     score. NULL ids are not held out; rows with the same id are scored each for itself;
     an empty table gives no rows.

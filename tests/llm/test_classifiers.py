@@ -74,3 +74,24 @@ def test_sparse_sites_are_drawn_to_the_prior(spark):
     sites, share, worth = site_priors(spark.createDataFrame(rows, "host string, path string, p double"), "host", "path", "p")
     prior = {round(r.total): r.host_prior for r in sites.collect()}
     assert prior[500] > 0.97 and prior[100] < 0.23 and 0.2 < prior[0] < share + 0.05
+
+
+def test_texts_without_telling_terms_are_searched(spark, docs_of):
+    # alpha and beta are in texts with label 0 only: an index of terms that tell label 1 leaves them out
+    texts = [f"alpha{i % 20} beta{i % 20}" if i % 4 else f"gamma{i % 40} delta{i % 40}" for i in range(60)]
+    docs = docs_of([*enumerate(texts), (900, "gamma4 delta4"), (901, "alpha1 beta1")])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    found = {r.doc_id: r for r in score_documents(docs, labels).collect()}
+    assert found[900].neighbours and found[901].neighbours
+    assert found[900].score > found[901].score
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="benchmark tables are not here")
+def test_every_text_with_a_known_word_has_neighbours(spark):
+    docs, labels = (spark.read.parquet(str(DATA / f"{t}.parquet")) for t in ("documents", "labels"))
+    index = T.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    counter = T.TermCounter(index.terms)
+    known = {i for i, text in texts.items() if set(counter.count(text)) - {index.other}}
+    found = {r.doc_id: r.neighbours for r in score_documents(docs, labels).collect()}
+    assert len(known) > 100 and all(found[i] for i in known)
