@@ -48,19 +48,40 @@ def rejected_employers(documents: DataFrame) -> DataFrame:
 
 
 def landed_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """(file, body): each landed file whole, so a page may span lines; a file landed twice with the same content once.
+    """(file, line, body): the pages of each landed file; a page landed twice with the same content once.
 
-    An empty file has no row; ``missing_pages`` lists its page as it does one that never landed.
+    A file whose first line is a document, or that has a line that is a page, holds one
+    page in each line, and ``line`` counts them from 1. Any other file is one page, which
+    may span lines, with ``line`` 1. An empty file has no row; ``missing_pages`` lists its
+    page as it does one that never landed.
     """
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.input_file_name().alias("file"), F.col("value").alias("body")).dropDuplicates(["body"])
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("_text"))
+    lines = F.filter(F.split("_text", r"\r\n|\n|\r"), lambda t: F.length(F.trim(t)) > 0)
+    each = files.withColumn("_lines", lines)
+    one_a_line = (F.size("_lines") > 1) & (
+        _one_document(F.get("_lines", F.lit(0))) | F.exists("_lines", lambda t: ~broken_page(t))
+    )
+    bodies = F.when(one_a_line, F.col("_lines")).otherwise(F.array("_text"))
+    found = each.select("file", F.posexplode(bodies).alias("line", "body"))
+    return found.withColumn("line", F.col("line") + 1).dropDuplicates(["body"])
+
 
+def _one_document(json: Column) -> Column:
+    """Whether a text is one JSON object and nothing else.
+
+    ``from_json`` ignores what follows the first document, so the text is read as the
+    first of two elements of an array.
+    """
+    pair = F.from_json(F.concat(F.lit("["), json, F.lit(',{"_end":1}]')), "array<struct<_end: string>>")
+    return F.coalesce((F.size(pair) == 2) & pair[0].isNotNull() & (pair[1]["_end"] == "1"), F.lit(False))
 
-def broken_page(json_col: str = "body") -> Column:
-    """Whether a text is no page: it does not parse as a whole, or holds no response."""
+
+def broken_page(json_col: str | Column = "body") -> Column:
+    """Whether a text is no page: it does not parse as a whole, more follows the page, or it holds no response."""
+    json = F.col(json_col) if isinstance(json_col, str) else json_col
     schema = T.StructType([*EMPLOYER_PAGE.fields, T.StructField("_broken", T.StringType())])
-    parsed = F.from_json(json_col, schema, {"columnNameOfCorruptRecord": "_broken"})
-    return F.coalesce(parsed["_broken"].isNotNull() | parsed["response"].isNull(), F.lit(True))
+    parsed = F.from_json(json, schema, {"columnNameOfCorruptRecord": "_broken"})
+    return F.coalesce(parsed["_broken"].isNotNull() | parsed["response"].isNull(), F.lit(True)) | ~_one_document(json)
 
 
 def rejected_pages(bodies: DataFrame, json_col: str = "body") -> DataFrame:
@@ -69,7 +90,10 @@ def rejected_pages(bodies: DataFrame, json_col: str = "body") -> DataFrame:
 
 
 def usable_pages(bodies: DataFrame, json_col: str = "body", page_col: str | None = None) -> DataFrame:
-    """Parsed pages of the landed texts: broken and failed ones left out, one response for each page number."""
+    """Parsed pages of the landed texts: broken and failed ones left out, one response for each page number.
+
+    Pages of one file have one number each only where ``page_col`` goes by ``line`` too.
+    """
     parsed = parse_pages(bodies.filter(~broken_page(json_col)), json_col).filter(F.coalesce("success", F.lit(True)))
     return parsed if page_col is None else parsed.dropDuplicates([page_col])
 
@@ -81,7 +105,7 @@ def landed_status(bodies: DataFrame, page_col: str, json_col: str = "body") -> D
 
 
 def load_employers(spark: SparkSession, path: str) -> DataFrame:
-    """Employer table from a folder of landed JSON pages; see ``rejected_pages`` for the files left out."""
+    """Employer table from a folder of landed JSON pages; see ``rejected_pages`` for the texts left out."""
     return project_employers(explode_employers(usable_pages(landed_bodies(spark, path))))
 
 

@@ -49,6 +49,23 @@ def test_spread_out_broken_and_repeated_pages(spark, tmp_path):
     assert sorted(r.page_num for r in missing) == [3, 4, 5, 6, 7]
 
 
+def test_files_of_several_pages_and_text_behind_a_page(spark, tmp_path):
+    def of(i):
+        return page([{"id": i, "name": "A", "numberOfRatings": 5}])
+
+    spread = json.dumps(json.loads(of(8)), indent=2)
+    for name, body in {
+        "1.json": of(1) + "\n" + of(2) + "\n", "2.json": of(3) + "\r\n\r\n" + of(4)[:-9] + "\r\n" + of(5), "3.json": of(6) + " junk",
+        "4.json": of(7) + "] junk", "5.json": spread + "\n", "6.json": spread.replace("8", "9") + spread.replace("8", "10"),
+        "7.json": of(11) + of(12), "8.json": of(13)[:-9] + "\n" + of(14),
+    }.items():
+        (tmp_path / name).write_bytes(body.encode())
+    assert sorted(r.company_id for r in rl.load_employers(spark, str(tmp_path)).collect()) == [1, 2, 3, 5, 8, 14]
+    rejected = sources.rejected_pages(sources.landed_bodies(spark, str(tmp_path)))
+    found = sorted((r.file.rsplit("/", 1)[1], r.line) for r in rejected.collect())
+    assert found == [("2.json", 2), ("3.json", 1), ("4.json", 1), ("6.json", 1), ("7.json", 1), ("8.json", 1)]
+
+
 def test_bad_ids_are_reported_not_raised(spark):
     body = page([{"id": "x", "numberOfRatings": 1}, {"id": 3, "numberOfRatings": 4}])
     documents = sources.explode_employers(sources.parse_pages(spark.createDataFrame([(body,)], "body string")))
