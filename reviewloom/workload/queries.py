@@ -401,7 +401,7 @@ def shared_topics(spark, d):
 def topic_sweep(spark, d):
     weights = _weights(spark, d, "pro")
     settings = rl.NMFSettings(topics=1)
-    return rl.topic_sweep(weights.matrix, weights.vocabulary, range(1, 5), settings)
+    return rl.topic_sweep(weights.matrix, weights.vocabulary, range(1, 31), settings)
 
 
 def polarity_topics(spark, d):

@@ -56,3 +56,14 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry_gives_topics(spark):
     df = entry.entry(spark)
     assert df.columns == ["topic", "n_docs", "words"] and df.count() == 4
+
+
+def test_topic_sweep_covers_1_to_30(monkeypatch):
+    from importlib import import_module
+    from types import SimpleNamespace
+
+    q = import_module("reviewloom.workload.queries")
+
+    monkeypatch.setattr(q, "_weights", lambda *_: SimpleNamespace(matrix=None, vocabulary=None))
+    monkeypatch.setattr(q.rl, "topic_sweep", lambda matrix, vocabulary, counts, settings: list(counts))
+    assert q.topic_sweep(None, "") == list(range(1, 31))
