@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, packing, quality, sharding, toxicity
+from reviewloom.llm import (
+    bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, mixture_packing, packing, quality,
+    sharding, toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         toxicity.op8_toxicity_neighbours,
         embedding_join.op9_grid_order_join,
         minhash_dedup.op10_minhash_near_dedup,
+        mixture_packing.op11_mixture_packing,
     )
     return {query.__name__: query for query in found}
 
