@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm import (
-    bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, mixture_packing, packing, quality,
+    bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, mixture_packing, packing, periodic_runs, quality,
     sharding, toxicity,
 )
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         embedding_join.op9_grid_order_join,
         minhash_dedup.op10_minhash_near_dedup,
         mixture_packing.op11_mixture_packing,
+        periodic_runs.op12_periodic_runs,
     )
     return {query.__name__: query for query in found}
 
