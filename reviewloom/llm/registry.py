@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm import (
-    bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, mixture_packing, packing, periodic_runs, quality,
-    sharding, toxicity,
+    bpe_lexicon, chat_format, embedding_join, exact_dedup, html_extract, minhash_dedup, mixture_packing, packing, periodic_runs,
+    phrase_mining, quality, sharding, toxicity,
 )
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         minhash_dedup.op10_minhash_near_dedup,
         mixture_packing.op11_mixture_packing,
         periodic_runs.op12_periodic_runs,
+        phrase_mining.op13_phrase_mining,
     )
     return {query.__name__: query for query in found}
 
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op9_grid_order_join": embedding_join.ORACLE,
         "op10_minhash_near_dedup": minhash_dedup.ORACLE,
+        "op13_phrase_mining": phrase_mining.ORACLE,
     }

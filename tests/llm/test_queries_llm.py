@@ -38,5 +38,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {int(name[2:].split("_")[0]) for name in queries()} == set(range(1, 13))
+    assert {int(name[2:].split("_")[0]) for name in queries()} == set(range(1, 14))
     assert set(queries()) | {"pipeline"} <= set(entry.queries())
