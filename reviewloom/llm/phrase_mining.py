@@ -31,7 +31,7 @@ LEAST = 10
 INSIDE_PERCENT = 50
 TOP = 2000
 BUCKET_BYTES = 12_000_000  # of text, about two million words
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 # Characters that end a piece of text, and those between words
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 SPACES = b"\x20\x09"
