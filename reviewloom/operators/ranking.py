@@ -79,10 +79,12 @@ def global_rank(df: DataFrame, order_by: Sequence[Column], out: str, per_range:
 def with_row_id(df: DataFrame, out: str = "doc_id", per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Row number 0..n-1 of distinct rows, stable for the same set of rows.
 
-    The order is that of a 128-bit hash of the row. Only the hash is ranked; the rows
-    then find their number by it, so no text goes through a window.
+    The order is that of a 128-bit hash of the row, which also tells which columns are
+    NULL. Only the hash is ranked; the rows then find their number by it, so no text goes
+    through a window.
     """
-    keys = {"_key": F.xxhash64(*df.columns), "_key2": F.xxhash64(F.lit(1), *df.columns)}
+    nulls = [F.col(name).isNull() for name in df.columns]  # a hash passes over NULLs
+    keys = {"_key": F.xxhash64(*nulls, *df.columns), "_key2": F.xxhash64(F.lit(1), *nulls, *df.columns)}
     hashed = df.withColumns(keys)
     ranked = global_rank(hashed.select(*keys), [F.col(key) for key in keys], out, per_range)
     return hashed.join(ranked, list(keys)).select(out, *df.columns)

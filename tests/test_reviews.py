@@ -59,3 +59,10 @@ def test_reviews_flow_numbers_and_lemmatizes(spark):
     shard = spark.createDataFrame([(1, "a", "pro", "Friendly teams"), (1, "a", "con", "Pros")], REVIEWS)
     rows = rl.build_reviews(shard, shard).collect()
     assert [(r.doc_id, r.lemmatized_text) for r in rows] == [(0, "friendly team")]
+
+
+def test_row_ids_tell_null_columns_apart(spark):
+    rows = [(1, "acme", "pro", None), (1, "acme", None, "pro"), (None, "acme", "pro", None), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "n int, a string, b string, c string")
+    found = rl.with_row_id(df).collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3] and {tuple(r)[1:] for r in found} == set(rows)
