@@ -11,7 +11,8 @@ from reviewloom.operators.employers import (
 )
 from reviewloom.operators.histogram import histogram, segmented_histogram
 from reviewloom.operators.lemmas import default_stop_words, lemma_tokens, lemmatize
-from reviewloom.operators.nmf import NMFModel, NMFSettings, nmf_fit, nmf_transform, reconstruction_error
+from reviewloom.operators.nmf import NMFModel, NMFSettings, nmf_fit, nmf_transform, optimality, reconstruction_error
+from reviewloom.operators.nmf_sweep import SweepFit, fit_side_by_side, sweep_model
 from reviewloom.operators.pages import extract_reviews, flag_blocked, page_facts, page_plan
 from reviewloom.operators.ranking import exact_quantiles, global_rank, with_row_id
 from reviewloom.operators.reviews import (
@@ -66,6 +67,10 @@ __all__ = [
     "mean_similarity",
     "mean_similarity_of_columns",
     "missing_pages",
+    "SweepFit",
+    "fit_side_by_side",
+    "sweep_model",
+    "optimality",
     "nmf_fit",
     "nmf_transform",
     "page_facts",

@@ -27,10 +27,12 @@ def vector_sum(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def nonnegative_solver(gram: np.ndarray, l1: float, l2: float, sweeps: int | None, tol: float):
-    """Column function solving one small non-negative least-squares problem per row.
+def solve_rows(
+    goal: np.ndarray, gram: np.ndarray, l1: float, l2: float, sweeps: int | None, tol: float
+) -> np.ndarray:
+    """One small non-negative least-squares problem per row.
 
-    For a target ``t`` it returns the ``w >= 0`` that minimises
+    For a target ``t`` the row is the ``w >= 0`` that minimises
     ``w'Gw/2 - t'w + l1*sum(w) + l2*w'w/2`` by cyclic coordinate descent from zero.
     A row stops when its own largest move is at most ``tol`` of its largest entry (or
     of 1e-12), after ``sweeps`` at most where that is given. Each row is computed
@@ -39,33 +41,56 @@ def nonnegative_solver(gram: np.ndarray, l1: float, l2: float, sweeps: int | Non
     width = gram.shape[0]
     scale = np.diag(gram) + l2
     off = gram - np.diag(np.diag(gram))
+    solved = np.zeros_like(goal)
+    rows = np.arange(len(goal))
+    done = 0
+    while len(rows) and (sweeps is None or done < sweeps):
+        done += 1
+        w, wanted = solved[rows], goal[rows]
+        moved = np.zeros(len(rows))
+        for j in range(width):
+            if scale[j] <= 0.0:
+                continue
+            # summed row by row: a matrix product would round by the size of the batch
+            new = np.maximum(0.0, (wanted[:, j] - l1 - (w * off[:, j]).sum(axis=1)) / scale[j])
+            moved = np.maximum(moved, np.abs(new - w[:, j]))
+            w[:, j] = new
+        solved[rows] = w
+        rows = rows[moved > tol * np.maximum(w.max(axis=1, initial=0.0), 1e-12)]
+    return solved
+
+
+def nonnegative_solver(gram: np.ndarray, l1: float, l2: float, sweeps: int | None, tol: float):
+    """``solve_rows`` as a column function of the targets."""
+    width = gram.shape[0]
 
     @F.arrow_udf("array<double>")
     def solve(target: pa.Array) -> pa.Array:
-        goal = _matrix(target, width)
-        solved = np.zeros_like(goal)
-        rows = np.arange(len(goal))
-        done = 0
-        while len(rows) and (sweeps is None or done < sweeps):
-            done += 1
-            w, wanted = solved[rows], goal[rows]
-            moved = np.zeros(len(rows))
-            for j in range(width):
-                if scale[j] <= 0.0:
-                    continue
-                # summed row by row: a matrix product would round by the size of the batch
-                new = np.maximum(0.0, (wanted[:, j] - l1 - (w * off[:, j]).sum(axis=1)) / scale[j])
-                moved = np.maximum(moved, np.abs(new - w[:, j]))
-                w[:, j] = new
-            solved[rows] = w
-            rows = rows[moved > tol * np.maximum(w.max(axis=1, initial=0.0), 1e-12)]
-        w = solved
+        w = solve_rows(_matrix(target, width), gram, l1, l2, sweeps, tol)
         offsets = np.arange(0, len(w) * width + 1, width, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(w.ravel()))
 
     return solve
 
 
+def violation(gram: np.ndarray, l1: float, l2: float):
+    """Column function of a solution and its target: how far it is from optimal, relative to the largest target.
+
+    At the optimum the slope is zero where the entry is positive and not negative where
+    it is zero; the result is the largest breach of that.
+    """
+    width = gram.shape[0]
+
+    @F.arrow_udf("double")
+    def worst(solution: pa.Array, target: pa.Array) -> pa.Array:
+        w, goal = _matrix(solution, width), _matrix(target, width)
+        slope = w @ gram - goal + l1 + l2 * w
+        breach = np.where(w > 0.0, np.abs(slope), np.maximum(0.0, -slope)).max(axis=1, initial=0.0)
+        return pa.array(breach / np.maximum(np.abs(goal).max(axis=1, initial=0.0), 1e-12))
+
+    return worst
+
+
 def _partial_moments(df: DataFrame, left: str, right: str, rows: int, columns: int) -> DataFrame:
     """One row per task: the sum of the outer products of its rows, flattened."""
 

@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.vectors import moment_matrix, nonnegative_solver
+from reviewloom.functions.vectors import moment_matrix, nonnegative_solver, violation
 from reviewloom.operators.lookup import BROADCAST_BYTES, lookup_join
 from reviewloom.session import ensure_checkpoint_dir, placed_partitions
 
@@ -118,6 +118,12 @@ def place_by_document(matrix: DataFrame, id_col: str) -> Placed:
     return Placed(layout.keep(weights), id_col, layout.partitions)
 
 
+def start_documents(x: DataFrame, wanted: int, seed: int, id_col: str = "doc_id") -> list:
+    """Ids of the ``wanted`` documents with the smallest digests of id and seed, in that order."""
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
+    return [row[0] for row in x.select(id_col).distinct().orderBy(digest, id_col).limit(wanted).collect()]
+
+
 def initial_h(
     x: DataFrame, vocabulary: DataFrame, topics: int, seed: int, seed_documents: int = 3, id_col: str = "doc_id"
 ) -> DataFrame:
@@ -127,11 +133,9 @@ def initial_h(
     turn, so the start is reproducible. Unlike noise, which makes all topics alike
     and lets the penalty empty all but one, documents point in different directions.
     """
-    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
-    wanted = topics * seed_documents
-    ids = x.select(id_col).distinct().orderBy(digest, id_col).limit(wanted).collect()
+    ids = start_documents(x, topics * seed_documents, seed, id_col)
     schema = f"{id_col} {x.schema[id_col].dataType.simpleString()}, topic int"
-    dealt = x.sparkSession.createDataFrame([(row[0], i % topics) for i, row in enumerate(ids)], schema)
+    dealt = x.sparkSession.createDataFrame([(doc, i % topics) for i, doc in enumerate(ids)], schema)
     means = ", ".join(f"sum(if(topic = {t}, x, 0D)) / {seed_documents}D" for t in range(topics))
     picked = x.join(F.broadcast(dealt), id_col).groupBy("term_idx").agg(F.expr(f"array({means})").alias("h"))
     zero = F.array(*[F.lit(0.0)] * topics)
@@ -276,3 +280,25 @@ def reconstruction_error(matrix: DataFrame, w: DataFrame, h: DataFrame, topics:
     targets = document_targets(x, h, id_col, topics, factor_bytes(h, topics))
     w_gram, cross, _ = _moments(w.select(id_col, "w").join(targets, id_col), "w", "a", topics)
     return _error(x_square, cross, w_gram, _gram(h, topics))
+
+
+def optimality(matrix: DataFrame, model: NMFModel, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(part, key, breach): how far each document and each term of a fit is from optimal, the other factor held fixed.
+
+    A row is optimal where its slope is zero in positive entries and not negative in
+    others; ``breach`` is the worst exception relative to the row's largest target. Documents
+    are solved last and keep to the solver's tolerance; terms come as near as the fit has settled.
+    """
+    s, k, id_col = model.settings, model.topics, model.id_col
+    x = matrix.select(id_col, "term_idx", F.col("tfidf").alias("x"))
+    h = model.h.select("term", "term_idx", "h")
+    targets = document_targets(x, h, id_col, k, factor_bytes(h, k), max_bytes)
+    of_documents = violation(_gram(h, k), s.l1, s.l2)
+    documents = model.w.join(targets, id_col).select(
+        F.lit("document").alias("part"), F.col(id_col).cast("string").alias("key"), of_documents("w", "a").alias("breach")
+    )
+    of_terms = violation(moment_matrix(model.w, "w", "w", k, k, _tasks(model.w)), s.l1, s.l2)
+    terms = h.join(term_targets(x, model.w, id_col, k), "term_idx").select(
+        F.lit("term").alias("part"), F.col("term").alias("key"), of_terms("h", "b").alias("breach")
+    )
+    return documents.unionByName(terms)

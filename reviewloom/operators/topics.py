@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import replace
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewloom.functions.vectors import cross_moments, vector_sum
-from reviewloom.operators.nmf import NMFModel, NMFSettings, nmf_fit, place_by_document
-from reviewloom.session import run_together
+from reviewloom.operators.nmf import NMFModel, NMFSettings
+from reviewloom.operators.nmf_sweep import fit_side_by_side
 
 LABEL_SHARE = 0.20
 SUMMARY_WORDS = 20
@@ -140,25 +138,14 @@ def topic_sweep(
     settings: NMFSettings,
     id_col: str = "doc_id",
     as_coded: bool = False,
-    at_once: int = 4,
 ) -> DataFrame:
-    """(topics, error, mean_cosine) for each number of topics.
-
-    The weights are placed once and shared; ``at_once`` fits run side by side.
-    """
-    spark = matrix.sparkSession
-    placed = place_by_document(matrix, id_col)
-    measure = mean_similarity_of_columns if as_coded else mean_similarity
-
-    def fit(k: int) -> tuple[int, float, float]:
-        model = nmf_fit(matrix, vocabulary, replace(settings, topics=k), id_col, placed=placed)
-        row = (k, model.errors[-1], measure(model.h, k).first()["mean_cosine"])
-        model.unpersist()
-        return row
-
-    rows = run_together(spark, [partial(fit, int(k)) for k in topic_counts], at_once)
-    placed.unpersist()
-    return spark.createDataFrame(rows, "topics int, error double, mean_cosine double")
+    """(topics, error, mean_cosine, converged) for each number of topics, fitted side by side."""
+    fits = fit_side_by_side(matrix, vocabulary, [int(k) for k in topic_counts], settings, id_col)
+    rows = [
+        (fit.topics, fit.errors[-1], fit.mean_cosine_of_columns() if as_coded else fit.mean_cosine(), fit.converged)
+        for fit in fits
+    ]
+    return matrix.sparkSession.createDataFrame(rows, "topics int, error double, mean_cosine double, converged boolean")
 
 
 def shared_topics(pro: NMFModel, con: NMFModel, threshold: float = 0.3) -> DataFrame:

@@ -362,6 +362,10 @@ def oracle_sql() -> dict[str, str]:
               SELECT company_name, pro_or_con, review_text, min(doc_id) AS doc_id FROM fx
               WHERE review_text IS DISTINCT FROM 'That it.' GROUP BY company_name, pro_or_con, review_text)
             SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, company_name FROM c""",
+        "reviews_row_ids": f"""WITH {REVIEWS}, c AS (
+              SELECT DISTINCT company_name, pro_or_con, review_text FROM fx WHERE review_text IS DISTINCT FROM 'That it.'),
+            both_ AS (SELECT * FROM c UNION ALL SELECT NULL, company_name, review_text FROM c WHERE pro_or_con IS NULL)
+            SELECT company_name, pro_or_con, count(*) AS n_rows, count(*) AS n_ids FROM both_ GROUP BY ALL""",
         "coverage_check": f"{_coverage('company_name')} SELECT {CHECK_COLUMNS} FROM checked",
         "coverage_by_id": f"""{_coverage("company_id", ", CAST(substr(company_name, 4) AS BIGINT) AS company_id")}
             SELECT {CHECK_COLUMNS} FROM checked""",
@@ -400,6 +404,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, row_number() OVER (PARTITION BY pro_or_con ORDER BY weight DESC, term) AS rank FROM s
             QUALIFY rank <= 20""",
         "nmf_start": f"{FIT} SELECT term_idx, {_vector('h')} FROM h_0",
+        "nmf_certificate": f"""WITH {REVIEWS}, {_weights("pro")},
+            keys_ AS (SELECT 'term' AS part, term AS key FROM voc
+                      UNION ALL SELECT DISTINCT 'document', CAST(doc_id AS VARCHAR) FROM mat)
+            SELECT topics, part, key, CAST(1 AS INTEGER) AS optimal FROM keys_, (VALUES (2), (3), (5)) AS k(topics)""",
         "nmf_documents": f"{FIT} SELECT doc_id, {_vector('w')} FROM w",
         "nmf_terms": f"{FIT} SELECT term, {_vector('h')} FROM h",
         "nmf_transform": f"""{FIT} SELECT doc_id, {", ".join(f"coalesce(round(w{i}, 6), 0) AS w{i}" for i in K)}

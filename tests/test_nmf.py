@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -209,6 +210,52 @@ def test_sweep_and_runs_by_polarity(corpus):
         run.unpersist()
 
 
+def test_sweep_equals_single_fits(spark, corpus, monkeypatch):
+    from reviewloom.operators import nmf_sweep
+
+    _, weights, _ = corpus
+    settings = rl.NMFSettings(1, tol=-1.0, max_rounds=2)
+    singles = [rl.nmf_fit(weights.matrix, weights.vocabulary, replace(settings, topics=k)) for k in (1, 3)]
+    terms = weights.vocabulary.count()
+    small = {"BLOCK_WEIGHTS": 60, "CHUNK": 25, "PART_BYTES": 500, "FAN_IN": 2}
+    # all in one broadcast, and in two with many small blocks
+    for limits, max_bytes in (({}, 1 << 20), (small, terms * 3 * 8)):
+        for name, value in limits.items():
+            monkeypatch.setattr(nmf_sweep, name, value)
+        fits = rl.fit_side_by_side(weights.matrix, weights.vocabulary, [1, 3], settings, max_bytes=max_bytes)
+        for fit, single in zip(fits, singles):
+            assert fit.objectives == pytest.approx(single.objectives) and fit.errors == pytest.approx(single.errors)
+            cosine = rl.mean_similarity(single.h, fit.topics).first().mean_cosine
+            assert fit.mean_cosine() == pytest.approx(cosine)
+            coded = rl.mean_similarity_of_columns(single.h, fit.topics).first().mean_cosine
+            assert fit.mean_cosine_of_columns() == pytest.approx(coded)
+    model = rl.sweep_model(fits[1], weights.matrix, weights.vocabulary)
+    wanted = {r.doc_id: r.w for r in singles[1].w.collect()}
+    assert all(np.allclose(r.w, wanted[r.doc_id], atol=1e-6) for r in model.w.collect())
+    with pytest.raises(ValueError, match="larger than"):
+        rl.fit_side_by_side(weights.matrix, weights.vocabulary, [4], settings, max_bytes=100)
+    with pytest.warns(UserWarning, match="not settled"):
+        assert not rl.fit_side_by_side(weights.matrix, weights.vocabulary, [3], rl.NMFSettings(1, max_rounds=1))[0].converged
+    assert rl.fit_side_by_side(weights.matrix, weights.vocabulary, [3], rl.NMFSettings(1, tol=1e-2))[0].converged
+    none = weights.matrix.filter("false")
+    assert [f.errors[-1] for f in rl.fit_side_by_side(none, weights.vocabulary.filter("false"), [2], settings)] == [0.0]
+
+
+def test_certificate_tells_settled_from_cut_short(corpus):
+    _, weights, _ = corpus
+    settled, cut = (
+        rl.sweep_model(rl.fit_side_by_side(weights.matrix, weights.vocabulary, [3], s)[0], weights.matrix, weights.vocabulary)
+        for s in (rl.NMFSettings(1, tol=1e-9, max_rounds=500), rl.NMFSettings(1, tol=-1.0, max_rounds=1))
+    )
+    good = rl.optimality(weights.matrix, settled).collect()
+    keys = {("term", r.term) for r in weights.vocabulary.collect()} | {("document", str(r.doc_id)) for r in settled.w.collect()}
+    assert {(r.part, r.key) for r in good} == keys and max(r.breach for r in good) < 1e-2
+    assert max(r.breach for r in rl.optimality(weights.matrix, cut).collect()) > 2e-2
+    # a factor that is changed by hand is found
+    spoilt = rl.NMFModel(settled.settings, settled.h.withColumn("h", F.transform("h", lambda v: v * 2)), settled.w, "doc_id")
+    assert min(r.breach for r in rl.optimality(weights.matrix, spoilt).filter("part = 'document'").collect()) > 0.1
+
+
 def test_solver_does_not_see_its_batch(spark):
     rng = np.random.default_rng(4)
     base = rng.random((6, 3))
