@@ -11,6 +11,7 @@ count are given up at once, as no phrase in them can reach it.
 from __future__ import annotations
 
 import pickle
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ LONGEST = 3
 LEAST = 10
 INSIDE_PERCENT = 50
 TOP = 2000
-BUCKET_BYTES = 12_000_000  # of text, about two million words
+BUCKET_BYTES = 24_000_000  # of text, about four million words
 BATCH_BYTES = 1 << 22
 # Characters that end a piece of text, and those between words
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -100,6 +101,22 @@ def merge_equal(suffixes: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray,
     return order[firsts], np.diff(np.append(firsts, len(order)))
 
 
+def _pack(data: np.ndarray | bytes) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, or plain bytes; compressed."""
+    if isinstance(data, bytes):
+        width, raw = 0, data
+    else:
+        kind = np.min_scalar_type(int(data.max(initial=0)))
+        width, raw = kind.itemsize, data.astype(kind).tobytes()
+    return struct.pack("<BQ", width, len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(block: bytes) -> np.ndarray | bytes:
+    width, size = struct.unpack_from("<BQ", block)
+    raw = pa.decompress(block[9:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, dtype=f"<u{width}").astype(np.int64) if width else raw
+
+
 def _suffixes(cut: Words, longest: int) -> np.ndarray:
     """The next ``longest`` words at each place, ``END`` behind the end of the piece."""
     n = len(cut.codes)
@@ -146,7 +163,10 @@ def _words_and_pairs(chosen: DataFrame, share_of: int) -> DataFrame:
 
 
 def _routed(chosen: DataFrame, hot_pairs, buckets: int, longest: int) -> DataFrame:
-    """``lang, bucket, hot, words, suffixes, counts``: different suffixes of each batch, packed by bucket."""
+    """``lang, bucket, hot, words, suffixes, counts``: different suffixes of each batch, packed by bucket.
+
+    A suffix lists its words by their number among ``words``, from 1, and 0 behind its end.
+    """
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = None
@@ -155,9 +175,14 @@ def _routed(chosen: DataFrame, hot_pairs, buckets: int, longest: int) -> DataFra
             for cut, lang, langs in _cut(batch):
                 suffixes = _suffixes(cut, longest)
                 places = np.flatnonzero(suffixes[:, 1] != END)
-                at, counts = merge_equal(suffixes[places], lang[places])
-                suffixes, lang = suffixes[places[at]], lang[places[at]]
-                known = cut.known.to_pylist()
+                # words are renumbered by name, so that those of a bucket pack well
+                by_name = pc.sort_indices(cut.known).to_numpy()
+                rank = np.full(len(by_name) + 1, END, dtype=np.int32)
+                rank[by_name] = np.arange(len(by_name))
+                suffixes = rank[suffixes[places]]
+                at, counts = merge_equal(suffixes, lang[places])
+                suffixes, lang = suffixes[at], lang[places[at]]
+                known = cut.known.take(pa.array(by_name)).to_pylist()
                 digest = np.array([*map(zlib.crc32, known), 0], dtype=np.uint64)  # END takes the last one
                 number = {word: i for i, word in enumerate(known)} if hot else {}
                 names = {name: i for i, name in enumerate(langs.to_pylist())}
@@ -178,10 +203,10 @@ def _routed(chosen: DataFrame, hot_pairs, buckets: int, longest: int) -> DataFra
                 firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
                 blocks = []
                 for a, b in zip(firsts, np.append(firsts[1:], len(group))):
-                    used, local = np.unique(suffixes[a:b], return_inverse=True)
+                    used, local = np.unique(suffixes[a:b].T, return_inverse=True)  # by word, then suffix
                     ended = int(used[0] == END)
                     words = b"\n".join(known[i] for i in used[ended:].tolist())
-                    blocks.append((words, (local - ended).astype("<i4").tobytes(), counts[a:b].astype("<i8").tobytes()))
+                    blocks.append((_pack(words), _pack(local.ravel() + 1 - ended), _pack(counts[a:b])))
                 heads = group[firsts]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -203,15 +228,15 @@ def _sorted_buckets(routed: DataFrame, longest: int, least: int) -> DataFrame:
 
     def sort(key: tuple, rows: pa.Table) -> pa.Table:
         lang, _, hot = (value.as_py() for value in key)
-        blocks = rows.column("words").combine_chunks()
-        cut = cut_words(blocks, b"\n")
-        before = np.searchsorted(cut.text, np.arange(len(blocks)))
-        local = [np.frombuffer(b, dtype="<i4") for b in rows.column("suffixes").to_pylist()]
-        codes = np.append(cut.codes, END).astype(np.int32)
-        last = len(cut.codes)
-        keys = np.concatenate([codes[np.where(ids == END, last, ids + at)] for ids, at in zip(local, before)])
-        keys = keys.reshape(-1, longest)
-        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<i8")
+        cut = cut_words(pa.array(map(_unpack, rows.column("words").to_pylist()), pa.binary()), b"\n")
+        bounds = np.searchsorted(cut.text, np.arange(rows.num_rows + 1))
+        keys = np.concatenate(
+            [
+                np.append(END, cut.codes[a:b]).astype(np.int32)[_unpack(block).reshape(longest, -1).T]
+                for a, b, block in zip(bounds, bounds[1:], rows.column("suffixes").to_pylist())
+            ]
+        )
+        counts = np.concatenate([_unpack(block) for block in rows.column("counts").to_pylist()])
         phrases, sizes, totals = [], [], []
         for size, pointer, n in frequent_prefixes(keys, counts, 1 if hot else least, least):
             if size > 1:
@@ -312,6 +337,7 @@ def mine_phrases(
         _key(F.array_join(F.slice("words", F.col("k") + 1, F.col("size") - F.col("k")), " ")).alias("rest"),
     )
     for column, name in (("first", "l"), ("rest", "r")):
+        cuts = keep(cuts)  # a large table is looked up in several steps
         cuts = lookup_join(cuts, known.select(F.col("key").alias(column), F.col("n").alias(name)), column, max_bytes=max_bytes)
     exact = {c: f"cast({c} AS DECIMAL(15, 0))" for c in ("a", "l", "r")}
     score = F.expr(f"CAST(1000000 AS DECIMAL(7, 0)) * ({exact['a']} * {exact['a']}) DIV ({exact['l']} * {exact['r']})")
