@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewloom.functions.vectors import cross_moments, vector_sum
-from reviewloom.operators.nmf import NMFModel, NMFSettings
+from reviewloom.operators.lookup import BROADCAST_BYTES
+from reviewloom.operators.nmf import NMFModel, NMFSettings, nmf_fit, place_by_document
 from reviewloom.operators.nmf_sweep import fit_side_by_side
 
 LABEL_SHARE = 0.20
@@ -138,14 +140,31 @@ def topic_sweep(
     settings: NMFSettings,
     id_col: str = "doc_id",
     as_coded: bool = False,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(topics, error, mean_cosine, converged) for each number of topics, fitted side by side."""
-    fits = fit_side_by_side(matrix, vocabulary, [int(k) for k in topic_counts], settings, id_col)
+    """(topics, error, mean_cosine, converged) for each number of topics, fitted side by side.
+
+    Numbers whose H is larger than ``max_bytes`` are fitted one after another by ``nmf_fit``,
+    which looks H up by term.
+    """
+    spark = matrix.sparkSession
+    counts = [int(k) for k in topic_counts]
+    terms = vocabulary.count()
+    large = [k for k in counts if terms * k * 8 > max_bytes]
+    small = [k for k in counts if terms * k * 8 <= max_bytes]
     rows = [
         (fit.topics, fit.errors[-1], fit.mean_cosine_of_columns() if as_coded else fit.mean_cosine(), fit.converged)
-        for fit in fits
+        for fit in (fit_side_by_side(matrix, vocabulary, small, settings, id_col, max_bytes) if small else [])
     ]
-    return matrix.sparkSession.createDataFrame(rows, "topics int, error double, mean_cosine double, converged boolean")
+    if large:
+        placed = place_by_document(matrix, id_col)
+        measure = mean_similarity_of_columns if as_coded else mean_similarity
+        for k in large:
+            model = nmf_fit(matrix, vocabulary, replace(settings, topics=k), id_col, max_bytes, placed)
+            rows.append((k, model.errors[-1], measure(model.h, k).first()["mean_cosine"], model.converged))
+            model.unpersist()
+        placed.unpersist()
+    return spark.createDataFrame(rows, "topics int, error double, mean_cosine double, converged boolean")
 
 
 def shared_topics(pro: NMFModel, con: NMFModel, threshold: float = 0.3) -> DataFrame:

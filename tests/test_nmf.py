@@ -232,6 +232,9 @@ def test_sweep_equals_single_fits(spark, corpus, monkeypatch):
     model = rl.sweep_model(fits[1], weights.matrix, weights.vocabulary)
     wanted = {r.doc_id: r.w for r in singles[1].w.collect()}
     assert all(np.allclose(r.w, wanted[r.doc_id], atol=1e-6) for r in model.w.collect())
+    terms_of = lambda k: terms * k * 8
+    swept = rl.topic_sweep(weights.matrix, weights.vocabulary, [1, 3], settings, max_bytes=terms_of(1)).collect()
+    assert [r.error for r in swept] == pytest.approx([fit.errors[-1] for fit in fits])
     with pytest.raises(ValueError, match="larger than"):
         rl.fit_side_by_side(weights.matrix, weights.vocabulary, [4], settings, max_bytes=100)
     with pytest.warns(UserWarning, match="not settled"):
