@@ -1,12 +1,16 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
-
-Terms are all words and beginnings of words of the labelled examples. The TF-IDF weight
-of a term is drawn towards zero, but never to it, where its documents have label 1 no
-more often than chance gives. Tokens with none of the terms count together as one more
-term. A search adds up the cosines with all examples, the terms that many examples have
-as one matrix product for many texts and the others from an inverted index: the
-neighbours are exact. Votes weighted by closeness give the score, calibrated on the
-examples with each left out.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine, searched by block maxima.
+
+Terms are all words of the labelled examples, and those beginnings of words that tell the
+label. The TF-IDF weight of a term is drawn towards zero, but never to it, where its
+documents have label 1 no more often than chance gives: by TF-IDF alone the many harmless
+words decide who is near. Tokens with none of the terms count together as one more term.
+
+Examples stand in blocks of similar ones. A search adds up the postings of rare terms
+first. Each block then has a bound: the best sum in it, and for each common term the
+greatest weight in the block. Blocks whose bound is below the ``k``-th best cosine found
+so far are skipped, the others are finished with their common terms, so the neighbours
+are exact. Votes weighted by closeness give the score, calibrated on the examples with
+each left out.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,9 +35,10 @@ from reviewloom.llm.common import body, share, table
 
 EXAMPLES = 20_000  # labelled rows to learn from, at most
 LEAST_CHI2 = 30.0  # from a difference this large on a term has most of its weight; none is left out below it
-COMMON = 8  # terms of one in so many examples lie in a matrix, the others in the index
-RARE = 64  # postings of a term added one term at a time from here on
-TEXTS_AT_ONCE = 128
+LEAST_TOXIC = 5  # beginnings of words need so many examples with label 1
+COMMON = 8  # terms of one in so many examples come last, block by block
+BLOCK = 64  # examples that share a bound
+TEXTS_AT_ONCE = 256
 NEIGHBOURS = 15
 REMEMBERED = 300_000
 BEGINNINGS = (4, 5, 6)
@@ -60,28 +65,36 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> DataFrame:
-    """``doc_id, label, text`` of at most ``most`` labelled rows that are not held out.
+    """``doc_id, label, text`` of at most ``most`` labelled texts that are not held out.
 
-    Rows are chosen by a hash of their id. So few ids are broadcast; texts stay in place.
+    The bound is on the rows of the sample: on pairs of id and text that are in ``docs``,
+    each once, chosen by a hash. Narrow rows are joined; only the texts chosen move.
     """
     known = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_learn_id"))
         .agg(F.max(label).alias("_learn_label"))
-        .orderBy(F.xxhash64("_learn_id"), "_learn_id")
-        .limit(most)
     )
     texts = docs.select(F.col(id_col).alias("_learn_id"), body(text_col).alias("_learn_text"))
-    joined = texts.join(F.broadcast(known), "_learn_id")
+    texts = texts.withColumn("_learn_hash", F.xxhash64("_learn_text"))
+    chosen = (
+        texts.select("_learn_id", "_learn_hash")
+        .distinct()
+        .join(known, "_learn_id")
+        .orderBy(F.xxhash64("_learn_id", "_learn_hash"), "_learn_id", "_learn_hash")
+        .limit(most)
+    )
+    joined = texts.join(F.broadcast(chosen), ["_learn_id", "_learn_hash"]).dropDuplicates(["_learn_id", "_learn_hash"])
     return joined.select(
         F.col("_learn_id").alias("doc_id"), F.col("_learn_label").cast("int").alias("label"), F.col("_learn_text").alias("text")
     )
 
 
-def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """(digests of the terms in order, documents with each, chi-squared of each and the label, documents, of them with label 1).
+def choose_terms(sample: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, int, int]:
+    """(digests of the terms in order, beginnings among them, documents with each, chi-squared of each and the label, documents, of them with label 1).
 
-    All terms of the sample; none where one of the labels is missing.
+    All words of the sample, and the beginnings of words that tell the label; none where
+    one of the labels is missing.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,54 +109,80 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         yield pa.RecordBatch.from_pydict(
             {
                 "term": pa.array([None, *map(_digest, terms)], pa.int64()),
+                "beginning": pa.array([None, *(t if t[-1] == "-" else None for t in terms)], pa.string()),
                 "clean": pa.array([rows[0], *(seen[0][t] for t in terms)], pa.int64()),
                 "toxic": pa.array([rows[1], *(seen[1][t] for t in terms)], pa.int64()),
             }
         )
 
-    counted = sample.select("label", "text").mapInArrow(count, "term long, clean long, toxic long")
-    counts = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = counts.toArrow()
+    counted = sample.select("label", "text").mapInArrow(count, "term long, beginning string, clean long, toxic long")
+    counts = counted.groupBy("term", "beginning").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = counts.filter(F.col("beginning").isNull() | (F.col("toxic") >= LEAST_TOXIC)).toArrow()
     clean, toxic = (found.column(c).to_numpy().astype(np.float64) for c in ("clean", "toxic"))
     whole = pc.is_null(found.column("term")).to_numpy()
     n, ones = int(clean[whole].sum() + toxic[whole].sum()), int(toxic[whole].sum())
     if not 0 < ones < n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), n, ones
-    terms = pc.fill_null(found.column("term"), 0).to_numpy()[~whole]
-    order = np.argsort(terms)
-    terms, clean, toxic = terms[order], clean[~whole][order], toxic[~whole][order]
-    m, a = clean + toxic, toxic
+        return np.zeros(0, dtype=np.int64), [], np.zeros(0), np.zeros(0), n, ones
+    terms = pc.fill_null(found.column("term"), 0).to_numpy()
+    m = clean + toxic
     spread = m * (n - m) * (ones / n) * (1 - ones / n)
-    chi2 = np.divide(n * (a - m * ones / n) ** 2, spread, out=np.zeros(len(m)), where=spread > 0)
-    return terms, m, chi2, n, ones
+    chi2 = np.divide(n * (toxic - m * ones / n) ** 2, spread, out=np.zeros(len(m)), where=spread > 0)
+    word = pc.is_null(found.column("beginning")).to_numpy()
+    taken = np.flatnonzero(~whole & (word | (chi2 >= LEAST_CHI2)))
+    taken = taken[np.argsort(terms[taken])]
+    beginnings = found.column("beginning").take(taken[~word[taken]]).to_pylist()
+    return terms[taken], beginnings, m[taken], chi2[taken], n, ones
+
+
+def _side_by_side(space: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """An order of the rows in which those that lie close make up the blocks: halves along the widest leading direction."""
+    order = np.argsort(ids, kind="stable")
+    if not space.shape[1]:
+        return order
+    moved = space - space.mean(axis=0)
+    leading = moved @ np.linalg.eigh(moved.T @ moved)[1][:, -8:]
+    parts, done = [order], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        own = leading[part]
+        part = part[np.argsort(own[:, np.argmax(own.var(axis=0))], kind="stable")]
+        cut = max(len(part) // 2 // BLOCK, 1) * BLOCK
+        parts += [part[cut:], part[:cut]]
+    return np.concatenate(done)
 
 
 class Index:
     """Terms, weights of the examples by term, and what a search needs to score a text."""
 
-    def __init__(self, terms: Sequence, df: Sequence[int], docs: int, chi2: Sequence[float] | None = None):
+    def __init__(
+        self, terms: Sequence, df: Sequence[int], docs: int, chi2: Sequence[float] | None = None, beginnings: Sequence[str] = ()
+    ):
         self.terms = np.asarray(terms)
+        self.beginnings = list(beginnings)
         self.other = len(terms)  # stands for all tokens without a term
         self.idf = np.log((1 + docs) / (1 + np.array([*df, docs], dtype=np.float64))) + 1
         if chi2 is not None:
             more = np.array([*chi2, 0.0]) + 1  # chance alone gives 1 on average
             self.idf *= np.sqrt(more / (more + LEAST_CHI2))
-        self.ids: list[int] = []
+        self.ids = np.zeros(0, dtype=np.int64)
         self.labels = np.zeros(0)
         self.bare = 0  # examples with none of the terms; they lie in one direction
         self.bare_score = 0.0  # share of label 1 among them
         self.prior = 0.0
         self.scale = (4.0, -2.0)  # calibration: slope and shift
-        self.dense = None
         self.rows = np.zeros(0, dtype=np.uint16)
         self.tf = np.zeros(0, dtype=np.uint16)
         self.sizes = np.zeros(self.other + 1, dtype=np.uint16)  # postings of each term
         self.norms = np.zeros(0)
+        self.visited = 0  # blocks finished so far
         self._weigh()
 
     def __getstate__(self) -> dict:
         # weights and matrix are made again from the counts, so that little is sent to the executors
-        state = self.__dict__ | {"dense": None, "weights": None}
+        state = self.__dict__ | {"dense": None, "weights": None, "maxima": None}
         return {"packed": zlib.compress(pickle.dumps(state, protocol=5), 1)}
 
     def __setstate__(self, state: dict) -> None:
@@ -152,8 +191,10 @@ class Index:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights of length 1) of a text with these term counts."""
-        terms = np.array(sorted(counts), dtype=np.int64)
-        tf = np.array([counts[t] for t in terms.tolist()], dtype=np.float64)
+        terms = np.fromiter(counts.keys(), np.int64, len(counts))
+        tf = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(terms)
+        terms, tf = terms[order], tf[order]
         weights = (1 + np.log(tf)) * self.idf[terms]
         return terms, weights / np.sqrt((weights * weights).sum())
 
@@ -169,80 +210,111 @@ class Index:
         )
 
     def build_flat(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> None:
-        """Index of examples in order of their ids; ``terms`` and ``tf`` hold ``sizes`` values for each."""
+        """Index of examples; ``terms`` and ``tf`` hold ``sizes`` values for each. Similar ones come to stand together."""
         n = len(ids)
-        order = np.argsort(ids, kind="stable")
-        place = np.empty(n, dtype=np.int32)
-        place[order] = np.arange(n, dtype=np.int32)
-        self.ids, self.labels = ids[order].tolist(), labels[order]
-        rows = np.repeat(place, sizes)
-        self.norms = np.zeros(n)
+        norms = np.zeros(n)
         ends = np.cumsum(sizes).tolist()
-        for i, a, b in zip(place.tolist(), [0, *ends], ends):
+        for i, (a, b) in enumerate(zip([0, *ends], ends)):
             own = (1 + np.log(tf[a:b])) * self.idf[terms[a:b]]
-            self.norms[i] = np.sqrt((own * own).sum())
+            norms[i] = np.sqrt((own * own).sum())
+        counts = np.bincount(terms, minlength=self.other + 1)
+        row_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        common = np.flatnonzero(counts * COMMON > n)
+        held = np.full(self.other + 1, -1)
+        held[common] = np.arange(len(common))
+        picked = np.flatnonzero(held[terms] >= 0)
+        space = np.zeros((n, len(common)))
+        space[row_of[picked], held[terms[picked]]] = (1 + np.log(tf[picked])) * self.idf[terms[picked]] / norms[row_of[picked]]
+        order = _side_by_side(space, ids)
+        del space, picked
+        place = np.empty(n, dtype=np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.ids, self.labels, self.norms = ids[order], labels[order], norms[order]
+        rows = place[row_of]
         places = np.argsort(terms.astype(np.int64) * n + rows)
         self.rows = rows[places].astype(np.min_scalar_type(n))
         self.tf = tf[places].astype(np.min_scalar_type(int(tf.max(initial=0))))
-        sizes = np.bincount(terms, minlength=self.other + 1)
-        self.sizes = sizes.astype(np.min_scalar_type(int(sizes.max(initial=0))))
+        self.sizes = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
         self._weigh()
 
     def _weigh(self) -> None:
-        """What follows from counts and norms: weights of the postings, where terms start, which are common."""
+        """What follows from counts and norms: weights of the postings, where terms start, block maxima of common terms."""
         self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
-        self.weights = np.empty(len(self.rows), dtype=np.float32)
+        self.weights = np.empty(len(self.rows))
         for a in range(0, len(self.rows), 1 << 20):
             b = min(a + (1 << 20), len(self.rows))
             own = np.searchsorted(self.starts, np.arange(a, b), side="right") - 1
             self.weights[a:b] = (1 + np.log(self.tf[a:b].astype(np.float64))) * self.idf[own] / self.norms[self.rows[a:b]]
         self.common = np.flatnonzero(self.sizes.astype(np.int64) * COMMON > len(self.ids))
-        self.dense = None
-
-    def _matrix(self) -> np.ndarray:
-        """Weights of the common terms, one row for each term and one column for each example."""
-        if self.dense is None:
-            self.dense = np.zeros((len(self.common), len(self.ids)))
-            for i, t in enumerate(self.common.tolist()):
-                a, b = self.starts[t], self.starts[t + 1]
-                self.dense[i, self.rows[a:b]] = self.weights[a:b]
-        return self.dense
-
-    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosines of texts (terms, weights) with all examples, one row for each text."""
+        self.blocks = -(-len(self.ids) // BLOCK)
+        self.dense = np.zeros((self.blocks * BLOCK, len(self.common)))  # weights of common terms, one row for each example
+        for i, t in enumerate(self.common.tolist()):
+            a, b = self.starts[t], self.starts[t + 1]
+            self.dense[self.rows[a:b], i] = self.weights[a:b]
+        self.maxima = self.dense.reshape(self.blocks, BLOCK, len(self.common)).max(axis=1).T if self.blocks else self.dense.T
+
+    def _rare_sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What terms that are not common add to the cosine with each example."""
+        starts, ends = self.starts[terms], self.starts[terms + 1]
+        parts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist())]
+        if not parts:
+            return np.zeros(self.blocks * BLOCK)
+        rows = np.concatenate([self.rows[part] for part in parts])
+        added = np.concatenate([self.weights[part] for part in parts])
+        added *= np.repeat(weights, ends - starts)
+        return np.bincount(rows, added, self.blocks * BLOCK)
+
+    def search(
+        self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, floors: Sequence[float], skips: Sequence[int] | None = None
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cosines) of the ``k`` nearest examples above its floor for each (terms, weights).
+
+        Nearest first, ties by id. ``skips`` are rows left out, one for each text.
+        """
+        if not self.blocks or not vectors:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(vectors)
         some = np.zeros((len(vectors), len(self.common)))
-        left = []
+        sums = np.empty((len(vectors), self.blocks * BLOCK))
         for i, (terms, weights) in enumerate(vectors):
             at = np.searchsorted(self.common, terms)
             inside = at < len(self.common)
             inside[inside] = self.common[at[inside]] == terms[inside]
             some[i, at[inside]] = weights[inside]
-            left.append((terms[~inside], weights[~inside]))
-        out = some @ self._matrix()
-        for row, (terms, weights) in zip(out, left):
-            starts, lengths = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-            many = lengths >= RARE
-            for a, n, w in zip(starts[many].tolist(), lengths[many].tolist(), weights[many].tolist()):
-                row[self.rows[a : a + n]] += w * self.weights[a : a + n]
-            starts, lengths, weights = starts[~many], lengths[~many], weights[~many]
-            ends = np.cumsum(lengths)
-            at = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-            np.add.at(row, self.rows[at], np.repeat(weights, lengths) * self.weights[at])
-        return out
-
-    def _best(self, sums: np.ndarray, k: int, skip: int = -1, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        hits = np.flatnonzero(sums > floor)
-        hits = hits[hits != skip]
-        if len(hits) > k:
-            hits = hits[sums[hits] >= np.partition(sums[hits], -k)[-k]]
-        hits = hits[np.argsort(-sums[hits], kind="stable")][:k]
-        return hits, sums[hits]
+            sums[i] = self._rare_sums(terms[~inside], weights[~inside])
+        leaders = sums.reshape(len(vectors), self.blocks, BLOCK).argmax(axis=2) + np.arange(self.blocks) * BLOCK
+        tops = np.take_along_axis(sums, leaders, axis=1)
+        bounds = tops + some @ self.maxima
+        # the k-th best of a few promising examples, one of a block, is a threshold that the k-th best of all reaches
+        own = k + (skips is not None)
+        least = np.array(floors, dtype=np.float64)
+        if own <= self.blocks:
+            tried = np.argpartition(tops, -min(2 * own, self.blocks), axis=1)[:, -2 * own :]
+            exact = np.take_along_axis(tops, tried, axis=1)
+            exact += (self.dense[np.take_along_axis(leaders, tried, axis=1)] @ some[:, :, None])[:, :, 0]
+            least = np.maximum(least, np.partition(exact, -own, axis=1)[:, -own])
+        open_blocks = bounds >= least[:, None] - 1e-9
+        for block in np.flatnonzero(open_blocks.any(axis=0)).tolist():
+            texts = np.flatnonzero(open_blocks[:, block])
+            a, b = block * BLOCK, (block + 1) * BLOCK
+            sums[texts, a:b] += some[texts] @ self.dense[a:b].T
+        self.visited += int(open_blocks.sum())
+        found = []
+        for i, floor in enumerate(floors):
+            rows = np.flatnonzero(np.repeat(open_blocks[i], BLOCK) & (sums[i] >= least[i] - 1e-9))
+            cosines = np.round(sums[i, rows], 12)
+            taken = cosines > floor
+            if skips is not None:
+                taken &= rows != skips[i]
+            rows, cosines = rows[taken], cosines[taken]
+            best = np.lexsort((self.ids[rows], -cosines))[:k]
+            found.append((rows[best], cosines[best]))
+        return found
 
     def nearest(
         self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, floor: float = 0.0
     ) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the ``k`` nearest examples above ``floor``, nearest first, ties by row."""
-        return self._best(self.sums([(terms, weights)])[0], k, skip, floor)
+        """(rows, cosines) of the ``k`` nearest examples above ``floor``, nearest first, ties by id."""
+        return self.search([(terms, weights)], k, [floor], [skip] if skip >= 0 else None)[0]
 
     def _floor(self, bare_cosine: float) -> float:
         """Closeness that examples without terms reach anyway, if there are enough of them to fill all places."""
@@ -276,9 +348,9 @@ class Index:
         votes = []
         for start in range(0, len(chosen), TEXTS_AT_ONCE):
             part = vectors[start : start + TEXTS_AT_ONCE]
-            for i, (own, weights), sums in zip(chosen[start:], part, self.sums(part)):
-                away = float(weights[own == self.other].sum())
-                votes.append(self.vote(*self._best(sums, NEIGHBOURS, i, self._floor(away)), away))
+            away = [float(weights[own == self.other].sum()) for own, weights in part]
+            found = self.search(part, NEIGHBOURS, [self._floor(a) for a in away], chosen[start : start + TEXTS_AT_ONCE])
+            votes += [self.vote(*near, a) for near, a in zip(found, away)]
         votes = np.array(votes)
         y = self.labels[list(chosen)]
         x = np.stack([votes, np.ones(len(votes))], axis=1)
@@ -294,44 +366,51 @@ class Index:
     def score(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int], list[float]]]:
         """(score, ids of the neighbours, their cosines) of texts with these term counts."""
         out = [(self.bare_score, [], [])] * len(texts)
-        known = [i for i, counts in enumerate(texts) if self.ids and any(t != self.other for t in counts)]
+        known = [i for i, counts in enumerate(texts) if len(self.ids) and any(t != self.other for t in counts)]
         for start in range(0, len(known), TEXTS_AT_ONCE):
             part = known[start : start + TEXTS_AT_ONCE]
             vectors = [self.vector(texts[i]) for i in part]
-            for i, (terms, weights), sums in zip(part, vectors, self.sums(vectors)):
-                away = float(weights[terms == self.other].sum())
-                rows, cosines = self._best(sums, NEIGHBOURS, floor=self._floor(away))
-                vote = self.vote(rows, cosines, away)
+            away = [float(weights[terms == self.other].sum()) for terms, weights in vectors]
+            found = self.search(vectors, NEIGHBOURS, [self._floor(a) for a in away])
+            for i, (rows, cosines), apart in zip(part, found, away):
+                vote = self.vote(rows, cosines, apart)
                 score = 1 / (1 + math.exp(-(self.scale[0] * vote + self.scale[1])))
-                out[i] = (score, [self.ids[r] for r in rows.tolist()], cosines.tolist())
+                out[i] = (score, self.ids[rows].tolist(), cosines.tolist())
         return out
 
 
 class TermCounter:
     """Counts of the terms in texts; which terms a token has is remembered, up to a bound."""
 
-    def __init__(self, terms: np.ndarray):
+    def __init__(self, terms: np.ndarray, beginnings: Sequence[str]):
         self.terms = terms  # digests in order
+        self.beginnings = {b: int(np.searchsorted(terms, _digest(b))) for b in beginnings}
+        self.heads = {b[: BEGINNINGS[0]] for b in beginnings}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def learn(self, tokens: list[str]) -> None:
-        found = [[_digest(t) for t in terms_of(token)] for token in tokens]
-        flat = np.array([d for each in found for d in each], dtype=np.int64)
+        words = [_WORD.findall(token.lower()) for token in tokens]
+        flat = np.fromiter(map(_digest, chain.from_iterable(words)), np.int64)
         at = np.searchsorted(self.terms, flat)
         inside = at < len(self.terms)
         inside[inside] = self.terms[at[inside]] == flat[inside]
         numbers = iter(np.where(inside, at, -1).tolist())
-        for token, each in zip(tokens, found):
-            self.known[token] = tuple(i for i in (next(numbers) for _ in each) if i >= 0)
+        begins, heads = self.beginnings, self.heads
+        for token, each in zip(tokens, words):
+            found = [i for i in islice(numbers, len(each)) if i >= 0]
+            for word in each:
+                for n in BEGINNINGS if word[: BEGINNINGS[0]] in heads else ():
+                    if len(word) > n and (start := word[:n] + "-") in begins:
+                        found.append(begins[start])
+            self.known[token] = tuple(found) or (len(self.terms),)
 
     def count(self, text: str) -> dict[int, int]:
+        """Occurrences of each term; each token without one counts as one of the term after the last."""
         tokens = text.split()
-        self.learn(list(set(tokens).difference(self.known)))
-        get = self.known.__getitem__
-        hits = [found for found in map(get, tokens) if found]
-        counts = Counter(chain.from_iterable(hits))
-        if len(tokens) > len(hits):
-            counts[len(self.terms)] = len(tokens) - len(hits)
+        new = set(tokens).difference(self.known)
+        if new:
+            self.learn(list(new))
+        counts = Counter(chain.from_iterable(map(self.known.__getitem__, tokens)))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         return counts
@@ -342,16 +421,16 @@ def fit(
 ) -> Index:
     """Index of at most ``most`` labelled rows that are not held out; rows without any term are counted only."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, most)
-    terms, df, chi2, n, ones = choose_terms(sample)
-    index = Index(terms, df, n, chi2)
+    terms, beginnings, df, chi2, n, ones = choose_terms(sample)
+    index = Index(terms, df, n, chi2, beginnings)
     index.prior = ones / n if n else 0.0
     index.bare_score = index.prior
     if not len(terms):
         return index
-    shared = share(docs.sparkSession, terms)
+    shared = share(docs.sparkSession, (terms, beginnings))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(pickle.loads(shared.value))
+        counter = TermCounter(*pickle.loads(shared.value))
         for batch in batches:
             counts = [counter.count(text) for text in batch.column(2).to_pylist()]
             lists = [[x for pair in c.items() for x in pair] for c in counts]
@@ -391,7 +470,7 @@ def score_column(spark: SparkSession, index: Index, text: Column) -> Column:
     @F.pandas_udf("score double, neighbours array<long>, cosines array<double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found_index = pickle.loads(shared.value)
-        counter = TermCounter(found_index.terms)
+        counter = TermCounter(found_index.terms, found_index.beginnings)
         for texts in batches:
             found = []
             for start in range(0, len(texts), TEXTS_AT_ONCE):

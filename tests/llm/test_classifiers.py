@@ -91,7 +91,7 @@ def test_every_text_with_a_known_word_has_neighbours(spark):
     docs, labels = (spark.read.parquet(str(DATA / f"{t}.parquet")) for t in ("documents", "labels"))
     index = T.fit(docs, labels)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    counter = T.TermCounter(index.terms)
+    counter = T.TermCounter(index.terms, index.beginnings)
     known = {i for i, text in texts.items() if set(counter.count(text)) - {index.other}}
     found = {r.doc_id: r.neighbours for r in score_documents(docs, labels).collect()}
     assert len(known) > 100 and all(found[i] for i in known)
