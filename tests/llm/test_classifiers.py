@@ -45,6 +45,40 @@ def test_search_is_exact():
         assert np.allclose(np.sort(wanted)[::-1][:15], cosines) and np.allclose(wanted[rows], cosines)
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="benchmark tables are not here")
+def test_search_over_blocks_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 8)
+    folder = DATA.parent / "sf0.01"
+    docs, labels = (spark.read.parquet(str(folder / f"{t}.parquet")) for t in ("documents", "labels"))
+    index = T.fit(docs, labels)
+    counter = T.TermCounter(index.terms, index.beginnings)
+    every = np.zeros((index.blocks * T.BLOCK, len(index.terms) + 1))
+    own = np.repeat(np.arange(len(index.sizes)), index.sizes)
+    every[index.rows, own] = index.weights
+    assert index.blocks > 2 * T.NEIGHBOURS and np.allclose(np.linalg.norm(every[: len(index.ids)], axis=1), 1)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    index.visited = 0
+    index.score([counter.count(text) for text in texts.values()])
+    assert index.visited < 0.9 * index.blocks * len(texts)  # blocks are ruled out
+    for row in score_documents(docs, labels).collect():
+        counts = counter.count(texts[row.doc_id])
+        if set(counts) <= {index.other}:
+            assert not row.neighbours
+            continue
+        terms, weights = index.vector(counts)
+        wanted = np.round(every[: len(index.ids), terms] @ weights, 12)
+        wanted = np.sort(wanted[wanted > index._floor(weights[terms == index.other].sum())])[::-1][: T.NEIGHBOURS]
+        assert np.allclose(wanted, row.cosines, atol=1e-9)
+
+
+def test_sample_is_bounded_in_rows(spark, docs_of):
+    docs = docs_of([*((1, f"text {i}") for i in range(50)), *((2, "same") for _ in range(50)), (3, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), *((i, 0) for i in range(100, 400))], "doc_id long, toxic int")
+    rows = T.labelled_sample(docs, labels, "toxic", "doc_id", "text", 1000).collect()
+    assert len(rows) == 52 - 50 * (zlib.crc32(b"1") % 5 == 0) - (zlib.crc32(b"2") % 5 == 0) - (zlib.crc32(b"3") % 5 == 0)
+    assert T.labelled_sample(docs, labels, "toxic", "doc_id", "text", 1).count() == 1
+
+
 def test_rows_of_all_kinds(spark, docs_of, monkeypatch):
     monkeypatch.setattr(T, "LEAST_CHI2", 10.0)
     texts = [("you idiot scum " if i % 4 == 0 else "a fine day ") + f"word{i} " * 3 for i in range(200)]
