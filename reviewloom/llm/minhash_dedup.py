@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import body, keep, slices, table
@@ -26,6 +26,7 @@ ROWS = 6  # at similarity 0.85 a pair misses all 30 bands of 6 once in a million
 WORDS = 5
 PER_CENT = 85
 TEXTS_AT_ONCE = 256
+PARITIES = 16  # words of 64 bits
 
 
 def text_words(text: str) -> list[bytes]:
@@ -159,12 +160,8 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     return both.groupBy("r", "lot").applyInPandas(compare, "x long, r long, inside long, n_x long, n_r long")
 
 
-def coverage(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``x, n, shared`` per document: its shingles and how many of them another document here has too.
-
-    Shingles are compared by 64-bit hashes; where two meet by chance, ``shared`` is only
-    larger. No two documents share more than the smaller ``shared`` of both.
-    """
+def shingle_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``x, shingle``: the distinct 64-bit shingle hashes of each document in ``texts`` (``doc_id, text``)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -177,13 +174,85 @@ def coverage(texts: DataFrame, words: int = WORDS) -> DataFrame:
                     known.clear()
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(flat)], ["x", "shingle"])
 
-    each = texts.select("doc_id", "text").mapInArrow(hashed, "x long, shingle long")
+    return texts.select("doc_id", "text").mapInArrow(hashed, "x long, shingle long")
+
+
+def coverage(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``x, n, shared`` per document: its shingles and how many of them another document here has too.
+
+    Shingles are compared by 64-bit hashes; where two meet by chance, ``shared`` is only
+    larger. No two documents share more than the smaller ``shared`` of both.
+    """
+    each = shingle_rows(texts, words)
     per_shingle = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("x"))
     alone = per_shingle.filter("k = 1").groupBy("x").agg(F.count(F.lit(1)).alias("alone"))
     sizes = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     return sizes.join(alone, "x", "left").select("x", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``PARITIES`` 64-bit words: bit i is set where an odd number of the shingles falls to i.
+
+    A shingle in one of two sets and not in the other changes one bit, so the bits in
+    which two sets differ are never more than the shingles in which they differ.
+    """
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def parity_rows(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``x, bits``: the parities of each document in ``texts`` (``doc_id, text``)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for part in slices(batch, 1, rows=500):
+                bits = [parities(_hashes(found, words, known)) for found in map(text_words, part.column(1).to_pylist())]
+                if len(known) > 500_000:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.list_(pa.int64()))], ["x", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(work, "x long, bits array<long>")
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame, per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
+    """Pairs ``x, r`` of ``members`` (``x, c``) with different ``c`` that may reach ``per_cent``; none that does is missing.
+
+    The shingles of each document are put in one order for all, rarest first. Sets of n
+    and m shingles that share at least o have their first common one among the first
+    n - o + 1 and m - o + 1, so documents meet only at those. Shingles that no other
+    member has come first, use the places up and meet nobody. Pairs whose sizes, places
+    or parities allow fewer than o in common are ruled out inside the join.
+    """
+    texts = texts.join(members.select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
+    each = keep(shingle_rows(texts, words))
+    sizes = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    met = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "shingle")
+    of_x = Window.partitionBy("x")
+    met = met.withColumn("place", F.row_number().over(of_x.orderBy("k", "shingle")) - 1)
+    met = met.withColumn("met", F.count(F.lit(1)).over(of_x)).join(sizes, "x")
+    alone = F.col("n") - F.col("met")
+    placed = met.select("x", "shingle", "n", alone.alias("alone"), (alone + F.col("place")).alias("at"))
+    placed = placed.filter(100 * F.col("at") <= (100 - per_cent) * F.col("n"))
+    facts = members.select("x", "c").join(parity_rows(texts, words), "x")
+    prefixes = keep(placed.join(facts, "x"))
+    p, q = prefixes.alias("p"), prefixes.alias("q")
+    both = F.col("p.n") + F.col("q.n")
+    least = F.ceil(per_cent * both / (100 + per_cent))
+    before = F.least(F.col("p.at") - F.col("p.alone"), F.col("q.at") - F.col("q.alone"))
+    behind = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at"))
+    differ = sum((F.bit_count(F.col("p.bits")[i].bitwiseXOR(F.col("q.bits")[i])) for i in range(PARITIES)), F.lit(0))
+    meet = (
+        (F.col("p.shingle") == F.col("q.shingle"))
+        & (F.col("p.x") > F.col("q.x"))
+        & (F.col("p.c") != F.col("q.c"))
+        & (behind >= least)
+        & (before + behind >= least)
+        & (differ <= both - 2 * least)
+    )
+    return p.join(q, meet).select(F.col("p.x").alias("x"), F.col("q.x").alias("r")).distinct()
+
+
 def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
     """Members (``band, key, x``) with their component ``c``, of buckets that hold more than one."""
     placed = members.join(joined.withColumnRenamed("id", "x"), "x", "left")
@@ -213,8 +282,9 @@ def near_duplicates(
     goes on. In each band bucket the members are compared with the smallest one. That
     joins most buckets. Where members of different components remain, those that share
     too few shingles with all others there are done; the others are compared with the
-    best covered one, and then with each other, except where the counts of shingles they
-    share with anyone rule a link out. No comparison that could give a link is left out.
+    best covered one. Members that are still apart meet at their rarest shingles, where
+    sizes, places and parities rule pairs out (``prefix_pairs``). No comparison that could
+    give a link is left out.
     """
     sketches = keep(sketch_documents(docs, id_col, text_col, bands, rows, words))
     known = sketches.filter("same IS NOT NULL AND doc_id IS NOT NULL")
@@ -235,7 +305,7 @@ def near_duplicates(
 
     # Buckets whose members are not yet in one component: a document can link there only
     # if others there have most of its shingles. The one best covered is tried next
-    # with all members, such as the original of edited copies; then the rest pair by pair.
+    # with all members, such as the original of edited copies; then the rest by prefixes.
     placed = members.select("band", "key", "x", F.col("r").alias("tried"))
     mixed = keep(_mixed(placed, joined))
     covered = keep(coverage(texts.join(mixed.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi"), words))
@@ -248,23 +318,8 @@ def near_duplicates(
     near_hubs = keep(verify(around, texts, words).filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b")))
     links = links.unionByName(near_hubs)
     joined = keep(components(links))
-    last = _mixed(with_hubs.drop("c", "hub_c"), joined)
-    left, right = last.alias("p"), last.alias("q")
-    least = F.least(F.col("p.shared"), F.col("q.shared"))
-    rest = (
-        left.join(
-            right,
-            (F.col("p.band") == F.col("q.band"))
-            & (F.col("p.key") == F.col("q.key"))
-            & (F.col("p.x") > F.col("q.x"))
-            & (F.col("p.c") != F.col("q.c"))
-            & (100 * least >= per_cent * (F.col("p.n") + F.col("q.n") - least))
-            & ~F.col("p.x").isin(F.col("p.tried"), F.col("p.hub"))
-            & ~F.col("q.x").isin(F.col("q.tried"), F.col("q.hub")),
-        )
-        .select(F.col("p.x").alias("x"), F.col("q.x").alias("r"))
-        .distinct()
-    )
+    last = keep(_mixed(with_hubs.drop("c", "hub_c"), joined).select("x", "c").distinct())
+    rest = prefix_pairs(last, texts, per_cent, words)
     more = verify(rest, texts, words).filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b"))
     every = links.unionByName(more).unionByName(alike)
     found = components(every)
