@@ -14,42 +14,34 @@ import zlib
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.bpe_lexicon import Vocabulary
 from reviewloom.llm.common import body, keep, slices, table
+from reviewloom.llm.words import cut_words
 
 CAPACITY = 2048
 PIECES_PER_PART = 50_000
 REMEMBERED = 300_000
 AFTER_LATIN = "ƀ"  # letters below it are single characters that normal forms leave alone
-
-
-def _plain(word: str) -> tuple[str, str]:
-    """A word in lower case and the point or comma after it, which is a word of its own after a letter or digit.
-
-    Only Latin letters are touched, and no word that may hold a special token.
-    """
-    if max(word, default=AFTER_LATIN) >= AFTER_LATIN or "<" in word:
-        return word, ""
-    word = word.lower()
-    if word[-1:] in (".", ",") and word[-2:-1].isalnum():
-        return word[:-1], word[-1]
-    return word, ""
+# Words of such letters without a special token; İ is left out, as its small form is two characters
+LATIN_WORD = r"^[^<\x{0130}\x{0180}-\x{10FFFF}]*$"
+ENDS_CLAUSE = r"[\p{L}\p{N}][.,]$"
 
 
 class WordIds:
     """Ids of texts by the tokenizers library, whose vocabulary drops white space between words.
 
-    Such a text is the sum of what lies between its spaces, so each part is encoded
-    once and remembered, up to a bound. Words of small Latin letters are merged side by
-    side; all others go to the library.
+    Such a text is the sum of what lies between its spaces. Words become numbers in one
+    pass; only the different ones of a batch are looked at, without case and without a
+    last point or comma, and each of those is encoded once and remembered, up to a bound.
+    Words of small Latin letters are merged side by side; all others go to the library.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -65,46 +57,59 @@ class WordIds:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts = array("I"), array("q", [0])
+        self._learn(["", ".", ","])
 
     def _add(self, word: str, ids: Sequence[int]) -> None:
         self.known[word] = len(self.starts) - 1
         self.flat.extend(ids)
         self.starts.append(len(self.flat))
 
-    def _ids(self, word: str) -> Sequence[int]:
-        at = self.known[word]
-        return self.flat[self.starts[at] : self.starts[at + 1]]
-
-    def _learn(self, words: set[str]) -> None:
-        """Encodes new words; those that differ in case or in one last point or comma share the work."""
-        split = {word: _plain(word) for word in words}
-        new = list({part for parts in split.values() for part in parts if part}.difference(self.known))
+    def _learn(self, new: list[str]) -> None:
         latin = [word for word in new if word.isalpha() and word.islower() and max(word) < AFTER_LATIN]
         for word, ids in zip(latin, self.vocabulary.merge_many([word.encode() for word in latin])):
             self._add(word, ids)
         new = [word for word in new if word not in self.known]
         for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             self._add(word, found.ids)
-        for word in words.difference(self.known):
-            plain, end = split[word]
-            self._add(word, self._ids(plain) + self._ids(end) if end else self._ids(plain) if plain else [])
 
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Numbers in ``known`` of each word and of the point or comma after it, two to a row.
+
+        A point or comma is a word of its own after a letter or digit.
+        """
+        words = words.cast(pa.string())
+        plain = pc.match_substring_regex(words, LATIN_WORD)
+        small = pc.if_else(plain, pc.utf8_lower(words), words)
+        ended = pc.and_(plain, pc.match_substring_regex(small, ENDS_CLAUSE))
+        parts = pc.if_else(ended, pc.utf8_slice_codeunits(small, 0, -1), small).dictionary_encode()
+        held = parts.dictionary.to_pylist()
+        self._learn([part for part in held if part not in self.known])
+        of_part = np.fromiter(map(self.known.__getitem__, held), dtype=np.int64, count=len(held))
+        marks = np.array([self.known[mark] for mark in ("", ".", ",")])
+        comma = pc.ends_with(small, ",").to_numpy(zero_copy_only=False)
+        after = np.where(ended.to_numpy(zero_copy_only=False), marks[1 + comma.astype(np.int64)], marks[0])
+        return np.stack([of_part[parts.indices.to_numpy()], after], axis=1)
+
+    def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's ids start and the end)."""
-        words = [text.replace("\n", " ").split(" ") for text in texts]
-        self._learn(set(chain.from_iterable(words)).difference(self.known))
-        sizes_in = [len(part) for part in words]
-        get = self.known.__getitem__
-        numbers = np.fromiter(map(get, chain.from_iterable(words)), dtype=np.int64, count=sum(sizes_in))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        cut = cut_words(texts, b" \n")
+        numbers = self._numbers(cut.known)
         starts, flat = np.array(self.starts), np.array(self.flat, dtype="<u4")
-        sizes = (starts[1:] - starts[:-1])[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        spots = np.repeat(starts[:-1][numbers] - (ends - sizes), sizes) + np.arange(total)
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *sizes_in])]
+        parts, ends = gather(flat, starts, numbers.ravel())
+        ids, ends = gather(parts, ends[::2], cut.codes)
+        bounds = ends[np.cumsum([0, *np.bincount(cut.text, minlength=len(texts))])]
         if len(self.known) > REMEMBERED:
             self._forget()
-        return flat[spots], bounds
+        return ids, bounds
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the chosen ``rows`` of lists held one after another in ``flat``, where each starts and the end)."""
+    sizes = np.diff(starts)[rows]
+    bounds = np.zeros(len(rows) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=bounds[1:])
+    return flat[np.repeat(starts[:-1][rows] - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
 def cut_documents(
@@ -124,7 +129,7 @@ def cut_documents(
             if encoder is None:
                 encoder = WordIds(shared.value)
             for part in slices(batch, 1):
-                ids, bounds = encoder.encode(part.column(1).to_pylist())
+                ids, bounds = encoder.encode(part.column(1))
                 rows, pieces, starts, lengths, sums = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
                     raw = memoryview(np.concatenate([ids[a:b], closing])).cast("B")

@@ -76,3 +76,19 @@ def test_exchange_loses_nothing_and_saves(spark, content):
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     alone = best_fit_decreasing(np.array([r[3] for r in rows]), 2048)[2]
     assert max(fill.values()) <= 2048 and len(fill) <= 1.02 * alone + 1
+
+
+def test_ids_of_odd_texts_equal_the_library(content):
+    library = tokenizers.Tokenizer.from_str(content)
+    library.no_truncation()
+    library.no_padding()
+    draw = random.Random(1)
+    letters = [*"abcXYZ.,  \n\t\r'\"<>|-0129²½ªºßİıſŸÄéÅñžŽ中가🙂́ ​\x00\x85ﬁΣς", "<|endoftext|>", "</w>", "don't", "e.g.", "A.,", "x.."]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 50))) for _ in range(3000)]
+    texts += ["", " ", "\n", ".", ",", "x" * 20_000, "word. " * 5000]
+    encoder = WordIds(content)
+    for _ in range(2):  # the second time from what is remembered
+        ids, bounds = encoder.encode(texts)
+        for i, found in enumerate(library.encode_batch_fast(texts, add_special_tokens=False)):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == found.ids, texts[i][:80]
+    assert encoder.encode([])[1].tolist() == [0]
