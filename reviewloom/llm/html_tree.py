@@ -17,10 +17,12 @@ SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 
 # How HTML classes its elements
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title iframe noframes xmp template noscript select svg math object".split())
+RAW = set("script style textarea title iframe noframes xmp".split())
+UNSEEN = set("select template svg annotation annotation-xml".split())  # fields, drawings and sources; nothing if never closed
 INLINE = set(
     "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike"
-    " strong sub sup time tt u var wbr br".split()
+    " strong sub sup time tt u var wbr br math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom"
+    " menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split()
 )
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4"
@@ -81,21 +83,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """Block nodes in page order, and text pieces as (node, text); a text of None is a break inside the block.
 
     Scripts, styles, fields and comments leave nothing. A tag cut off by the end of the
-    page is dropped, elements left open end with their parent.
+    page is dropped, elements left open end with their parent. A slash before the end of
+    a tag closes nothing. The time is linear in the page, however deep it is nested.
     """
     root = Node("html", None, 0, "")
     nodes, pieces = [root], []
     stack = [root]
     at, in_link = 0, False
 
-    def pop_to(tag: str, fence: set[str]) -> bool:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag == tag:
-                del stack[depth:]
-                return True
-            if stack[depth].tag in fence:
-                return False
-        return False
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+
+    def pop_to(tag: str, fence: set[str]) -> None:
+        places = open_at.get(tag)
+        if not places or any(open_at.get(other, places)[-1:] > places[-1:] for other in fence):
+            return
+        bottom = places[-1]
+        while len(stack) > bottom:
+            open_at[stack.pop().tag].pop()
 
     def say(text: str) -> None:
         top = stack[-1]
@@ -107,6 +111,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         top.marks += text.count(".") + text.count(",") + text.count("!") + text.count("?")
 
     lowered = None
+    ended: set[str] = set()  # tags that are not closed any more
     while at < len(page):
         found = TOKEN.search(page, at)
         if found is None:
@@ -125,14 +130,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             elif tag not in INLINE and tag not in ("html", "body"):
                 pop_to(tag, set())
             continue
-        if tag in RAW:
-            if not found["attrs"].rstrip().endswith("/"):
-                lowered = page.lower() if lowered is None else lowered
-                end = lowered.find("</" + tag, at) if len(lowered) == len(page) else -1
-                if end < 0:
-                    later = re.compile("</" + re.escape(tag), re.I).search(page, at)
-                    end = later.start() if later else len(page)
+        if tag in RAW or tag in UNSEEN:
+            lowered = page.lower() if lowered is None else lowered
+            end = -1 if tag in ended else lowered.find("</" + tag, at) if len(lowered) == len(page) else -2
+            if end == -2:
+                later = re.compile("</" + re.escape(tag), re.I).search(page, at)
+                end = later.start() if later else -1
+            if end >= 0:
                 at = end
+            elif tag in RAW:
+                at = len(page)
+            else:
+                ended.add(tag)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -150,7 +159,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         nodes.append(node)
         if tag == "p":
             node.paragraphs = 1
-        if tag not in VOID and not found["attrs"].rstrip().endswith("/"):
+        if tag not in VOID:
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(node)
     for node in reversed(nodes):
         if node.parent is not None:
@@ -252,14 +262,15 @@ def decode(nodes: list[Node], scores: list[float], opening: float = 1.0) -> list
 
 def block_text(pieces: list[tuple[int, str | None]], kept: list[bool]) -> str:
     """Text of the kept nodes: a block's own white space becomes one space, blocks join by one space."""
-    blocks: list[str] = []
+    blocks: list[list[str]] = []
     last = -1
     for node, text in pieces:
         if kept[node]:
             said = " " if text is None else text
             if node == last:
-                blocks[-1] += said
+                blocks[-1].append(said)
             else:
-                blocks.append(said)
+                blocks.append([said])
         last = node
-    return " ".join(" ".join(block.split()) for block in blocks if not block.isspace() and block)
+    said = (" ".join("".join(block).split()) for block in blocks)
+    return " ".join(block for block in said if block)

@@ -1,3 +1,7 @@
+import itertools
+import math
+import time
+
 import numpy as np
 import pytest
 
@@ -59,3 +63,70 @@ def test_rows_of_all_kinds(spark, model):
     found = extract_pages(pages, model).collect()
     assert len(found) == 6 and all(r.text is not None for r in found)
     assert extract_pages(pages.filter("false"), model).count() == 0
+
+
+ARTICLE = "".join(f"<p>Sentence number {i}, with some more words in it to read.</p>" for i in range(8))
+READ = " ".join(f"Sentence number {i}, with some more words in it to read." for i in range(8))
+
+
+@pytest.mark.parametrize(
+    "put, wanted",
+    [
+        ('<script src="a.js"/>alert(1)</script>', READ),
+        ("<script src=/js/>alert(1)</script>", READ),
+        ("<STYLE media=print/>p{}</STYLE >", READ),
+        ("<select><option>a<option>b</select>", READ),
+        ("<svg><path d='M0 0'/><text>label</text></svg>", READ),
+        ("<select name=x>", READ),
+        ("<svg/>", READ),
+        ("<template>", READ),
+        ("<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, it is so.</p>", READ + " Where x=1 holds, it is so."),
+        ("<p>And <object data=a>the other</object> words too, as here.</p>", None),
+    ],
+)
+def test_elements_by_the_rules_of_html(model, put, wanted):
+    for at in (0, len(ARTICLE)):
+        page = f"<html><body><article>{ARTICLE[:at]}{put}{ARTICLE[at:]}</article></body></html>"
+        found = extract(model, [page])[0]
+        if wanted is None:
+            assert "And" in "".join(text or "" for _, text in parse(page)[1]) and "the other" in found
+        elif at or wanted == READ:
+            assert found == wanted
+
+
+def test_a_slash_at_the_end_of_a_tag_closes_nothing():
+    nodes, pieces = parse("<div data-u=/x/>a<p/>b</div>c")
+    assert [(n.tag, n.parent.tag) for n in nodes[1:]] == [("div", "html"), ("p", "div")]
+    assert [(nodes[i].tag, text) for i, text in pieces] == [("div", "a"), ("p", "b"), ("html", "c")]
+
+
+def test_deep_and_long_pages_take_linear_time(model):
+    pages = ["<div>" * 100_000 + "x", "<p><button>" + "<div>" * 50_000, "<p>" + "a<b>b</b>" * 100_000, "<ul>" + "<li><select>" * 30_000]
+    started = time.monotonic()
+    parsed = [parse(page) for page in pages]
+    said = block_text(parsed[2][1], [True] * len(parsed[2][0]))
+    assert time.monotonic() - started < 15 and said == "ab" * 100_000
+
+
+def test_decoding_is_best_of_all_labellings():
+    """Against every labelling that agrees along its paths, with the cost of opening a region."""
+    nodes, _ = parse("<div><p>a<p>b<ul><li>c</ul></div><div><p>d</div>")
+    for seed in range(20):
+        scores = np.random.default_rng(seed).normal(scale=2, size=len(nodes)).tolist()
+
+        def total(states):
+            value = 0.0
+            for node, state, score in zip(nodes, states, scores):
+                above = states[node.parent.index] if node.parent else "out"
+                if (above, state) in (("in", "out"), ("out", "drop"), ("drop", "in"), ("drop", "out")):
+                    return -math.inf
+                value += -math.log1p(math.exp(-score if state == "in" else score)) - (state == "in" and above == "out")
+            return value
+
+        best = max(map(total, itertools.product(("in", "out", "drop"), repeat=len(nodes))))
+        kept = decode(nodes, scores)
+        states = []
+        for node in nodes:
+            above = states[node.parent.index] if node.parent else "out"
+            states.append("in" if kept[node.index] else "out" if above == "out" else "drop")
+        assert total(states) == pytest.approx(best)
