@@ -105,6 +105,11 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _site(host: str, path: str) -> Column:
+    """Key of a site; hashes skip NULLs, so where they stand is hashed too."""
+    return F.xxhash64(F.col(host), F.col(path), F.col(host).isNull(), F.col(path).isNull())
+
+
 def site_priors(scored: DataFrame, host: str, path: str, p: str) -> tuple[DataFrame, float, float]:
     """(``site, total, n, host_prior`` per path, share of good documents, documents the host prior is worth).
 
@@ -122,8 +127,7 @@ def site_priors(scored: DataFrame, host: str, path: str, p: str) -> tuple[DataFr
     hosts = hosts.select(F.col("host").alias("_host"), "host_prior")
     joined = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).select("host", "path", "total", "n", "host_prior")
     path_worth = _strength(share, joined.withColumn("mean", F.col("total") / F.col("n")), "mean", "n")
-    site = F.xxhash64("host", "path")
-    return joined.select(site.alias("site"), "total", "n", "host_prior"), share, path_worth
+    return joined.select(_site("host", "path").alias("site"), "total", "n", "host_prior"), share, path_worth
 
 
 def rate_documents(
@@ -150,7 +154,7 @@ def rate_documents(
             F.sum("total").alias("__total"), F.sum("n").alias("__n"), F.max("host_prior").alias("__prior")
         )
     )
-    keyed = scored.withColumn("__key", F.xxhash64(host, path))
+    keyed = scored.withColumn("__key", _site(host, path))
     joined = lookup_join(keyed, sites, "__key", "left", key_rows=sites.select("__key", F.col("__n").alias("n")))
     others = (F.col("__total") - F.col("__document") + worth * F.col("__prior")) / (F.col("__n") - 1 + worth)
     odds = _logit(F.col("__document")) + _logit(F.col("__site")) - _logit(F.lit(share))

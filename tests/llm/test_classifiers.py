@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reviewloom.llm import toxicity as T
 from reviewloom.llm.quality import drop_poor, rate_documents
@@ -129,3 +130,20 @@ def test_every_text_with_a_known_word_has_neighbours(spark):
     known = {i for i, text in texts.items() if set(counter.count(text)) - {index.other}}
     found = {r.doc_id: r.neighbours for r in score_documents(docs, labels).collect()}
     assert len(known) > 100 and all(found[i] for i in known)
+
+
+def test_sites_with_nulls_are_sites_of_their_own(spark):
+    """Rates are those of the same table with names in place of the NULLs."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    by = F.col("doc_id") % 4
+    docs = docs.withColumn("source", F.when(by != 1, F.lit("en"))).withColumn("lang", F.when(by != 2, F.lit("en")))
+    docs = docs.withColumn("source", F.when(by != 3, F.col("source")))
+    named = docs.fillna({"source": "no source", "lang": "no lang"})
+    rates = [{r.doc_id: (r.site, r.q) for r in rate(each, labels)} for each in (docs, named)]
+    assert rates[0].keys() == rates[1].keys()
+    assert all(np.allclose(rates[0][i], rates[1][i], atol=1e-12) for i in rates[0])
+
+
+def rate(docs, labels):
+    return rate_documents(docs, labels).select("doc_id", F.col("__site").alias("site"), F.col("__quality").alias("q")).collect()
