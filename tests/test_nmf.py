@@ -281,3 +281,47 @@ def test_a_fit_that_is_cut_short_says_so(spark):
     with pytest.warns(UserWarning, match="not settled"):
         assert not rl.nmf_fit(matrix, vocabulary, rl.NMFSettings(2, max_rounds=2, tol=0.0)).converged
     assert rl.nmf_fit(matrix, vocabulary, rl.NMFSettings(2, tol=1e-3)).converged
+
+
+def test_a_round_deals_terms_and_blocks_out(spark, corpus, monkeypatch):
+    """Terms are solved by as many tasks as documents, and a chunk holds few weights where vectors are long."""
+    from reviewloom.operators import nmf_sweep
+    from reviewloom.operators.nmf import place_by_document
+
+    _, weights, _ = corpus
+    terms = weights.vocabulary.count()
+    placed = place_by_document(weights.matrix, "doc_id")
+    blocks = nmf_sweep.weight_blocks(placed.weights, "doc_id")
+    for row in blocks.collect():
+        order = np.frombuffer(row.by_term, dtype=np.int32)
+        assert (np.diff(np.frombuffer(row.terms, dtype=np.int64)[order]) >= 0).all()
+    h = np.random.default_rng(1).random((terms, 2))
+    found = []
+    for values in (nmf_sweep.CHUNK_VALUES, 6):
+        monkeypatch.setattr(nmf_sweep, "CHUNK_VALUES", values)
+        fit = nmf_sweep.SweepFit(rl.NMFSettings(2), h, h.T @ h)
+        _, summed, held = nmf_sweep._round(blocks, 4, [fit])
+        parts = sorted((r.part, np.frombuffer(r.sums)) for r in summed.collect())
+        assert len(parts) == 4
+        found.append(np.concatenate([sums for _, sums in parts]))
+        for kept in held:
+            kept.unpersist()
+    assert np.allclose(*found)
+
+
+def test_solver_equals_descent_written_out(monkeypatch):
+    from reviewloom.functions import vectors
+
+    rng = np.random.default_rng(5)
+    base = rng.random((7, 4))
+    gram, goal = base.T @ base, rng.normal(1.0, 2.0, (50, 4))
+    wanted = np.zeros_like(goal)
+    for row, target in zip(wanted, goal):
+        for _ in range(3):
+            for j in range(4):
+                rest = target[j] - 0.05 - (row @ gram[j] - row[j] * gram[j, j])
+                row[j] = max(0.0, rest / (gram[j, j] + 0.05))
+    whole = vectors.solve_rows(goal, gram, 0.05, 0.05, 3, -1.0)
+    assert np.allclose(whole, wanted)
+    monkeypatch.setattr(vectors, "SOLVED_AT_ONCE", 8)
+    assert (vectors.solve_rows(goal, gram, 0.05, 0.05, 3, -1.0) == whole).all()
