@@ -80,3 +80,14 @@ def test_weighting_moves_the_texts_once(docs):
     plan = result.matrix._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
     assert "BroadcastHashJoin" in plan and "Window" in plan and "Exchange hashpartitioning" not in plan
     result.unpersist()
+
+
+def test_partitions_of_counts_grow_with_the_documents(spark, monkeypatch):
+    from reviewloom.operators.tfidf import term_counts
+
+    monkeypatch.setattr("reviewloom.operators.tfidf.DOCS_PER_TASK", 3)
+    docs = spark.createDataFrame([(i, "ab cd ab") for i in range(60)] + [(0, "cd")], "doc_id long, lemmatized_text string")
+    counts = term_counts(docs)
+    assert counts.rdd.getNumPartitions() == 21
+    rows = {(r.doc_id, r.term): r.tf for r in counts.collect()}
+    assert len(rows) == 120 and rows[0, "ab"] == 2 and rows[0, "cd"] == 2 and rows[59, "cd"] == 1
