@@ -19,9 +19,9 @@ import math
 import pickle
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import chain, islice
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -37,12 +37,15 @@ EXAMPLES = 20_000  # labelled rows to learn from, at most
 LEAST_CHI2 = 30.0  # from a difference this large on a term has most of its weight; none is left out below it
 LEAST_TOXIC = 5  # beginnings of words need so many examples with label 1
 COMMON = 8  # terms of one in so many examples come last, block by block
+SLICED = 64  # postings from which on a term has a list of its own at hand
 BLOCK = 64  # examples that share a bound
 TEXTS_AT_ONCE = 256
+CHARS_AT_ONCE = 1 << 22  # of texts whose terms are counted together
 NEIGHBOURS = 15
 REMEMBERED = 300_000
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
+_WORD_OR_END = re.compile(r"[^\W\d_]+|\n")
 
 
 def terms_of(token: str) -> list[str]:
@@ -97,14 +100,16 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray,
     one of the labels is missing.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         rows = [0, 0]
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 side = int(label == 1)
                 rows[side] += 1
-                seen[side].update({t for token in set(text.split()) for t in terms_of(token)})
+                words = set(_WORD.findall(text.lower()))  # as in terms_of: no word holds white space
+                seen[side].update(words)
+                seen[side].update({word[:n] + "-" for word in words for n in BEGINNINGS if len(word) > n})
         terms = list(set(seen[0]) | set(seen[1]))
         yield pa.RecordBatch.from_pydict(
             {
@@ -115,7 +120,7 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray,
             }
         )
 
-    counted = sample.select("label", "text").mapInArrow(count, "term long, beginning string, clean long, toxic long")
+    counted = sample.select("label", "text").mapInArrow(add_up, "term long, beginning string, clean long, toxic long")
     counts = counted.groupBy("term", "beginning").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = counts.filter(F.col("beginning").isNull() | (F.col("toxic") >= LEAST_TOXIC)).toArrow()
     clean, toxic = (found.column(c).to_numpy().astype(np.float64) for c in ("clean", "toxic"))
@@ -173,16 +178,18 @@ class Index:
         self.bare_score = 0.0  # share of label 1 among them
         self.prior = 0.0
         self.scale = (4.0, -2.0)  # calibration: slope and shift
-        self.rows = np.zeros(0, dtype=np.uint16)
-        self.tf = np.zeros(0, dtype=np.uint16)
+        self.rows = np.zeros(0, dtype=np.uint16)  # postings by term, those with the same count in a run
+        self.run_tf = np.zeros(0, dtype=np.uint16)
+        self.run_sizes = np.zeros(0, dtype=np.uint16)
+        self.runs = np.zeros(self.other + 1, dtype=np.uint8)  # runs of each term
         self.sizes = np.zeros(self.other + 1, dtype=np.uint16)  # postings of each term
         self.norms = np.zeros(0)
         self.visited = 0  # blocks finished so far
         self._weigh()
 
     def __getstate__(self) -> dict:
-        # weights and matrix are made again from the counts, so that little is sent to the executors
-        state = self.__dict__ | {"dense": None, "weights": None, "maxima": None}
+        # the matrix is made again from the counts, so that little is sent to the executors
+        state = self.__dict__ | {"dense": None, "maxima": None, "levels": None, "run_starts": None, "starts": None, "lists": None}
         return {"packed": zlib.compress(pickle.dumps(state, protocol=5), 1)}
 
     def __setstate__(self, state: dict) -> None:
@@ -215,7 +222,7 @@ class Index:
         norms = np.zeros(n)
         ends = np.cumsum(sizes).tolist()
         for i, (a, b) in enumerate(zip([0, *ends], ends)):
-            own = (1 + np.log(tf[a:b])) * self.idf[terms[a:b]]
+            own = (1 + np.log(tf[a:b].astype(np.float64))) * self.idf[terms[a:b]]
             norms[i] = np.sqrt((own * own).sum())
         counts = np.bincount(terms, minlength=self.other + 1)
         row_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
@@ -224,45 +231,89 @@ class Index:
         held[common] = np.arange(len(common))
         picked = np.flatnonzero(held[terms] >= 0)
         space = np.zeros((n, len(common)))
-        space[row_of[picked], held[terms[picked]]] = (1 + np.log(tf[picked])) * self.idf[terms[picked]] / norms[row_of[picked]]
+        space[row_of[picked], held[terms[picked]]] = (
+            (1 + np.log(tf[picked].astype(np.float64))) * self.idf[terms[picked]] / norms[row_of[picked]]
+        )
         order = _side_by_side(space, ids)
-        del space, picked
+        del space, picked, held
         place = np.empty(n, dtype=np.int32)
         place[order] = np.arange(n, dtype=np.int32)
         self.ids, self.labels, self.norms = ids[order], labels[order], norms[order]
-        rows = place[row_of]
-        places = np.argsort(terms.astype(np.int64) * n + rows)
-        self.rows = rows[places].astype(np.min_scalar_type(n))
-        self.tf = tf[places].astype(np.min_scalar_type(int(tf.max(initial=0))))
-        self.sizes = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+        # term, count and row as one number each, sorted where they lie
+        above = int(tf.max(initial=0)) + 1
+        keys = terms.astype(np.int64)
+        keys *= above
+        keys += tf
+        keys *= n
+        keys += place[row_of]
+        del row_of
+        keys.sort()
+        self.rows = np.empty(len(keys), dtype=np.min_scalar_type(n))
+        for a in range(0, len(keys), 1 << 20):
+            self.rows[a : a + (1 << 20)] = keys[a : a + (1 << 20)] % n
+            keys[a : a + (1 << 20)] //= n
+        firsts = np.flatnonzero(np.diff(keys, prepend=-1))
+        run_sizes = np.diff(firsts, append=len(keys))
+        run_terms, run_tf = keys[firsts] // above, keys[firsts] % above
+        del keys
+        runs = np.bincount(run_terms, minlength=self.other + 1)
+        self.run_tf, self.run_sizes, self.runs, self.sizes = (
+            x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (run_tf, run_sizes, runs, counts)
+        )
         self._weigh()
 
     def _weigh(self) -> None:
-        """What follows from counts and norms: weights of the postings, where terms start, block maxima of common terms."""
+        """What follows from counts and norms: where terms and runs start, block maxima of common terms."""
         self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
-        self.weights = np.empty(len(self.rows))
-        for a in range(0, len(self.rows), 1 << 20):
-            b = min(a + (1 << 20), len(self.rows))
-            own = np.searchsorted(self.starts, np.arange(a, b), side="right") - 1
-            self.weights[a:b] = (1 + np.log(self.tf[a:b].astype(np.float64))) * self.idf[own] / self.norms[self.rows[a:b]]
+        self.run_starts = np.concatenate([[0], np.cumsum(self.runs, dtype=np.int64)])
+        self.levels = 1 + np.log(self.run_tf.astype(np.float64))
+        self.lists = {
+            t: self.rows[self.starts[t] : self.starts[t + 1]] for t in np.flatnonzero(self.sizes >= SLICED).tolist()
+        }
         self.common = np.flatnonzero(self.sizes.astype(np.int64) * COMMON > len(self.ids))
         self.blocks = -(-len(self.ids) // BLOCK)
+        self.inverse = np.zeros(self.blocks * BLOCK)
+        self.inverse[: len(self.ids)] = 1 / self.norms
         self.dense = np.zeros((self.blocks * BLOCK, len(self.common)))  # weights of common terms, one row for each example
         for i, t in enumerate(self.common.tolist()):
-            a, b = self.starts[t], self.starts[t + 1]
-            self.dense[self.rows[a:b], i] = self.weights[a:b]
+            self.dense[self.rows[self.starts[t] : self.starts[t + 1]], i] = self.weights_of(np.array([t]))
         self.maxima = self.dense.reshape(self.blocks, BLOCK, len(self.common)).max(axis=1).T if self.blocks else self.dense.T
 
-    def _rare_sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What terms that are not common add to the cosine with each example."""
-        starts, ends = self.starts[terms], self.starts[terms + 1]
-        parts = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist())]
-        if not parts:
-            return np.zeros(self.blocks * BLOCK)
-        rows = np.concatenate([self.rows[part] for part in parts])
-        added = np.concatenate([self.weights[part] for part in parts])
-        added *= np.repeat(weights, ends - starts)
-        return np.bincount(rows, added, self.blocks * BLOCK)
+    def _runs_of(self, terms: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(level of the count times the factor of the term, postings) of each run of these terms."""
+        firsts, runs = self.run_starts[terms], self.runs[terms].astype(np.int64)
+        own = np.repeat(firsts - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        return self.levels[own] * np.repeat(factors, runs), self.run_sizes[own]
+
+    def _rows_of(self, terms: np.ndarray) -> np.ndarray:
+        """Rows of the postings of these terms."""
+        sizes = self.sizes[terms].astype(np.int64)
+        return self.rows[np.repeat(self.starts[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+    def weights_of(self, terms: np.ndarray) -> np.ndarray:
+        """Weights of the postings of these terms."""
+        return np.repeat(*self._runs_of(terms, self.idf[terms])) / self.norms[self._rows_of(terms)]
+
+    @property
+    def weights(self) -> np.ndarray:
+        """Weights of all postings; not kept, as they are larger than all else."""
+        return self.weights_of(np.arange(self.other + 1))
+
+    def _rare_sums(self, vectors: list[tuple[np.ndarray, np.ndarray]], out: np.ndarray) -> None:
+        """What terms that are not common add to the cosine of each (terms, weights) with each example."""
+        for start in range(0, len(vectors), 8):  # few at once: a long text has many runs
+            part, lists = [], []
+            for terms, weights in vectors[start : start + 8]:
+                long = self.sizes[terms] >= SLICED
+                part += [(terms[long], weights[long]), (terms[~long], weights[~long])]
+                lists.append([self.lists[t] for t in terms[long].tolist()] + [self._rows_of(terms[~long])])
+            terms, weights = (np.concatenate(column) for column in zip(*part))
+            values, sizes = self._runs_of(terms, weights * self.idf[terms])
+            ends = np.cumsum(self.runs[terms], dtype=np.int64)
+            cuts = np.concatenate([[0], ends])[np.cumsum([0, *(len(own) for own, _ in part)])][::2].tolist()
+            for i, (rows, a, b) in enumerate(zip(lists, cuts, cuts[1:]), start):
+                added = np.bincount(np.concatenate(rows), np.repeat(values[a:b], sizes[a:b]), self.blocks * BLOCK)
+                np.multiply(added, self.inverse, out=out[i])
 
     def search(
         self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, floors: Sequence[float], skips: Sequence[int] | None = None
@@ -275,12 +326,14 @@ class Index:
             return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(vectors)
         some = np.zeros((len(vectors), len(self.common)))
         sums = np.empty((len(vectors), self.blocks * BLOCK))
+        rare = []
         for i, (terms, weights) in enumerate(vectors):
             at = np.searchsorted(self.common, terms)
             inside = at < len(self.common)
             inside[inside] = self.common[at[inside]] == terms[inside]
             some[i, at[inside]] = weights[inside]
-            sums[i] = self._rare_sums(terms[~inside], weights[~inside])
+            rare.append((terms[~inside], weights[~inside]))
+        self._rare_sums(rare, sums)
         leaders = sums.reshape(len(vectors), self.blocks, BLOCK).argmax(axis=2) + np.arange(self.blocks) * BLOCK
         tops = np.take_along_axis(sums, leaders, axis=1)
         bounds = tops + some @ self.maxima
@@ -300,7 +353,7 @@ class Index:
         self.visited += int(open_blocks.sum())
         found = []
         for i, floor in enumerate(floors):
-            rows = np.flatnonzero(np.repeat(open_blocks[i], BLOCK) & (sums[i] >= least[i] - 1e-9))
+            rows = np.flatnonzero((sums[i].reshape(self.blocks, BLOCK) >= least[i] - 1e-9) & open_blocks[i, :, None])
             cosines = np.round(sums[i, rows], 12)
             taken = cosines > floor
             if skips is not None:
@@ -339,12 +392,19 @@ class Index:
             return
         chosen = range(0, len(self.ids), max(1, len(self.ids) // 2000))
         place = {row: i for i, row in enumerate(chosen)}
-        picked = np.flatnonzero(np.isin(self.rows, np.array(chosen)))
+        wanted = np.zeros(len(self.ids), dtype=bool)
+        wanted[list(chosen)] = True
+        picked = np.concatenate(
+            [a + np.flatnonzero(wanted[self.rows[a : a + (1 << 20)]]) for a in range(0, len(self.rows), 1 << 20)]
+        )
         terms = np.searchsorted(self.starts, picked, side="right") - 1
+        level = self.levels[np.searchsorted(np.cumsum(self.run_sizes, dtype=np.int64), picked, side="right")]
+        weights = level * self.idf[terms] / self.norms[self.rows[picked]]
         rows = np.array([place[r] for r in self.rows[picked].tolist()])
         order = np.argsort(rows, kind="stable")
         cuts = np.searchsorted(rows[order], np.arange(1, len(chosen)))
-        vectors = list(zip(np.split(terms[order], cuts), np.split(self.weights[picked][order], cuts)))
+        vectors = list(zip(np.split(terms[order], cuts), np.split(weights[order], cuts)))
+        del picked, terms, level, weights, rows, order
         votes = []
         for start in range(0, len(chosen), TEXTS_AT_ONCE):
             part = vectors[start : start + TEXTS_AT_ONCE]
@@ -365,11 +425,30 @@ class Index:
 
     def score(self, texts: list[dict[int, int]]) -> list[tuple[float, list[int], list[float]]]:
         """(score, ids of the neighbours, their cosines) of texts with these term counts."""
+        return self.score_vectors([self.vector(c) if any(t != self.other for t in c) else None for c in texts])
+
+    def score_counts(
+        self, texts: int, rows: np.ndarray, terms: np.ndarray, tf: np.ndarray
+    ) -> list[tuple[float, list[int], list[float]]]:
+        """The same for so many texts from what ``TermCounter.count_all`` gives."""
+        bounds = np.searchsorted(rows, np.arange(texts + 1)).tolist()
+        weights = (1 + np.log(tf)) * self.idf[terms]
+        vectors = []
+        for a, b in zip(bounds, bounds[1:]):
+            own = weights[a:b]
+            # the term of all other tokens comes last
+            vectors.append((terms[a:b], own / np.sqrt((own * own).sum())) if a < b and terms[a] != self.other else None)
+        return self.score_vectors(vectors)
+
+    def score_vectors(
+        self, texts: list[tuple[np.ndarray, np.ndarray] | None]
+    ) -> list[tuple[float, list[int], list[float]]]:
+        """The same for (terms, weights), None for a text without any term."""
         out = [(self.bare_score, [], [])] * len(texts)
-        known = [i for i, counts in enumerate(texts) if len(self.ids) and any(t != self.other for t in counts)]
+        known = [i for i, vector in enumerate(texts) if vector is not None and len(self.ids)]
         for start in range(0, len(known), TEXTS_AT_ONCE):
             part = known[start : start + TEXTS_AT_ONCE]
-            vectors = [self.vector(texts[i]) for i in part]
+            vectors = [texts[i] for i in part]
             away = [float(weights[terms == self.other].sum()) for terms, weights in vectors]
             found = self.search(vectors, NEIGHBOURS, [self._floor(a) for a in away])
             for i, (rows, cosines), apart in zip(part, found, away):
@@ -386,34 +465,75 @@ class TermCounter:
         self.terms = terms  # digests in order
         self.beginnings = {b: int(np.searchsorted(terms, _digest(b))) for b in beginnings}
         self.heads = {b[: BEGINNINGS[0]] for b in beginnings}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = defaultdict(count().__next__)  # numbers tokens as they come
+        self.starts = np.zeros(1, dtype=np.int64)  # where the terms of each known token start in ``found``
+        self.found = np.zeros(0, dtype=np.int32)
 
     def learn(self, tokens: list[str]) -> None:
-        words = [_WORD.findall(token.lower()) for token in tokens]
-        flat = np.fromiter(map(_digest, chain.from_iterable(words)), np.int64)
-        at = np.searchsorted(self.terms, flat)
-        inside = at < len(self.terms)
-        inside[inside] = self.terms[at[inside]] == flat[inside]
-        numbers = iter(np.where(inside, at, -1).tolist())
-        begins, heads = self.beginnings, self.heads
-        for token, each in zip(tokens, words):
-            found = [i for i in islice(numbers, len(each)) if i >= 0]
-            for word in each:
-                for n in BEGINNINGS if word[: BEGINNINGS[0]] in heads else ():
-                    if len(word) > n and (start := word[:n] + "-") in begins:
-                        found.append(begins[start])
-            self.known[token] = tuple(found) or (len(self.terms),)
+        items = _WORD_OR_END.findall("\n".join([*tokens, ""]).lower())  # tokens have no white space in them
+        digests = np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
+        at_end = digests == xxhash.xxh3_64_intdigest("\n")
+        owner = np.cumsum(at_end) - at_end
+        digests = (digests ^ np.uint64(1 << 63)).view(np.int64)  # as in _digest
+        at = np.searchsorted(self.terms, digests)
+        inside = np.flatnonzero((at < len(self.terms)) & ~at_end)
+        inside = inside[self.terms[at[inside]] == digests[inside]]
+        begins = self.beginnings
+        starts = [
+            (i, begins[start])
+            for i in [i for i, word in enumerate(items) if word[: BEGINNINGS[0]] in self.heads]
+            for n in BEGINNINGS
+            if len(items[i]) > n and (start := items[i][:n] + "-") in begins
+        ]
+        places, terms = np.array(starts, dtype=np.int64).reshape(-1, 2).T
+        owners, found = np.concatenate([owner[inside], owner[places]]), np.concatenate([at[inside], terms])
+        without = np.flatnonzero(np.bincount(owners, minlength=len(tokens)) == 0)
+        owners = np.concatenate([owners, without])
+        found = np.concatenate([found, np.full(len(without), len(self.terms))])
+        found = found[np.argsort(owners, kind="stable")]
+        ends = np.cumsum(np.bincount(owners, minlength=len(tokens)))
+        self.starts = np.concatenate([self.starts, len(self.found) + ends])
+        self.found = np.concatenate([self.found, found.astype(np.int32)])
+
+    def count_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, terms, occurrences) by text, then term; each token without a term counts as one of the term after the last."""
+        none = np.zeros(0, dtype=np.int64)
+        parts, start = [(none, none, none)], 0
+        while start < len(texts):
+            size, end, codes, before = 0, start, [], len(self.known)
+            while end < len(texts) and (end == start or size + len(texts[end]) <= CHARS_AT_ONCE):
+                tokens = texts[end].split()
+                codes.append(np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens)))
+                size += len(texts[end])
+                end += 1
+            if len(self.known) > before:
+                self.learn(list(islice(reversed(self.known), len(self.known) - before))[::-1])
+            parts.append(self._add_up(start, codes))
+            start = end
+            if len(self.known) > REMEMBERED:
+                self.forget()
+        return tuple(np.concatenate(column) for column in zip(*parts))
+
+    def _add_up(self, first: int, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of texts, numbered from ``first``, whose tokens have these numbers."""
+        tokens = np.concatenate(codes)
+        begin = self.starts[tokens]
+        sizes = self.starts[tokens + 1] - begin
+        ends = np.cumsum(sizes)
+        keys = self.found[np.repeat(begin - ends + sizes, sizes) + np.arange(sizes.sum())].astype(np.int64)
+        each = len(self.terms) + 1
+        keys += np.repeat(np.repeat(np.arange(first, first + len(codes)) * each, [len(c) for c in codes]), sizes)
+        keys.sort()
+        firsts = np.flatnonzero(np.diff(keys, prepend=-1))
+        return keys[firsts] // each, keys[firsts] % each, np.diff(firsts, append=len(keys))
 
     def count(self, text: str) -> dict[int, int]:
-        """Occurrences of each term; each token without one counts as one of the term after the last."""
-        tokens = text.split()
-        new = set(tokens).difference(self.known)
-        if new:
-            self.learn(list(new))
-        counts = Counter(chain.from_iterable(map(self.known.__getitem__, tokens)))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return counts
+        """Occurrences of each term in a text."""
+        _, terms, tf = self.count_all([text])
+        return dict(zip(terms.tolist(), tf.tolist()))
 
 
 def fit(
@@ -432,11 +552,11 @@ def fit(
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(*pickle.loads(shared.value))
         for batch in batches:
-            counts = [counter.count(text) for text in batch.column(2).to_pylist()]
-            lists = [[x for pair in c.items() for x in pair] for c in counts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "label", "counts"]
-            )
+            texts, numbers, tf = counter.count_all(batch.column(2).to_pylist())
+            flat = np.stack([numbers, tf], axis=1).astype(np.int32).ravel()
+            ends = 2 * np.searchsorted(texts, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), lists], ["doc_id", "label", "counts"])
 
     found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text").mapInArrow(
         vectors, "doc_id long, label int, counts array<int>"
@@ -448,7 +568,8 @@ def fit(
     ones_of = (made.column("label").to_numpy() == 1).astype(np.float64)
     parts = [part.flatten().to_numpy() for part in counts.chunks]
     flat_terms = np.concatenate([part[::2] for part in parts])
-    flat_tf = np.concatenate([part[1::2] for part in parts])
+    most_tf = max((int(part[1::2].max(initial=0)) for part in parts), default=0)
+    flat_tf = np.concatenate([part[1::2].astype(np.min_scalar_type(most_tf)) for part in parts])
     del made, counts, parts, found
     row_of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     own = np.bincount(row_of[flat_terms != index.other], minlength=len(ids)) > 0
@@ -474,7 +595,8 @@ def score_column(spark: SparkSession, index: Index, text: Column) -> Column:
         for texts in batches:
             found = []
             for start in range(0, len(texts), TEXTS_AT_ONCE):
-                found += found_index.score([counter.count(t) for t in texts[start : start + TEXTS_AT_ONCE]])
+                part = texts[start : start + TEXTS_AT_ONCE].tolist()
+                found += found_index.score_counts(len(part), *counter.count_all(part))
             yield pd.DataFrame(found, columns=["score", "neighbours", "cosines"])
 
     return scored(text)

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,3 +148,34 @@ def test_sites_with_nulls_are_sites_of_their_own(spark):
 
 def rate(docs, labels):
     return rate_documents(docs, labels).select("doc_id", F.col("__site").alias("site"), F.col("__quality").alias("q")).collect()
+
+
+def test_terms_are_counted_in_many_texts_at_once(monkeypatch):
+    texts = ["Idiot idiotic, day", "", "a\x1fday Day\nday3day", "ΟΔΟΣ. İdle _ 42", "idiotic " * 70, "new words idiot's"] * 3
+    words = sorted({t for text in texts[:5] for token in text.split() for t in T.terms_of(token)}, key=T._digest)
+    beginnings = [t for t in words if t[-1] == "-"]
+    terms = np.array([T._digest(t) for t in words])
+    for most, at_once in ((T.REMEMBERED, T.CHARS_AT_ONCE), (2, 30)):
+        monkeypatch.setattr(T, "REMEMBERED", most)
+        monkeypatch.setattr(T, "CHARS_AT_ONCE", at_once)
+        rows, found, tf = T.TermCounter(terms, beginnings).count_all(texts)
+        assert (np.lexsort((found, rows)) == np.arange(len(rows))).all()
+        for i, text in enumerate(texts):
+            wanted = Counter()
+            for token in text.split():
+                wanted.update([words.index(t) for t in T.terms_of(token) if t in words] or [len(words)])
+            assert dict(zip(found[rows == i].tolist(), tf[rows == i].tolist())) == wanted
+            assert T.TermCounter(terms, beginnings).count(text) == wanted
+
+
+def test_scores_from_counts_side_by_side_are_those_of_each_text():
+    draw = np.random.default_rng(1)
+    index = Index([f"t{i}" for i in range(300)], [5] * 300, 700)
+    index.build([(i, i % 3 == 0, {int(t): int(draw.integers(1, 4)) for t in draw.choice(301, 9, replace=False)}) for i in range(700)])
+    index.calibrate()
+    counts = [{int(t): int(draw.integers(1, 4)) for t in sorted(draw.choice(301, n % 12, replace=False))} for n in range(150)]
+    counts[20] = {index.other: 3}
+    rows = np.repeat(np.arange(150), [len(c) for c in counts])
+    terms, tf = (np.array([pair[j] for c in counts for pair in c.items()]) for j in (0, 1))
+    together = index.score_counts(150, rows, terms, tf)
+    assert together == [index.score([c])[0] for c in counts] and together[20][1] == together[0][1] == []
