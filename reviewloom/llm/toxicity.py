@@ -39,7 +39,7 @@ LEAST_TOXIC = 5  # beginnings of words need so many examples with label 1
 COMMON = 8  # terms of one in so many examples come last, block by block
 SLICED = 64  # postings from which on a term has a list of its own at hand
 BLOCK = 64  # examples that share a bound
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 128
 CHARS_AT_ONCE = 1 << 22  # of texts whose terms are counted together
 NEIGHBOURS = 15
 REMEMBERED = 300_000
@@ -140,12 +140,12 @@ def choose_terms(sample: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray,
 
 
 def _side_by_side(space: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """An order of the rows in which those that lie close make up the blocks: halves along the widest leading direction."""
+    """An order of the rows in which those that lie close make up the blocks: halves along the widest leading direction. Moves ``space``."""
     order = np.argsort(ids, kind="stable")
     if not space.shape[1]:
         return order
-    moved = space - space.mean(axis=0)
-    leading = moved @ np.linalg.eigh(moved.T @ moved)[1][:, -8:]
+    space -= space.mean(axis=0)
+    leading = space @ np.linalg.eigh(space.T @ space)[1][:, -8:]
     parts, done = [order], []
     while parts:
         part = parts.pop()
@@ -245,14 +245,15 @@ class Index:
         keys *= above
         keys += tf
         keys *= n
-        keys += place[row_of]
+        for a in range(0, len(keys), 1 << 20):
+            keys[a : a + (1 << 20)] += place[row_of[a : a + (1 << 20)]]
         del row_of
         keys.sort()
         self.rows = np.empty(len(keys), dtype=np.min_scalar_type(n))
         for a in range(0, len(keys), 1 << 20):
             self.rows[a : a + (1 << 20)] = keys[a : a + (1 << 20)] % n
             keys[a : a + (1 << 20)] //= n
-        firsts = np.flatnonzero(np.diff(keys, prepend=-1))
+        firsts = np.flatnonzero(np.append(np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]))
         run_sizes = np.diff(firsts, append=len(keys))
         run_terms, run_tf = keys[firsts] // above, keys[firsts] % above
         del keys
@@ -542,6 +543,7 @@ def fit(
     """Index of at most ``most`` labelled rows that are not held out; rows without any term are counted only."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, most)
     terms, beginnings, df, chi2, n, ones = choose_terms(sample)
+    pa.default_memory_pool().release_unused()
     index = Index(terms, df, n, chi2, beginnings)
     index.prior = ones / n if n else 0.0
     index.bare_score = index.prior
@@ -571,6 +573,7 @@ def fit(
     most_tf = max((int(part[1::2].max(initial=0)) for part in parts), default=0)
     flat_tf = np.concatenate([part[1::2].astype(np.min_scalar_type(most_tf)) for part in parts])
     del made, counts, parts, found
+    pa.default_memory_pool().release_unused()
     row_of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     own = np.bincount(row_of[flat_terms != index.other], minlength=len(ids)) > 0
     inside = own[row_of]
@@ -579,7 +582,9 @@ def fit(
     index.bare_score = float((ones_of[~own].sum() + 0.5 * index.prior) / (index.bare + 0.5))
     if not inside.all():
         flat_terms, flat_tf = flat_terms[inside], flat_tf[inside]
+    del inside
     index.build_flat(ids[own], ones_of[own], sizes[own], flat_terms, flat_tf)
+    del flat_terms, flat_tf
     index.calibrate()
     return index
 

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -179,3 +180,16 @@ def test_scores_from_counts_side_by_side_are_those_of_each_text():
     terms, tf = (np.array([pair[j] for c in counts for pair in c.items()]) for j in (0, 1))
     together = index.score_counts(150, rows, terms, tf)
     assert together == [index.score([c])[0] for c in counts] and together[20][1] == together[0][1] == []
+
+
+def test_building_an_index_takes_little_beyond_its_postings():
+    draw = np.random.default_rng(2)
+    sizes = np.full(2000, 200)
+    terms = np.concatenate([np.sort(draw.choice(3000, 200, replace=False)) for _ in sizes]).astype(np.int32)
+    tf = draw.integers(1, 4, len(terms)).astype(np.int32)
+    index = Index(np.arange(3000), [133] * 3000, 2000)
+    tracemalloc.start()
+    index.build_flat(np.arange(2000), np.zeros(2000), sizes, terms, tf)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 40 * len(terms) and held < 8 * len(terms)  # bytes
