@@ -193,3 +193,17 @@ def test_building_an_index_takes_little_beyond_its_postings():
     held, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert peak < 40 * len(terms) and held < 8 * len(terms)  # bytes
+
+
+def test_features_reach_the_driver_as_columns(spark, docs_of, monkeypatch):
+    from reviewloom.llm import quality
+
+    docs = docs_of([(i, f"text {'good and long ' * (i % 2 * 9)} {i}") for i in range(60)] + [(90, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    refused = property(lambda self: (_ for _ in ()).throw(AssertionError("rows as objects")))
+    with monkeypatch.context() as patch:
+        patch.setattr(type(docs), "collect", refused)
+        model = quality.fit(docs, labels)
+        assert quality.fit(docs, labels.filter("quality = 1")) is None and quality.fit(docs, labels.filter("false")) is None
+    scores = model.scores(np.array([quality.surface(f"text {'good and long ' * (i % 2 * 9)} {i}") for i in range(60)]))
+    assert scores[1::2].min() > scores[::2].max()
