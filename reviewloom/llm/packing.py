@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.llm.bpe_lexicon import Vocabulary
-from reviewloom.llm.common import body, keep, slices, table
+from reviewloom.llm.common import body, give_back, keep, slices, table
 from reviewloom.llm.words import cut_words
 
 CAPACITY = 2048
 PIECES_PER_PART = 50_000
 REMEMBERED = 300_000
+TEXTS_AT_ONCE = 1000
+BYTES_AT_ONCE = 1 << 22  # of text, unless one alone is longer: bounds what a task holds besides its words
 AFTER_LATIN = "ƀ"  # letters below it are single characters that normal forms leave alone
 # Words of such letters without a special token; İ is left out, as its small form is two characters
 LATIN_WORD = r"^[^<\x{0130}\x{0180}-\x{10FFFF}]*$"
@@ -95,8 +97,8 @@ class WordIds:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         cut = cut_words(texts, b" \n")
         numbers = self._numbers(cut.known)
-        starts, flat = np.array(self.starts), np.array(self.flat, dtype="<u4")
-        parts, ends = gather(flat, starts, numbers.ravel())
+        # the lists as they lie, without a copy: they must not grow before both views are gone
+        parts, ends = gather(np.frombuffer(self.flat, dtype="<u4"), np.frombuffer(self.starts, dtype=np.int64), numbers.ravel())
         ids, ends = gather(parts, ends[::2], cut.codes)
         bounds = ends[np.cumsum([0, *np.bincount(cut.text, minlength=len(texts))])]
         if len(self.known) > REMEMBERED:
@@ -106,10 +108,12 @@ class WordIds:
 
 def gather(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the chosen ``rows`` of lists held one after another in ``flat``, where each starts and the end)."""
-    sizes = np.diff(starts)[rows]
+    sizes = starts[rows + 1] - starts[rows]
     bounds = np.zeros(len(rows) + 1, dtype=np.int64)
     np.cumsum(sizes, out=bounds[1:])
-    return flat[np.repeat(starts[:-1][rows] - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+    places = np.arange(bounds[-1])
+    places += np.repeat(starts[rows] - bounds[:-1], sizes)
+    return flat[places], bounds
 
 
 def cut_documents(
@@ -127,8 +131,9 @@ def cut_documents(
         closing = np.zeros(1, dtype="<u4")
         for batch in batches:
             if encoder is None:
+                give_back()  # what the stage before has left in this worker
                 encoder = WordIds(shared.value)
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXTS_AT_ONCE, BYTES_AT_ONCE):
                 ids, bounds = encoder.encode(part.column(1))
                 rows, pieces, starts, lengths, sums = [], [], [], [], []
                 for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):

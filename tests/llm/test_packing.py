@@ -92,3 +92,22 @@ def test_ids_of_odd_texts_equal_the_library(content):
         for i, found in enumerate(library.encode_batch_fast(texts, add_special_tokens=False)):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == found.ids, texts[i][:80]
     assert encoder.encode([])[1].tolist() == [0]
+
+
+def test_few_texts_are_encoded_at_once(spark, monkeypatch, content):
+    """What a task holds besides its words follows from a part of a batch, not from the rows of the batch."""
+    texts = [f"word{i % 7} and {'more ' * (i % 5)}text, {i}." for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = sorted(cut_documents(docs, content).collect())
+    monkeypatch.setattr("reviewloom.llm.packing.TEXTS_AT_ONCE", 4)
+    calls, longer = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    encode = WordIds.encode
+
+    def counted(self, some):
+        calls.add(1)
+        longer.add(int(len(some) > 4))
+        return encode(self, some)
+
+    monkeypatch.setattr(WordIds, "encode", counted)
+    assert sorted(cut_documents(docs, content).collect()) == whole
+    assert (calls.value, longer.value) == (7, 0)
