@@ -325,3 +325,34 @@ def test_solver_equals_descent_written_out(monkeypatch):
     assert np.allclose(whole, wanted)
     monkeypatch.setattr(vectors, "SOLVED_AT_ONCE", 8)
     assert (vectors.solve_rows(goal, gram, 0.05, 0.05, 3, -1.0) == whole).all()
+
+
+def test_topic_run_fits_on_packed_blocks_as_nmf_fit_does(spark, monkeypatch):
+    from reviewloom.operators import nmf_sweep
+    from reviewloom.plans import flows
+
+    words = ["pay", "good", "team", "boss", "food", "park"]
+    texts = [(i, " ".join(words[(i * j + j) % 6] for j in range(1, 5 + i % 3))) for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id long, lemmatized_text string")
+    settings = rl.NMFSettings(2, max_rounds=2, tol=-1.0)
+    whole = nmf_sweep.nmf_fit
+
+    def values(model):
+        h = {row.term: [round(v, 8) for v in row.h] for row in model.h.collect()}
+        return h, {row.doc_id: [round(v, 8) for v in row.w] for row in model.w.collect()}, model.converged
+
+    calls = []
+
+    def counted(*options):
+        calls.append(1)
+        return whole(*options)
+
+    monkeypatch.setattr(nmf_sweep, "nmf_fit", counted)
+    run = flows.topic_run(docs, settings, min_df=1, max_df=1.0)
+    assert not calls
+    other = nmf_sweep.fit_topics(run.tfidf.matrix, run.tfidf.vocabulary, settings, max_bytes=8)
+    assert len(calls) == 1
+    assert values(run.model) == values(other)
+    assert run.model.objectives == pytest.approx(other.objectives) and run.model.errors == pytest.approx(other.errors)
+    bare = flows.topic_run(docs.withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id"))), settings, min_df=1, max_df=1.0)
+    assert len(calls) == 2 and None in values(bare.model)[1]
