@@ -52,3 +52,15 @@ def test_documents_round_trip(spark, docs_of, content):
     assert [r.text for r in decode_documents(odd, content).orderBy("doc_id").collect()] == [
         "<|endoftext|>", "", library.decode([220, 447], skip_special_tokens=False),
     ]
+
+
+def test_new_chunks_are_cut_together(content, monkeypatch):
+    vocabulary = Vocabulary(content)
+    calls = []
+    cut = vocabulary.pieces
+    monkeypatch.setattr(vocabulary, "pieces", lambda text: calls.append(text) or cut(text))
+    some = [" ".join(f"w{i}x{j}<|endoftext|>y{'á' * (j % 3)}" for j in range(50)) for i in range(20)]
+    ids, bounds = Encoder(vocabulary, None).encode(some)
+    wanted = tokenizers.Tokenizer.from_str(content).encode_batch(some, add_special_tokens=False)
+    assert all(ids[a:b].tolist() == w.ids for a, b, w in zip(bounds, bounds[1:], wanted))
+    assert len(calls) <= 1 + len(some)  # the first chunk of each text stands alone, the other 980 go together
