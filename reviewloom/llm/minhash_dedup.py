@@ -261,6 +261,28 @@ def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
     return placed.join(several.select("band", "key"), ["band", "key"])
 
 
+def _link_rest(
+    mixed: DataFrame, joined: DataFrame, texts: DataFrame, links: DataFrame, per_cent: int, words: int
+) -> DataFrame:
+    """``links`` (``a, b``) and those between members of the buckets in ``mixed``, which hold several components."""
+    agrees = 100 * F.col("inside") >= per_cent * (F.col("n_x") + F.col("n_r") - F.col("inside"))
+    covered = keep(coverage(texts.join(mixed.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi"), words))
+    able = covered.filter(100 * F.col("shared") >= per_cent * F.col("n"))
+    open_members = keep(_mixed(mixed.drop("c").join(able, "x"), joined))
+    hubs = open_members.groupBy("band", "key").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("x"), "c")).alias("h"))
+    hubs = hubs.select("band", "key", (-F.col("h.col2")).alias("hub"), F.col("h.c").alias("hub_c"))
+    with_hubs = keep(open_members.join(hubs, ["band", "key"]))
+    around = with_hubs.filter("c <> hub_c AND tried <> hub AND tried <> x").select("x", F.col("hub").alias("r")).distinct()
+    near_hubs = keep(verify(around, texts, words).filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b")))
+    links = links.unionByName(near_hubs)
+    joined = keep(components(links))
+    last = keep(_mixed(with_hubs.drop("c", "hub_c"), joined).select("x", "c").distinct())
+    if last.isEmpty():
+        return links
+    rest = prefix_pairs(last, texts, per_cent, words)
+    return links.unionByName(verify(rest, texts, words).filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b")))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -308,20 +330,9 @@ def near_duplicates(
     # with all members, such as the original of edited copies; then the rest by prefixes.
     placed = members.select("band", "key", "x", F.col("r").alias("tried"))
     mixed = keep(_mixed(placed, joined))
-    covered = keep(coverage(texts.join(mixed.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi"), words))
-    able = covered.filter(100 * F.col("shared") >= per_cent * F.col("n"))
-    open_members = keep(_mixed(mixed.drop("c").join(able, "x"), joined))
-    hubs = open_members.groupBy("band", "key").agg(F.max(F.struct(F.col("shared") / F.col("n"), -F.col("x"), "c")).alias("h"))
-    hubs = hubs.select("band", "key", (-F.col("h.col2")).alias("hub"), F.col("h.c").alias("hub_c"))
-    with_hubs = keep(open_members.join(hubs, ["band", "key"]))
-    around = with_hubs.filter("c <> hub_c AND tried <> hub AND tried <> x").select("x", F.col("hub").alias("r")).distinct()
-    near_hubs = keep(verify(around, texts, words).filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b")))
-    links = links.unionByName(near_hubs)
-    joined = keep(components(links))
-    last = keep(_mixed(with_hubs.drop("c", "hub_c"), joined).select("x", "c").distinct())
-    rest = prefix_pairs(last, texts, per_cent, words)
-    more = verify(rest, texts, words).filter(agrees).select(F.col("x").alias("a"), F.col("r").alias("b"))
-    every = links.unionByName(more).unionByName(alike)
+    if not mixed.isEmpty():
+        links = _link_rest(mixed, joined, texts, links, per_cent, words)
+    every = links.unionByName(alike)
     found = components(every)
     placed_docs = sketches.join(found, sketches["doc_id"] == found["id"], "left")
     component = F.coalesce("component", "doc_id")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import body, share, table
+from reviewloom.llm.common import body, give_back, share, table
 
 EXAMPLES = 20_000  # labelled rows to learn from, at most
 LEAST_CHI2 = 30.0  # from a difference this large on a term has most of its weight; none is left out below it
@@ -585,6 +585,7 @@ def fit(
     del inside
     index.build_flat(ids[own], ones_of[own], sizes[own], flat_terms, flat_tf)
     del flat_terms, flat_tf
+    give_back()
     index.calibrate()
     return index
 
@@ -618,8 +619,9 @@ def score_documents(
     score. NULL ids are not held out; rows with the same id are scored each for itself;
     an empty table gives no rows.
     """
-    index = fit(docs, labels, label, id_col, text_col, most)
-    chosen = docs.select(F.col(id_col).alias("doc_id"), score_column(docs.sparkSession, index, body(text_col)).alias("s"))
+    scored = score_column(docs.sparkSession, fit(docs, labels, label, id_col, text_col, most), body(text_col))
+    give_back()  # the driver needs the index no longer
+    chosen = docs.select(F.col(id_col).alias("doc_id"), scored.alias("s"))
     return chosen.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -632,9 +634,9 @@ def score_documents(
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows scored 0.5 or more; all columns stay."""
-    index = fit(docs, labels, id_col=id_col, text_col=text_col)
-    scored = docs.withColumn("__toxicity", score_column(docs.sparkSession, index, body(text_col)))
-    return scored.filter(F.col("__toxicity.score") < 0.5).drop("__toxicity")
+    scored = score_column(docs.sparkSession, fit(docs, labels, id_col=id_col, text_col=text_col), body(text_col))
+    give_back()  # the driver needs the index no longer
+    return docs.withColumn("__toxicity", scored).filter(F.col("__toxicity.score") < 0.5).drop("__toxicity")
 
 
 def op8_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -207,3 +208,23 @@ def test_features_reach_the_driver_as_columns(spark, docs_of, monkeypatch):
         assert quality.fit(docs, labels.filter("quality = 1")) is None and quality.fit(docs, labels.filter("false")) is None
     scores = model.scores(np.array([quality.surface(f"text {'good and long ' * (i % 2 * 9)} {i}") for i in range(60)]))
     assert scores[1::2].min() > scores[::2].max()
+
+
+def test_driver_gives_the_index_back(spark, docs_of, monkeypatch):
+    made, alive = [], []
+    fit = T.fit
+
+    def noted(*args, **names):
+        index = fit(*args, **names)
+        made.append(weakref.ref(index))
+        return index
+
+    monkeypatch.setattr(T, "fit", noted)
+    monkeypatch.setattr(T, "give_back", lambda: alive.append([index() is not None for index in made]), raising=False)
+    docs = docs_of([(i, f"{'vile' if i % 2 else 'kind'} word{i % 7} here") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for run in (drop_toxic, score_documents):
+        made.clear()
+        alive.clear()
+        run(docs, labels)
+        assert alive and alive[-1] == [False]

@@ -131,3 +131,16 @@ def test_thousands_of_edits_of_one_text(spark, tmp_path):
     assert {(r.x, r.inside) for r in checked} == {
         (x, len(shingle_strings(rows[x][1]) & shingle_strings(rows[0][1]))) for x, _ in far
     }
+
+
+def test_buckets_of_one_component_are_not_compared_again(spark, docs_of, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("no bucket holds two components")
+
+    for name in ("coverage", "prefix_pairs"):
+        monkeypatch.setattr(f"reviewloom.llm.minhash_dedup.{name}", never)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words, "more"])), (4, "a b c d e f g"), (5, None)]
+    docs_of(rows).write.parquet(str(tmp_path / "d"))
+    found = near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
