@@ -303,18 +303,26 @@ class Index:
     def _rare_sums(self, vectors: list[tuple[np.ndarray, np.ndarray]], out: np.ndarray) -> None:
         """What terms that are not common add to the cosine of each (terms, weights) with each example."""
         for start in range(0, len(vectors), 8):  # few at once: a long text has many runs
-            part, lists = [], []
-            for terms, weights in vectors[start : start + 8]:
-                long = self.sizes[terms] >= SLICED
-                part += [(terms[long], weights[long]), (terms[~long], weights[~long])]
-                lists.append([self.lists[t] for t in terms[long].tolist()] + [self._rows_of(terms[~long])])
+            part = vectors[start : start + 8]
             terms, weights = (np.concatenate(column) for column in zip(*part))
+            text = np.repeat(np.arange(len(part)), [len(own) for own, _ in part])
+            short = self.sizes[terms] < SLICED
+            order = np.argsort(2 * text + short, kind="stable")  # by text, those with a list of their own first
+            terms, weights, text, short = terms[order], weights[order], text[order], short[order]
+            each = np.arange(len(part) + 1)
+            few, long = terms[short], terms[~short]
+            few_rows = self._rows_of(few)
+            few_cuts = np.searchsorted(text[short], each)
+            few_cuts = np.concatenate([[0], np.cumsum(self.sizes[few], dtype=np.int64)])[few_cuts].tolist()
+            lists = [self.lists[t] for t in long.tolist()]
+            long_cuts = np.searchsorted(text[~short], each).tolist()
             values, sizes = self._runs_of(terms, weights * self.idf[terms])
             ends = np.cumsum(self.runs[terms], dtype=np.int64)
-            cuts = np.concatenate([[0], ends])[np.cumsum([0, *(len(own) for own, _ in part)])][::2].tolist()
-            for i, (rows, a, b) in enumerate(zip(lists, cuts, cuts[1:]), start):
-                added = np.bincount(np.concatenate(rows), np.repeat(values[a:b], sizes[a:b]), self.blocks * BLOCK)
-                np.multiply(added, self.inverse, out=out[i])
+            cuts = np.concatenate([[0], ends])[np.searchsorted(text, each)].tolist()
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                rows = np.concatenate([*lists[long_cuts[i] : long_cuts[i + 1]], few_rows[few_cuts[i] : few_cuts[i + 1]]])
+                added = np.bincount(rows, np.repeat(values[a:b], sizes[a:b]), self.blocks * BLOCK)
+                np.multiply(added, self.inverse, out=out[start + i])
 
     def search(
         self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, floors: Sequence[float], skips: Sequence[int] | None = None
@@ -475,12 +483,13 @@ class TermCounter:
 
     def learn(self, tokens: list[str]) -> None:
         items = _WORD_OR_END.findall("\n".join([*tokens, ""]).lower())  # tokens have no white space in them
+        at_end = np.fromiter(map("\n".__eq__, items), bool, len(items))
+        owner = np.cumsum(at_end)[~at_end]
+        items = [item for item in items if item != "\n"]
         digests = np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
-        at_end = digests == xxhash.xxh3_64_intdigest("\n")
-        owner = np.cumsum(at_end) - at_end
         digests = (digests ^ np.uint64(1 << 63)).view(np.int64)  # as in _digest
         at = np.searchsorted(self.terms, digests)
-        inside = np.flatnonzero((at < len(self.terms)) & ~at_end)
+        inside = np.flatnonzero(at < len(self.terms))
         inside = inside[self.terms[at[inside]] == digests[inside]]
         begins = self.beginnings
         starts = [
