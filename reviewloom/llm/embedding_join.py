@@ -3,8 +3,9 @@
 Vectors are projected on their leading principal directions, cut into cells of the
 width of the search radius, and sorted by cell. Intervals of that sequence are joined
 from the top: a pair of intervals whose boxes lie further apart than the radius is
-skipped with all that is in it. What remains are pairs of blocks, which tasks join
-piece by piece in the same way, and exactly.
+skipped with all that is in it. The topmost intervals are blocks, one in a partition of
+a checkpointed table. A task reads two of them from there, so that no vector is shuffled
+for the pairs it is in, and joins them piece by piece in the same way, and exactly.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewloom.llm.common import keep, table
 from reviewloom.llm.components import components
@@ -25,7 +26,8 @@ COSINE = 0.95
 DIRECTIONS = 6
 BLOCK = 2048
 TILE = 256
-FAN = 8
+BLOCKS = 16  # of larger tables, more where there are many cores
+BLOCK_BYTES = 8 * 1024 * 1024
 UNSURE = 1e-9
 
 
@@ -75,85 +77,74 @@ def principal_directions(vectors: DataFrame, width: int, wanted: int) -> np.ndar
     return np.linalg.eigh(spread)[1][:, ::-1][:, :wanted]
 
 
-def _blocks(classes: DataFrame, width: int, directions: np.ndarray, radius: float, size: int) -> DataFrame:
-    """Blocks of the grid order: ``block, ids, sizes, dims, data`` and box ``l0.., h0..``."""
+def block_size(count: int, row_bytes: int, least: int, cores: int) -> int:
+    """Vectors in a block: a growing table has larger blocks of at most ``BLOCK_BYTES``, and then more of them."""
+    wanted = max(BLOCKS, math.isqrt(8 * cores))  # a few pairs of blocks for each core
+    return max(1, min(max(least, -(-count // wanted)), BLOCK_BYTES // row_bytes))
+
+
+def _blocks(classes: DataFrame, width: int, directions: np.ndarray, radius: float, least: int) -> DataFrame:
+    """Blocks of the grid order, one in a partition: ``block, ids, sizes, dims, data`` and box ``l0.., h0..``."""
     k = directions.shape[1]
     names = [f"c{i}" for i in range(k)]
+    kind = _number(classes)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(2), width)
             at = np.floor((_unit(x) @ directions) / radius).astype(np.int32)
-            raw = pa.array([row.tobytes() for row in x], pa.binary())
+            raw = pa.array([row.tobytes() for row in x.astype(kind)], pa.binary())
             dims = batch.column(2).value_lengths().cast(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), dims, raw, *(pa.array(at[:, i]) for i in range(k))],
                 ["id", "n", "dims", "data", *names],
             )
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([(name, "ascending") for name in [*names, "id"]])
+        data = b"".join(rows["data"].to_pylist())
+        at = _unit(np.frombuffer(data, dtype=kind).reshape(-1, width).astype(np.float64)) @ directions
+        one = {"block": [rows["block"][0].as_py()], "data": [data]}
+        one |= {c: [rows[f].to_numpy().astype(np.int64).tobytes()] for c, f in (("ids", "id"), ("sizes", "n"), ("dims", "dims"))}
+        for i in range(k):
+            one |= {f"l{i}": [at[:, i].min()], f"h{i}": [at[:, i].max()]}
+        yield pa.RecordBatch.from_pydict(one)
+
     cells = ", ".join(f"{name} int" for name in names)
     placed = classes.select("id", "n", "vector").mapInArrow(project, f"id long, n long, dims int, data binary, {cells}")
     count = classes.count()
+    size = block_size(count, width * np.dtype(kind).itemsize, least, classes.sparkSession.sparkContext.defaultParallelism)
     parts = max(1, -(-count // size))
-    placed = placed.repartitionByRange(parts, *names, "id")
-    # as many neighbouring ranges as make a block, should Spark have cut more of them
-    together = max(1, (placed.rdd.getNumPartitions() * size) // max(count, 1))
-    placed = placed.withColumn("block", F.floor(F.spark_partition_id() / together).cast("long"))
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*names, "id"])
-        x = np.frombuffer(b"".join(rows["data"]), dtype=np.float64).reshape(len(rows), width)
-        at = _unit(x) @ directions
-        one = {
-            "block": rows["block"].iloc[0],
-            "ids": rows["id"].to_numpy(np.int64).tobytes(),
-            "sizes": rows["n"].to_numpy(np.int64).tobytes(),
-            "dims": rows["dims"].to_numpy(np.int64).tobytes(),
-            "data": x.tobytes(),
-        }
-        one |= {f"l{i}": at[:, i].min() for i in range(k)} | {f"h{i}": at[:, i].max() for i in range(k)}
-        return pd.DataFrame([one])
-
+    # neighbouring ranges make a block, should Spark have cut more of them
+    placed = placed.repartitionByRange(parts, *names, "id").coalesce(parts)
     box = ", ".join(f"l{i} double, h{i} double" for i in range(k))
     return keep(
-        placed.groupBy("block").applyInPandas(gather, f"block long, ids binary, sizes binary, dims binary, data binary, {box}")
+        placed.withColumn("block", F.spark_partition_id().cast("long")).mapInArrow(
+            gather, f"block long, data binary, ids binary, sizes binary, dims binary, {box}"
+        )
     )
 
 
 def block_pairs(blocks: DataFrame, k: int, radius: float) -> DataFrame:
-    """Pairs ``i <= j`` of blocks whose boxes are within the radius, found from the top of a tree of intervals."""
-    lows, highs = [f"l{i}" for i in range(k)], [f"h{i}" for i in range(k)]
-    level = blocks.select(F.col("block").alias("node"), *lows, *highs)
-    tree = [level]
-    most = blocks.agg(F.max("block")).first()[0]
-    while most is not None and most >= FAN:
-        level = level.groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(
-            *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]
-        )
-        tree.append(level)
-        most //= FAN
-
-    def side(nodes: DataFrame, name: str, parent: bool = True) -> DataFrame:
-        up = [F.floor(F.col("node") / FAN).alias(f"{name}_up")] if parent else []
-        return nodes.select(F.col("node").alias(name), *up, *[F.col(c).alias(f"{name}_{c}") for c in [*lows, *highs]])
+    """Pairs of blocks, the first not behind the second, whose boxes are within the radius: ``i_`` and ``j_`` and a name of ``blocks``.
 
+    Tasks take the two from the table itself, so the pairs are neither shuffled nor written.
+    """
+    i, j = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in "ij")
     apart = sum(
         (
-            F.pow(F.greatest(F.lit(0.0), F.col(f"i_l{d}") - F.col(f"j_h{d}"), F.col(f"j_l{d}") - F.col(f"i_h{d}")), F.lit(2))
+            F.pow(
+                F.greatest(F.lit(0.0), F.col(f"i_l{d}") - F.col(f"j_h{d}"), F.col(f"j_l{d}") - F.col(f"i_h{d}")), F.lit(2)
+            )
             for d in range(k)
         ),
         F.lit(0.0),
     )
-    close = (F.col("i") <= F.col("j")) & (apart <= radius * radius + 1e-9)
-    top = tree[-1].withColumn("root", F.lit(0))  # at most FAN nodes
-    pairs = (
-        side(top, "i", False).withColumn("root", F.lit(0)).join(side(top, "j", False).withColumn("root", F.lit(0)), "root")
-    )
-    pairs = pairs.filter(close).select("i", "j")
-    for nodes in reversed(tree[:-1]):
-        parents = pairs.select(F.col("i").alias("i_up"), F.col("j").alias("j_up"))
-        pairs = parents.join(side(nodes, "i"), "i_up").join(side(nodes, "j"), "j_up").filter(close).select("i", "j")
-    return pairs
+    close = (F.col("i_block") <= F.col("j_block")) & (apart <= radius * radius + 1e-9)
+    return i.join(j.hint("shuffle_replicate_nl"), close)
 
 
 class _Links:
@@ -182,17 +173,22 @@ class _Links:
         for a, b in open_pairs.tolist():
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-        for r in up:
-            self.root[self.root == r] = find(r)
+        to = np.arange(len(self.root))
+        to[list(up)] = [find(r) for r in up]
+        self.root = to[self.root]
 
 
-def join_blocks(one: dict, other: dict | None, width: int, directions: np.ndarray, cosine: float) -> pd.DataFrame:
+def join_blocks(
+    one: dict, other: dict | None, width: int, kind: str, directions: np.ndarray, cosine: float
+) -> pa.RecordBatch:
     """Links between two blocks, or within one: rows ``id, n`` (vectors linked with) and ``id, other`` (a tree of links)."""
     sides = [one] if other is None else [one, other]
     ids, sizes, dims = (np.concatenate([np.frombuffer(s[c], dtype=np.int64) for s in sides]) for c in ("ids", "sizes", "dims"))
-    raw = np.concatenate([np.frombuffer(s["data"], dtype=np.float64).reshape(-1, width) for s in sides])
+    raw = np.concatenate([np.frombuffer(s["data"], dtype=kind).reshape(-1, width) for s in sides]).astype(np.float64)
     unit = _unit(raw)
     at = unit @ directions
+    rough = unit.astype(np.float32)
+    least = cosine - UNSURE - (width + 2) * 2.0**-22  # no cosine is further off in single precision
     reach = 2 - 2 * cosine + 1e-9  # squared distance of unit vectors
     links = _Links(sizes)
 
@@ -209,6 +205,8 @@ def join_blocks(one: dict, other: dict | None, width: int, directions: np.ndarra
                     if (a, b) != (c, d) or x <= y:
                         join(*x, *y)
             return
+        if (rough[a:b] @ rough[c:d].T).max() < least:
+            return
         found = unit[a:b] @ unit[c:d].T
         u, v = np.nonzero(found >= cosine - UNSURE)
         unsure = np.abs(found[u, v] - cosine) <= UNSURE
@@ -228,9 +226,19 @@ def join_blocks(one: dict, other: dict | None, width: int, directions: np.ndarra
         join(0, n, n, len(ids))
     linked = np.nonzero(links.counts)[0]
     tree = linked[links.root[linked] != linked]
-    counts = pd.DataFrame({"id": ids[linked], "other": pd.array([None] * len(linked), dtype="Int64"), "n": links.counts[linked]})
-    edges = pd.DataFrame({"id": ids[tree], "other": pd.array(ids[links.root[tree]], dtype="Int64"), "n": np.zeros(len(tree), np.int64)})
-    return pd.concat([counts, edges])
+    none = pa.nulls(len(linked), pa.int64())
+    return pa.RecordBatch.from_pydict(
+        {
+            "id": np.concatenate([ids[linked], ids[tree]]),
+            "other": pa.concat_arrays([none, pa.array(ids[links.root[tree]])]),
+            "n": np.concatenate([links.counts[linked], np.zeros(len(tree), np.int64)]),
+        }
+    )
+
+
+def _number(rows: DataFrame) -> str:
+    """How components of ``vector`` are stored: as they are in the table, which needs half the bytes for float."""
+    return "float32" if rows.schema["vector"].dataType.elementType == T.FloatType() else "float64"
 
 
 def near_vectors(
@@ -248,8 +256,11 @@ def near_vectors(
     joined as one and counted as many; repeated rows count as vectors of their own.
     An empty table gives no rows. Other columns are not read.
     """
-    vector = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"))
+    single = getattr(vectors.schema[vector_col].dataType, "elementType", None) == T.FloatType()
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    # rows without a negative zero, as it equals zero; equal vectors then have equal digests
+    plain = F.transform(vector, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), plain.alias("vector"))
     good = F.col("vec_id").isNotNull() & usable(F.col("vector"))
     valid = rows.filter(good)
     classes = keep(valid.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
@@ -262,27 +273,38 @@ def near_vectors(
     radius = math.sqrt(2 - 2 * cosine)
     axes = principal_directions(classes, width, min(directions, width))
     blocks = _blocks(classes, width, axes, radius, block)
-    pairs = block_pairs(blocks, axes.shape[1], radius)
-    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    loaded = sides.join(blocks.select("block", "ids", "sizes", "dims", "data"), "block")
+    kind = _number(classes)
 
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        held = rows.sort_values("block").to_dict("records")
-        return join_blocks(held[0], held[1] if len(held) > 1 else None, width, axes, cosine)
-
-    found = keep(loaded.groupBy("i", "j").applyInPandas(join, "id long, other long, n long"))
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, two = (
+                    {c: batch.column(f"{side}_{c}")[row].as_py() for c in ("block", "ids", "sizes", "dims", "data")}
+                    for side in "ij"
+                )
+                yield join_blocks(one, two if one["block"] != two["block"] else None, width, kind, axes, cosine)
+
+    wanted = [f"{side}_{c}" for side in "ij" for c in ("block", "ids", "sizes", "dims", "data")]
+    pairs = block_pairs(blocks, axes.shape[1], radius).select(*wanted)
+    found = keep(pairs.mapInArrow(join, "id long, other long, n long"))
     counts = found.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("linked"))
     joined = components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    # rows find their class by a digest of the vector, or by all of it should two classes share one
+    digest = [F.xxhash64("vector").alias("key"), F.xxhash64(F.lit(1), "vector").alias("key2")]
+    keys = ["key", "key2"]
+    if not classes.select(*digest).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        digest, keys = [F.col("vector")], ["vector"]
     per_class = (
-        classes.join(counts, "id", "left")
+        classes.select("id", "n", *digest)
+        .join(counts, "id", "left")
         .join(joined, "id", "left")
         .select(
-            "vector",
+            *keys,
             (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
             F.coalesce("component", "id").alias("component_id"),
         )
     )
-    placed = valid.join(per_class, "vector").select(
+    placed = valid.select("vec_id", *digest).join(per_class, keys).select(
         "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")
     )
     return placed.unionByName(other)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from reviewloom.llm.components import components
-from reviewloom.llm.embedding_join import near_vectors
+from reviewloom.llm.embedding_join import BLOCK, BLOCK_BYTES, _blocks, block_pairs, block_size, near_vectors
 
 
 def brute(vectors, cosine):
@@ -74,3 +74,42 @@ def test_components_of_chains_and_random_graphs(spark):
         found = components(spark.createDataFrame(links, "a long, b long")).collect()
         assert len(found) == len({r.id for r in found})
         assert {r.id: r.component for r in found} == smallest_reachable(links), links
+
+
+def test_blocks_grow_with_the_table_up_to_a_number_of_bytes():
+    assert block_size(10_000, 256, BLOCK, 8) == BLOCK
+    assert block_size(400_000, 256, BLOCK, 8) == 25_000
+    assert block_size(100_000_000, 256, BLOCK, 8) == BLOCK_BYTES // 256
+    assert block_size(10_000, 1 << 24, BLOCK, 8) == 1
+
+
+def test_boxes_of_blocks_hold_their_vectors_and_far_blocks_do_not_meet(spark):
+    draw = np.random.default_rng(9)
+    points = [[1.0, float(x), 0.0] for x in draw.uniform(-0.1, 0.1, 40)] + [[0.0, float(x), 1.0] for x in draw.uniform(-0.1, 0.1, 40)]
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(points)], "id long, n long, vector array<float>")
+    axes, radius = np.eye(3), 0.3
+    blocks = _blocks(df, 3, axes, radius, 10)
+    assert blocks.rdd.getNumPartitions() == 8 and blocks.count() <= 8
+    ids = []
+    for row in blocks.collect():
+        x = np.frombuffer(row.data, dtype=np.float32).reshape(-1, 3).astype(float)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert np.allclose(unit.min(axis=0), [row.l0, row.l1, row.l2]) and np.allclose(unit.max(axis=0), [row.h0, row.h1, row.h2])
+        ids += np.frombuffer(row.ids, dtype=np.int64).tolist()
+    assert sorted(ids) == list(range(80))
+    pairs = block_pairs(blocks, 3, radius)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan  # no vector is shuffled for the pairs it is in
+    side = {r.block: np.frombuffer(r.ids, dtype=np.int64)[0] < 40 for r in blocks.collect()}
+    met = [(r.i_block, r.j_block) for r in pairs.select("i_block", "j_block").collect()]
+    assert {(b, b) for b in side} <= set(met) and len(met) == len(set(met)) < len(side) * (len(side) + 1) // 2
+
+
+def test_signs_of_zero_and_kinds_of_numbers(spark):
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, 1.0]), (4, [1.0, 0.0])]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        found = sorted(tuple(r) for r in near_vectors(df).collect())
+        assert found == [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+    whole = spark.createDataFrame([(1, [3, 4]), (2, [6, 8])], "vec_id long, embedding array<int>")
+    assert sorted(tuple(r) for r in near_vectors(whole).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
