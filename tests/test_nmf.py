@@ -309,6 +309,33 @@ def test_a_round_deals_terms_and_blocks_out(spark, corpus, monkeypatch):
     assert np.allclose(*found)
 
 
+def test_a_round_sends_no_more_sums_than_cores(spark, corpus):
+    """Many partitions of weights give the same sums, from as many tasks as run at once."""
+    from reviewloom.operators import nmf_sweep
+    from reviewloom.operators.nmf import place_by_document
+
+    _, weights, _ = corpus
+    terms, cores = weights.vocabulary.count(), spark.sparkContext.defaultParallelism
+    placed = place_by_document(weights.matrix, "doc_id")
+    h = np.random.default_rng(2).random((terms, 3))
+    found = []
+    for parts in (3 * cores, 1):
+        spread = placed.weights.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+        blocks = nmf_sweep.weight_blocks(spread, "doc_id")
+        fit = nmf_sweep.SweepFit(rl.NMFSettings(3), h, h.T @ h)
+        _, summed, held = nmf_sweep._round(blocks, parts, [fit])
+        plan = summed._jdf.queryExecution().executedPlan().toString()
+        assert f"Coalesce {min(parts, cores)}" in plan
+        moments, new, of_new = nmf_sweep._term_step(summed, [fit], [0])
+        assert np.allclose(of_new[0][0], new.T @ new)
+        last, none, _ = nmf_sweep._term_step(summed, [fit], [])
+        assert none is None and np.array_equal(last[0][0], moments[0][0])
+        found.append((moments[0][0], new))
+        for kept in held:
+            kept.unpersist()
+    assert np.allclose(found[0][0], found[1][0]) and np.allclose(found[0][1], found[1][1], atol=1e-6)
+
+
 def test_solver_equals_descent_written_out(monkeypatch):
     from reviewloom.functions import vectors
 
